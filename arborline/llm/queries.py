@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, mixing, sharding
+from . import bpe, chat, licenses, mixing, quality, sharding, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,9 @@ QUERIES = {
     "op2_chat": _on("conversations", chat.rotate),
     "op3_licenses": _on("documents", licenses.license_report),
     "op6_sharding": _on("documents", sharding.shard),
+    "op7_quality": _on("documents", quality.quality_report),
+    "op8_urls": _on("pages", urls.filter_report),
+    "op10_bpe": _on("documents", bpe.encode_digest),
 }
 
 SQL: dict[str, str] = {}
