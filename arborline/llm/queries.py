@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, licenses, mixing, nearset, quality, sharding, urls
+from . import bpe, chat, licenses, mixing, nearset, quality, sharding, urls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,7 @@ QUERIES = {
     "op6_sharding": _on("documents", sharding.shard),
     "op7_quality": _on("documents", quality.quality_report),
     "op8_urls": _on("pages", urls.filter_report),
+    "op9_vectors": _on("embeddings", vectors.vector_report),
     "op10_bpe": _on("documents", bpe.encode_digest),
 }
 
