@@ -189,7 +189,7 @@ def load(path: str | None = None, pattern: str | None = None) -> tuple[bytes, st
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, ids (array of int) and decoded (binary) of every document."""
+    """doc_id, ids (array of int) and decoded (binary) of every row."""
     return _run(docs, path, pattern, full=True)
 
 

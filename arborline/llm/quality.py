@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .suffixes import cover, deepest, enhanced
+from .suffixes import cover, deepest, enhanced, ranks
 from .textbytes import SPACE, count_in, mix, slices, spans_hash, words
 
 MIN_WORDS, WINDOW, MOST_PERCENT = 10, 5, 20
@@ -58,7 +58,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
     keys = spans_hash(data, starts, ends) + mix(doc.astype(np.uint64))
     left = np.repeat(at[1:], n_words) - np.arange(len(doc))
-    repeat = deepest(*enhanced(keys, left))
+    repeat = deepest(*enhanced(ranks(keys), left))
 
     def covered(least: int) -> np.ndarray:
         p = np.flatnonzero(repeat >= least)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, licenses, mixing, nearset, quality, sharding, urls, vectors
+from . import bpe, chat, licenses, mixing, nearset, quality, repeats, sharding, urls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,7 @@ QUERIES = {
     "op1_mixing": _on("documents", mixing.mix_plan),
     "op2_chat": _on("conversations", chat.rotate),
     "op3_licenses": _on("documents", licenses.license_report),
+    "op4_repeats": _on("documents", repeats.repeat_report),
     "op5_nearset": _on("documents", nearset.component_report),
     "op6_sharding": _on("documents", sharding.shard),
     "op7_quality": _on("documents", quality.quality_report),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +37,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the tables written so far (all but the last ``keep``), once no result that reads them is needed."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while len(_written) > keep:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop(0))
+@contextlib.contextmanager
+def recording() -> Iterator[list[str]]:
+    """Collects the paths of the tables that are written inside."""
+    first, paths = len(_written), []
+    yield paths
+    paths += _written[first:]
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables once no result that reads them is needed."""
+    conf = spark._jsc.hadoopConfiguration()
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(conf).delete(path, True)
 
 

@@ -10,36 +10,37 @@ from __future__ import annotations
 import numpy as np
 
 
-def dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sort order of the keys, and for each position the first place of its group in that order."""
-    order = np.argsort(keys, kind="stable")
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[order[1:]] != keys[order[:-1]]
-    first = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
-    rank = np.empty(len(keys), np.int64)
-    rank[order] = first
-    return order, rank
+def ranks(*keys: np.ndarray) -> np.ndarray:
+    """For each position, the first place of its group when sorted by the keys, the last key first."""
+    n = len(keys[0])
+    order = np.lexsort(keys) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    new = np.ones(n, bool)
+    new[1:] = False
+    for key in keys:
+        new[1:] |= key[order[1:]] != key[order[:-1]]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    return rank
 
 
-def enhanced(keys: np.ndarray, left: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def enhanced(rank: np.ndarray, left: np.ndarray, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and LCP array.
 
-    ``keys``: the first symbol of each suffix, unequal between families; ``left``: symbols from each position to
-    the end of its sequence; ``most``: prefixes this long need not be told apart (their LCP is then at least ``most``).
-    lcp[r] is the common prefix of suffixes sa[r - 1] and sa[r]; lcp[0] is 0.
+    ``rank``: ranks of the suffixes by their first ``step`` symbols, apart between families and for suffixes that are
+    shorter; ``left``: symbols from each position to the end of its sequence. lcp[r] is the common prefix of suffixes
+    sa[r - 1] and sa[r] in whole steps; lcp[0] is 0.
     """
-    n = len(keys)
+    n = len(rank)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order, rank = dense(keys)
-    levels, h = [rank.copy()], 1
-    while most is None or h < most:
+    levels, h = [rank.copy()], step
+    while True:
         size = np.bincount(rank, minlength=n)
         active = np.flatnonzero(size[rank] > 1)
         if not len(active):
             break
-        # rank of the suffix h further on; past the end of the sequence nothing is smaller
-        ahead = np.where(left[active] > h, rank[np.minimum(active + h, n - 1)], -1)
+        # rank of the suffix h further on; the end of a sequence is smaller than all, and unlike other ends
+        ahead = np.where(left[active] > h, rank[np.minimum(active + h, n - 1)], -1 - active - left[active])
         by = np.lexsort((ahead, rank[active]))
         a, b = rank[active][by], ahead[by]
         group = np.ones(len(by), bool)
@@ -53,7 +54,6 @@ def enhanced(keys: np.ndarray, left: np.ndarray, most: int | None = None) -> tup
         rank[active[by]] = a + mine - start
         levels.append(rank.copy())
         h *= 2
-    # ties that are left (only with ``most``) follow their position
     sa = np.argsort(rank, kind="stable")
     lcp = np.zeros(n, np.int64)
     x, y = sa[:-1].copy(), sa[1:].copy()
@@ -61,16 +61,16 @@ def enhanced(keys: np.ndarray, left: np.ndarray, most: int | None = None) -> tup
     for k in range(len(levels) - 1, -1, -1):
         if not len(alive):
             break
-        step, lv = 1 << k, levels[k]
+        size, lv = step << k, levels[k]
         i, j = x[alive], y[alive]
         inside = (i < n) & (j < n)
         same = np.zeros(len(alive), bool)
         same[inside] = lv[i[inside]] == lv[j[inside]]
-        # a group may hold a suffix shorter than the step only alone, so equal ranks are full matches
+        # a suffix shorter than the size is alone in its group, so equal ranks are full matches
         hit = alive[same]
-        lcp[hit + 1] += step
-        x[hit] += step
-        y[hit] += step
+        lcp[hit + 1] += size
+        x[hit] += size
+        y[hit] += size
         ended = np.zeros(len(alive), bool)
         ended[same] = (left[sa[hit]] <= lcp[hit + 1]) | (left[sa[hit + 1]] <= lcp[hit + 1])
         alive = alive[~ended]
