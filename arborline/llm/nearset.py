@@ -9,9 +9,9 @@
    compared with the bucket's most central one (it shares most buckets with others), so a group of copies costs a
    pair each. Links are confirmed on full sets.
 4. Components of the links are formed. In buckets that still hold several, members of different components are
-   compared by signature in blocks: first the nearest of each, then, among what is still apart, all whose
-   estimate is within many deviations of the threshold. So no link that shares a bucket is left unseen, though
-   pairs inside a component never are listed.
+   compared in blocks, by signature and, where its estimate is within seven deviations of the threshold, on the full
+   sets. So no link that shares a bucket is left unseen, though pairs are never listed: a pair of blocks returns a
+   spanning forest of its links.
 
 With 32 bands of 4 a pair at the threshold shares no bucket with probability 5e-8.
 
@@ -37,8 +37,8 @@ PLACES, BANDS = 128, 32
 ROWS = PLACES // BANDS
 #: Buckets up to this size are compared pair by pair.
 SMALL = 6
-#: Members a block in the comparison of signatures.
-BLOCK = 512
+#: Members, and hashes of sets, of a block where components of a bucket are compared.
+BLOCK, BLOCK_HASHES = 512, 1 << 19
 #: Signatures are kept as 16 bits a place; classes below this estimate are not linked at 0.8 (over seven deviations).
 LOWEST = 0.55
 
@@ -171,34 +171,55 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "x").join(two, "y").select("x", "y", "xs", "ys").mapInArrow(run, "u long, v long")
 
 
-def _similar(blocks: DataFrame, nearest: int | None) -> DataFrame:
-    """Pairs of different components in the same block group by signature: the nearest few of each member, or all above LOWEST."""
+def _apart(blocks: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between members of different components in the same pair of blocks, as a spanning forest.
+
+    Pairs whose signatures allow it are confirmed on the full sets, which lie in the blocks. A pair that shares
+    several buckets is looked at in the first of them, and not at all once it is joined in this pair of blocks.
+    """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        band = key[0].as_py()
         sig = np.frombuffer(b"".join(x.as_py() for x in table["sig"]), "<u2").reshape(-1, PLACES)
         cid, comp, side, n = (table[c].to_numpy() for c in ("cid", "comp", "side", "n"))
         left = np.flatnonzero(side <= 0)
         right = left if key[2] == key[3] else np.flatnonzero(side > 0)
+        ends = np.cumsum(n)
+        _, element = np.unique(np.frombuffer(b"".join(x.as_py() for x in table["members"]), np.uint64), return_inverse=True)
+        mark = np.zeros(len(element) + 1, bool)
+        _, root = np.unique(comp, return_inverse=True)
         out = []
         for i in left.tolist():
-            near = (sig[right] == sig[i]).mean(1)
-            near[(comp[right] == comp[i]) | (cid[right] == cid[i]) | (np.minimum(n[right], n[i]) < 0.8 * np.maximum(n[right], n[i]))] = 0
-            hits = np.flatnonzero(near >= LOWEST)
-            if nearest is not None:
-                hits = hits[np.argsort(-near[hits], kind="stable")[:nearest]]
-            out += [(min(cid[i], cid[right[j]]), max(cid[i], cid[right[j]])) for j in hits.tolist()]
-        return pa.table({"x": pa.array([a for a, _ in out], pa.int64()), "y": pa.array([b for _, b in out], pa.int64())})
-
-    return blocks.groupBy("band", "key", "one", "two").applyInArrow(run, "x long, y long").distinct()
+            fit = (root[right] != root[i]) & (np.minimum(n[right], n[i]) * 100 >= percent * np.maximum(n[right], n[i]))
+            others = right[fit]
+            same = sig[others] == sig[i]
+            near = same.mean(1) >= LOWEST
+            if band:
+                near &= ~same[:, : band * ROWS].reshape(len(others), band, ROWS).all(2).any(1)
+            others = others[near]
+            if not len(others):
+                continue
+            mark[element[ends[i] - n[i] : ends[i]]] = True
+            sizes = n[others]
+            stops = np.cumsum(sizes)
+            at = np.arange(stops[-1]) + np.repeat(ends[others] - stops, sizes)
+            both = np.add.reduceat(mark[element[at]].astype(np.int64), stops - sizes)
+            mark[element[ends[i] - n[i] : ends[i]]] = False
+            linked = others[100 * both >= percent * (n[i] + sizes - both)]
+            roots, first = np.unique(root[linked], return_index=True)
+            out += [(cid[i], cid[j]) for j in linked[first].tolist()]
+            root[np.isin(root, roots)] = root[i]
+        return pa.table({"u": pa.array([a for a, _ in out], pa.int64()), "v": pa.array([b for _, b in out], pa.int64())})
+
+    return blocks.groupBy("band", "key", "one", "two").applyInArrow(run, "u long, v long")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
     """Deal the members of each bucket of several components to pairs of blocks; side -1 or 1 tells the block, 0 both."""
     spread = F.pmod(F.xxhash64("cid"), F.col("n_blocks")).cast("int")
-    m = members.withColumn("n_blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")).withColumn("own", spread)
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    m = members.withColumn("own", spread).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1)
-    return m.select("band", "key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "cid", "comp", "n", "sig", side.alias("side"))
+    return m.select("band", "key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "cid", "comp", "n", "sig", "members", side.alias("side"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
@@ -231,20 +252,16 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     links = materialize(_verify(pairs, sets, percent), "links")
     found = materialize(components(links), "roots")
 
-    for nearest in (3, None):
-        parted = large.join(found.withColumnRenamed("node", "_cid"), F.col("cid") == F.col("_cid"), "left").withColumn("comp", F.coalesce("root", "cid")).drop("root", "_cid")
-        parted = materialize(parted, "parted")
-        several = parted.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-        several = materialize(several.select(F.col("band").alias("_band"), F.col("key").alias("_key")), "several")
-        members = parted.join(several, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key")), "left_semi")
-        signed = classes.select(F.col("cid").alias("_cid"), "sig")
-        members = materialize(members.join(signed, F.col("cid") == F.col("_cid")).drop("_cid"), "members")
-        more = materialize(_similar(_blocks(members), nearest), "more")
-        new = materialize(_verify(more, sets, percent), "links")
-        if new.limit(1).count() == 0:
-            continue
-        links = links.union(new)
-        found = materialize(components(links), "roots")
+    parted = large.join(found.withColumnRenamed("node", "_cid"), F.col("cid") == F.col("_cid"), "left").withColumn("comp", F.coalesce("root", "cid")).drop("root", "_cid")
+    parted = materialize(parted, "parted")
+    several = parted.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("hashes")).where("c0 <> c1")
+    n_blocks = F.ceil(F.greatest(F.col("size") / F.lit(BLOCK), F.col("hashes") / F.lit(BLOCK_HASHES))).cast("int")
+    several = materialize(several.select(F.col("band").alias("_band"), F.col("key").alias("_key"), n_blocks.alias("n_blocks")), "several")
+    members = parted.join(several, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key"))).select("band", "key", "cid", "comp", "n", "n_blocks")
+    signed = classes.select(F.col("cid").alias("_cid"), "sig").join(sets.withColumnRenamed("cid", "_set"), F.col("_cid") == F.col("_set"))
+    more = materialize(_apart(_blocks(members.join(signed, F.col("cid") == F.col("_cid"))), percent), "more")
+    if more.limit(1).count():
+        found = materialize(components(links.union(more)), "roots")
 
     owned = classes.select("a", "b", "rep", "cid").join(found, F.col("cid") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cid"))
     owned = materialize(owned.select("a", "b", "rep", "comp"), "owned")
