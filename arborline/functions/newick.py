@@ -92,10 +92,6 @@ def oriented(rows: Column, least: Column) -> Column:
     return F.zip_with(rows, least, lambda r, m: F.when(m["c1"] < m["c2"], F.struct(r["b1"], r["b2"])).otherwise(F.struct(r["b2"].alias("b1"), r["b1"].alias("b2"))))
 
 
-def pairs_of(rows: Column) -> Column:
-    return F.transform(rows, lambda r: F.struct(r["c1"].alias("c1"), r["c2"].alias("c2")))
-
-
 def label_pieces(newick: Column) -> Column:
     """Pieces of a string without its parents' labels: brackets and commas as they are, leaves with their lengths."""
     bare = F.regexp_replace(newick, r"\)[^(),;:]+", ")")

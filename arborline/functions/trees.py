@@ -289,17 +289,20 @@ def without_leaf(rows: Column, leaf: Column) -> Column:
     return F.transform(F.array(held), result).getItem(0)
 
 
-def order_by_sister(pairs: Column) -> Column:
+def order_by_sister(pairs: Column, lengths: bool = False) -> Column:
     """(s, r, c1, c2) of unlabelled cherries (the smallest leaves of both sides) in merge order; ``r`` is the old place.
 
     A row goes by the smallest leaf that was added so far to its smaller leaf, downwards; ties keep their order.
+    With ``lengths`` a row's b1 and b2 go along, the smaller leaf's first.
     """
 
     def keyed(e, r):
         low, high = F.least(e["c1"], e["c2"]), F.greatest(e["c1"], e["c2"])
         same = F.filter(F.slice(pairs, F.lit(1), r + 1), lambda o: F.least(o["c1"], o["c2"]) == low)
         sister = F.array_min(F.transform(same, lambda o: F.greatest(o["c1"], o["c2"])))
-        return F.struct((-sister).alias("s"), r.alias("r"), low.alias("c1"), high.alias("c2"))
+        first = e["c1"] < e["c2"]
+        more = [F.when(first, e["b1"]).otherwise(e["b2"]).alias("b1"), F.when(first, e["b2"]).otherwise(e["b1"]).alias("b2")] if lengths else []
+        return F.struct((-sister).alias("s"), r.alias("r"), low.alias("c1"), high.alias("c2"), *more)
 
     return F.sort_array(F.transform(pairs, keyed))
 

@@ -65,14 +65,12 @@ def vector_of_newick(trees: DataFrame, lengths: bool = False, column: str = "new
     checked = F.when(nw.is_binary(text) | (F.length(text) == 0), text).otherwise(F.raise_error(F.concat(F.lit("not a binary tree: "), text)).cast("string"))
     t = trees.withColumn("_tokens", nw.tokens(checked)).withColumn("_parsed", nw.parse(F.col("_tokens"), lengths)).withColumn("_named", nw.has_parents(text))
     t = t.withColumn("_sorted", nw.by_parent(F.col("_parsed"))).withColumn("_least", tr.least_leaves(F.col("_sorted")))
-    t = t.withColumn("_order", tr.order_by_sister(nw.pairs_of(F.col("_parsed"))))
+    t = t.withColumn("_order", tr.order_by_sister(F.col("_parsed"), lengths))
     unnamed = F.transform(F.col("_order"), lambda e: F.struct(e["c1"], e["c2"]))
     t = t.withColumn("_pairs", F.when(F.col("_named"), F.col("_least")).otherwise(unnamed)).withColumn("v", tr.from_pairs(F.col("_pairs")))
     if lengths:
-        labelled = nw.oriented(F.col("_sorted"), F.col("_least"))
-        parsed = F.col("_parsed")
-        bare = F.transform(F.col("_order"), lambda e: F.when(F.get(parsed, e["r"])["c1"] < F.get(parsed, e["r"])["c2"], F.struct(F.get(parsed, e["r"])["b1"].alias("b1"), F.get(parsed, e["r"])["b2"].alias("b2"))).otherwise(F.struct(F.get(parsed, e["r"])["b2"].alias("b1"), F.get(parsed, e["r"])["b1"].alias("b2"))))
-        t = t.withColumn("bls", F.when(F.col("_named"), labelled).otherwise(bare))
+        bare = F.transform(F.col("_order"), lambda e: F.struct(e["b1"], e["b2"]))
+        t = t.withColumn("bls", F.when(F.col("_named"), nw.oriented(F.col("_sorted"), F.col("_least"))).otherwise(bare))
     return t.drop("_tokens", "_parsed", "_named", "_sorted", "_least", "_order", "_pairs")
 
 
