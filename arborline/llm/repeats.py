@@ -31,15 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
-from .suffixes import enhanced, intervals, ranks
+from .suffixes import intervals
 from .textbytes import SLICE_BYTES, mix, slices
 
 LENGTH, GRAM = 200, 40
 WIDTH = LENGTH - GRAM + 1
 #: Classes of one anchor that are compared in one bucket at most; bytes of a bucket, about.
-CROWD, BUCKET_BYTES = 1000, 1 << 20
-#: Bytes in the first comparison of suffixes.
-STEP = 8
+CROWD, BUCKET_BYTES = 1000, 1 << 19
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -154,38 +152,45 @@ def _bytes(docs: DataFrame, classes: DataFrame) -> DataFrame:
 def maximal_repeats(strings: list[bytes], family: np.ndarray, least: int = LENGTH) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(length, strings, places) of the maximal repeats of ``least`` bytes or more in strings of the same family.
 
-    The suffix array compares STEP bytes at first, and ``least`` must be a multiple of that; lengths are exact.
+    The suffix array is sparse: it holds the suffixes of ``least`` bytes or more whose first half of that many bytes
+    occurs again in the family, by a hash; they are sorted by all their bytes, so prefixes are exact.
     """
     data = np.frombuffer(b"".join(strings), np.uint8)
     sizes = np.array([len(s) for s in strings], np.int64)
     ends = np.cumsum(sizes)
-    which = np.repeat(np.arange(len(strings)), sizes)
-    left = ends[which] - np.arange(len(data))
-    padded = np.concatenate([data, np.zeros(STEP, np.uint8)]).astype(np.uint64)
-    word = np.zeros(len(data), np.uint64)
-    for k in range(STEP):
-        word = word << _U(8) | padded[k : k + len(data)]
-    # a suffix of fewer bytes than a step is alone
-    alone = np.where(left < STEP, np.arange(len(data)), -1)
-    sa, lcp = enhanced(ranks(alone, word, family[which]), left, step=STEP)
-    # suffixes are in order of their bytes, so what is left of a step is found between neighbours
-    near = np.flatnonzero(lcp >= least)
-    for _ in range(STEP - 1):
-        i, j = sa[near - 1], sa[near]
-        near = near[(lcp[near] < left[i]) & (lcp[near] < left[j])]
-        near = near[data[sa[near - 1] + lcp[near]] == data[sa[near] + lcp[near]]]
-        lcp[near] += 1
-    before = np.full(len(data), -1, np.int64)
-    before[1:] = data[:-1]
-    before[ends - sizes] = -1 - np.arange(len(strings))  # nothing stands before: unlike all others
-    change = np.zeros(len(sa), np.int64)
-    change[1:] = np.cumsum(before[sa[1:]] != before[sa[:-1]])
-    out = []
-    for length, a, b in intervals(lcp, least):
-        if change[b] > change[a]:
-            p = sa[a : b + 1]
-            out.append((length, which[p], p - (ends - sizes)[which[p]]))
-    return out
+    n = np.maximum(sizes - least + 1, 0)
+    if not n.any():
+        return []
+    which = np.repeat(np.arange(len(strings)), n)
+    at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n - (ends - sizes), n)
+    half = _Sums(data).of(at, at + least // 2) ^ mix(family.astype(np.uint64))[which]
+    _, group, size = np.unique(half, return_inverse=True, return_counts=True)
+    again = size[group] > 1
+    at, which = at[again], which[again]
+    if not len(at):
+        return []
+    # of suffixes that differ only in zero bytes at their ends the shorter comes first
+    order = np.argsort(ends[which] - at, kind="stable")
+    at, which = at[order], which[order]
+    left = ends[which] - at
+    # a row for each suffix: its family, its bytes, and zeros after its end
+    width = int(left.max())
+    padded = np.concatenate([data, np.zeros(width, np.uint8)])
+    table = np.lib.stride_tricks.sliding_window_view(padded, width)[at]
+    table[np.arange(width) >= left[:, None]] = 0
+    table = np.concatenate([family[which].astype(">u4").view(np.uint8).reshape(-1, 4), table], 1)
+    sa = np.argsort(table.view(f"S{width + 4}").ravel(), kind="stable")
+    lcp = np.zeros(len(sa), np.int64)
+    for a in range(1, len(sa), 65_536):
+        b = min(len(sa), a + 65_536)
+        apart = table[sa[a:b]] != table[sa[a - 1 : b - 1]]
+        lcp[a:b] = np.where(apart.any(1), apart.argmax(1), width + 4) - 4
+    lcp[1:] = np.minimum(lcp[1:], np.minimum(left[sa[1:]], left[sa[:-1]]))
+    # what stands before a suffix; nothing at the start of a string, which is unlike all else
+    before = np.where(at == (ends - sizes)[which], -1 - which, data[np.maximum(at - 1, 0)].astype(np.int64))[sa]
+    change = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
+    place = at - (ends - sizes)[which]
+    return [(length, which[sa[a : b + 1]], place[sa[a : b + 1]]) for length, a, b in intervals(lcp, least) if change[b] > change[a]]
 
 
 def _edges(table: pa.Table) -> pa.Table:
@@ -230,7 +235,7 @@ def _windows(crowds: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(_id, _th, spans): for each text with repeats, the (start, size) of their spans, in bytes, overlapping or not."""
-    runs = _runs(docs)
+    runs = materialize(_runs(docs), "runs")
     seen = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("n > 1")
     seen = materialize(seen.selectExpr("anchor AS _anchor", "a <> b AS mixed"), "anchors")
     shared = materialize(runs.join(seen, F.col("anchor") == F.col("_anchor")).drop("_anchor"), "shared")
@@ -250,7 +255,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         return _edges(table)
 
     found = calm.select("bucket", "anchor", "whole", "n", "bytes").groupBy("bucket").applyInArrow(edges, "anchor long, whole long, start long, size long")
-    windows = _windows(cut.where("crowd"))
+    # a class makes a row for each of its windows, so classes are dealt evenly first
+    windows = _windows(cut.where("crowd").repartition(F.col("whole")))
     again = materialize(windows.groupBy("window", "anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("window").alias("_w"), F.col("anchor").alias("_a")), "windows")
     hit = windows.where("n = 1").join(again, (F.col("window") == F.col("_w")) & (F.col("anchor") == F.col("_a"))).select("anchor", "whole", "start", F.lit(LENGTH).cast("long").alias("size"))
     found = materialize(found.union(hit).withColumnsRenamed({"anchor": "_anchor", "whole": "_whole"}), "edges")

@@ -23,17 +23,16 @@ def ranks(*keys: np.ndarray) -> np.ndarray:
     return rank
 
 
-def enhanced(rank: np.ndarray, left: np.ndarray, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def enhanced(rank: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and LCP array.
 
-    ``rank``: ranks of the suffixes by their first ``step`` symbols, apart between families and for suffixes that are
-    shorter; ``left``: symbols from each position to the end of its sequence. lcp[r] is the common prefix of suffixes
-    sa[r - 1] and sa[r] in whole steps; lcp[0] is 0.
+    ``rank``: ranks of the suffixes by their first symbols, apart between families; ``left``: symbols from each
+    position to the end of its sequence. lcp[r] is the common prefix of suffixes sa[r - 1] and sa[r]; lcp[0] is 0.
     """
     n = len(rank)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    levels, h = [rank.copy()], step
+    levels, h = [rank.copy()], 1
     while True:
         size = np.bincount(rank, minlength=n)
         active = np.flatnonzero(size[rank] > 1)
@@ -61,7 +60,7 @@ def enhanced(rank: np.ndarray, left: np.ndarray, step: int = 1) -> tuple[np.ndar
     for k in range(len(levels) - 1, -1, -1):
         if not len(alive):
             break
-        size, lv = step << k, levels[k]
+        size, lv = 1 << k, levels[k]
         i, j = x[alive], y[alive]
         inside = (i < n) & (j < n)
         same = np.zeros(len(alive), bool)
