@@ -10,8 +10,9 @@ text of n bytes has about 2n / (LENGTH - GRAM) runs, and only runs travel:
    put into one bucket; over a bucket's bytes an enhanced suffix array is built, the stack scan of its LCP array
    gives the common-prefix intervals of LENGTH or more, and those with diverse left extensions are the maximal
    repeats, with all their occurrences, whose spans are removed.
-4. An anchor of more than CROWD classes (a passage with thousands of surroundings) is split by window: windows are
-   counted by their hash, with partial sums, so no task holds such a group.
+4. An anchor of more than CROWD classes (a passage with thousands of surroundings) is dealt to blocks, which are
+   treated alike; windows that occur once in their block are then counted by their hash over all blocks, with partial
+   sums, so no task holds such a group.
 
 Spans of a text are united, and the rest of its bytes is kept.
 
@@ -129,7 +130,7 @@ def _text_join(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
 
 def _bytes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The bytes of the classes' representatives."""
-    wanted = classes.groupBy(F.col("rep.doc_id").alias("_id"), F.col("rep.th").alias("_th")).agg(F.collect_list(F.struct("anchor", "whole", "n", F.col("rep.at").alias("at"), "crowd")).alias("runs"))
+    wanted = classes.groupBy(F.col("rep.doc_id").alias("_id"), F.col("rep.th").alias("_th")).agg(F.collect_list(F.struct("anchor", "whole", "n", F.col("rep.at").alias("at"), "crowd", "members")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -143,10 +144,10 @@ def _bytes(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 runs = pa.RecordBatch.from_struct_array(batch.column(3)[row].values)
                 at = runs.column(3).to_numpy()
                 cut = [text[a : a + n].tobytes() for a, n in zip((at >> 20).tolist(), ((at >> 10) & 1023).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*runs.columns, pa.array(cut, pa.binary())], ["anchor", "whole", "n", "at", "crowd", "bytes"])
+                yield pa.RecordBatch.from_arrays([*runs.columns, pa.array(cut, pa.binary())], ["anchor", "whole", "n", "at", "crowd", "members", "bytes"])
 
     joined = _text_join(docs, wanted, "inner").select("doc_id", "th", "text", "runs")
-    return joined.mapInArrow(run, "anchor long, whole long, n long, at long, crowd boolean, bytes binary")
+    return joined.mapInArrow(run, "anchor long, whole long, n long, at long, crowd boolean, members long, bytes binary")
 
 
 def maximal_repeats(strings: list[bytes], family: np.ndarray, least: int = LENGTH) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -211,26 +212,94 @@ def _edges(table: pa.Table) -> pa.Table:
     return pa.table({"anchor": table["anchor"].take(pa.array(which)), "whole": table["whole"].take(pa.array(which)), "start": pa.array(start - base[which], pa.int64()), "size": pa.array(end - start, pa.int64())})
 
 
-def _windows(crowds: DataFrame) -> DataFrame:
-    """(window, anchor, whole, start): the hash of each window of each class of crowded anchors."""
+def _ranges(flags: np.ndarray, string: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and lengths of the runs of set flags, each within a string."""
+    padded = np.concatenate([[False], flags, [False]])
+    cut = np.zeros(len(flags) + 1, bool)
+    cut[1:-1] = string[1:] != string[:-1]
+    start = np.flatnonzero(padded[1:-1] & (~padded[:-2] | cut[:-1]))
+    end = np.flatnonzero(padded[1:-1] & (~padded[2:] | cut[1:])) + 1
+    return start, end - start
+
+
+def _block(table: pa.Table) -> pa.Table:
+    """A block of a crowd: spans repeated inside it ("span"), and ranges of windows to look for in other blocks.
+
+    The latter are windows that occur once here, in a class of one ("ask"), and one occurrence of each other ("show").
+    """
+    spans = _edges(table)
+    strings = [v.as_py() for v in table["bytes"]]
+    sizes = np.array([len(x) for x in strings], np.int64)
+    n = sizes - LENGTH + 1
+    string = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(string)) - np.repeat(np.cumsum(n) - n, n)
+    p = place + (np.cumsum(sizes) - sizes)[string]
+    _, first, group, count = np.unique(_Sums(np.frombuffer(b"".join(strings), np.uint8)).of(p, p + LENGTH), return_index=True, return_inverse=True, return_counts=True)
+    ask = (count[group] == 1) & (table["n"].to_numpy()[string] == 1)
+    show = np.zeros(len(string), bool)
+    show[first] = True
+    parts = [(spans["anchor"].to_pylist(), spans["whole"].to_pylist(), "span", spans["start"].to_pylist(), spans["size"].to_pylist())]
+    for kind, flags in (("ask", ask), ("show", show & ~ask)):
+        at, size = _ranges(flags, string)
+        which = pa.array(string[at])
+        parts.append((table["anchor"].take(which).to_pylist(), table["whole"].take(which).to_pylist(), kind, place[at].tolist(), size.tolist()))
+    flat = lambda c: [x for part in parts for x in part[c]]
+    kinds = [part[2] for part in parts for _ in part[0]]
+    return pa.table({"anchor": pa.array(flat(0), pa.int64()), "whole": pa.array(flat(1), pa.int64()), "kind": pa.array(kinds, pa.string()), "start": pa.array(flat(3), pa.int64()), "size": pa.array(flat(4), pa.int64())})
+
+
+def _windows(classes: DataFrame) -> DataFrame:
+    """(window, anchor, whole, start, ask): the hash of each window in the ranges of classes (anchor, whole, bytes, ranges)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, len(batch), 2048):
                 b = batch.slice(a, 2048)
-                cut = b.column(5)
-                size = np.array([len(x) for x in cut.to_pylist()], np.int64)
-                data = np.frombuffer(b"".join(cut.to_pylist()), np.uint8)
-                n = size - LENGTH + 1
-                first = np.cumsum(size) - size
-                row = np.repeat(np.arange(len(n)), n)
-                start = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                p = start + first[row]
-                hashes = _Sums(data).of(p, p + LENGTH)
+                strings = b.column(2).to_pylist()
+                size = np.array([len(x) for x in strings], np.int64)
+                sums = _Sums(np.frombuffer(b"".join(strings), np.uint8))
+                lists = b.column(3)
+                row = np.repeat(np.arange(len(b)), lists.value_lengths().to_numpy())
+                ranges = lists.flatten()
+                first, n, ask = (ranges.field(c).to_numpy(zero_copy_only=False) for c in ("start", "size", "ask"))
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+                row, ask = np.repeat(row, n), np.repeat(ask, n)
+                p = at + (np.cumsum(size) - size)[row]
                 which = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), b.column(0).take(which), b.column(1).take(which), b.column(2).take(which), pa.array(start, pa.int64())], ["window", "anchor", "whole", "n", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(sums.of(p, p + LENGTH).astype(np.int64)), b.column(0).take(which), b.column(1).take(which), pa.array(at, pa.int64()), pa.array(ask, pa.bool_())], ["window", "anchor", "whole", "start", "ask"])
+
+    return classes.mapInArrow(run, "window long, anchor long, whole long, start long, ask boolean")
 
-    return crowds.mapInArrow(run, "window long, anchor long, whole long, n long, start long")
+
+def _crowded(cut: DataFrame) -> DataFrame:
+    """Spans (anchor, whole, start, size) of the repeats in classes of crowded anchors.
+
+    Classes are dealt to blocks, where the suffix array finds what is repeated inside; windows that a block holds
+    once are looked for in other blocks by their hash, with partial counts, so a passage that all of a crowd shares
+    is settled in the blocks, and no task holds a crowd.
+    """
+    crowd = cut.where("crowd")
+    dealt = crowd.withColumn("block", F.pmod(F.xxhash64("whole"), F.ceil(F.col("members") / F.lit(CROWD))))
+
+    def block(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return _block(table)
+
+    local = dealt.select("anchor", "block", "whole", "n", "bytes").groupBy("anchor", "block").applyInArrow(block, "anchor long, whole long, kind string, start long, size long")
+    local = materialize(local, "blocks")
+    ranges = local.where("kind <> 'span'").groupBy(F.col("anchor").alias("_anchor"), F.col("whole").alias("_whole")).agg(F.collect_list(F.struct("start", "size", (F.col("kind") == "ask").alias("ask"))).alias("ranges"))
+    asked = crowd.join(ranges, (F.col("anchor") == F.col("_anchor")) & (F.col("whole") == F.col("_whole"))).select("anchor", "whole", "bytes", "ranges")
+    # a class makes a row for each of its windows, so classes are dealt evenly first
+    windows = _windows(asked.repartition(F.col("whole")))
+    again = windows.groupBy("window", "anchor").agg(F.count(F.lit(1)).alias("c"), F.max("ask").alias("asked")).where("c > 1 AND asked")
+    again = materialize(again.select(F.col("window").alias("_w"), F.col("anchor").alias("_a")), "windows")
+    hits = windows.where("ask").join(again, (F.col("window") == F.col("_w")) & (F.col("anchor") == F.col("_a"))).groupBy("anchor", "whole").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    # starts in a row make one span
+    united = F.expr(f"""aggregate(starts, cast(array() AS array<struct<start:bigint,size:bigint>>), (acc, x) ->
+        IF(size(acc) > 0 AND x <= element_at(acc, -1).start + element_at(acc, -1).size - {LENGTH} + 1,
+           concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'size', x - element_at(acc, -1).start + {LENGTH}L))),
+           array_append(acc, named_struct('start', x, 'size', {LENGTH}L))))""")
+    far = hits.select("anchor", "whole", F.explode(united).alias("s")).select("anchor", "whole", "s.start", "s.size")
+    return local.where("kind = 'span'").select("anchor", "whole", "start", "size").union(far)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -243,7 +312,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     mixed = shared.where("mixed").groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "at")).alias("rep"))
     classes = materialize(mixed, "classes")
-    crowds = materialize(classes.groupBy("anchor").count().where(F.col("count") > CROWD).select(F.col("anchor").alias("_anchor")), "crowds")
+    crowds = materialize(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > CROWD).withColumnRenamed("anchor", "_anchor"), "crowds")
     flagged = classes.join(crowds, F.col("anchor") == F.col("_anchor"), "left").withColumn("crowd", F.col("_anchor").isNotNull()).drop("_anchor")
     cut = materialize(_bytes(docs, flagged), "bytes")
 
@@ -255,11 +324,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         return _edges(table)
 
     found = calm.select("bucket", "anchor", "whole", "n", "bytes").groupBy("bucket").applyInArrow(edges, "anchor long, whole long, start long, size long")
-    # a class makes a row for each of its windows, so classes are dealt evenly first
-    windows = _windows(cut.where("crowd").repartition(F.col("whole")))
-    again = materialize(windows.groupBy("window", "anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("window").alias("_w"), F.col("anchor").alias("_a")), "windows")
-    hit = windows.where("n = 1").join(again, (F.col("window") == F.col("_w")) & (F.col("anchor") == F.col("_a"))).select("anchor", "whole", "start", F.lit(LENGTH).cast("long").alias("size"))
-    found = materialize(found.union(hit).withColumnsRenamed({"anchor": "_anchor", "whole": "_whole"}), "edges")
+    found = found.union(_crowded(cut))
+    found = materialize(found.withColumnsRenamed({"anchor": "_anchor", "whole": "_whole"}), "edges")
 
     reps = classes.where("n = 1").select("anchor", "whole", "rep")
     at_edges = reps.join(found, (F.col("anchor") == F.col("_anchor")) & (F.col("whole") == F.col("_whole")))
