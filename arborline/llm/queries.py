@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat, licenses, mixing, nearset, quality, repeats, sharding, urls, vectors
+from .sql import SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,4 +29,4 @@ QUERIES = {
     "op10_bpe": _on("documents", bpe.encode_digest),
 }
 
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
