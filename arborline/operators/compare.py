@@ -11,7 +11,7 @@ from ..plans import stages
 
 def splits(trees: DataFrame) -> DataFrame:
     """(tree_id, split): the non-trivial splits of every tree, as the sorted leaves of the canonical side, joined by commas."""
-    return stages.splits(trees).select("tree_id", F.explode(F.transform("splits", lambda s: F.array_join(s, ","))).alias("split"))
+    return stages.exploded(stages.splits(trees), F.transform("splits", lambda s: F.array_join(s, ",")), "tree_id", row="_", item="split").drop("_")
 
 
 def robinson_foulds(trees: DataFrame, a: str = "v", b: str = "w", normalize: bool = False) -> DataFrame:
@@ -30,7 +30,7 @@ def rf_all_pairs(trees: DataFrame) -> DataFrame:
     quadratic by definition. What is shuffled for the count is one row a split.
     """
     t = stages.splits(trees).select("tree_id", F.size("v").alias("k"), F.size("splits").alias("n"), F.transform("splits", lambda s: F.array_join(s, ",")).alias("splits"))
-    held = t.select("tree_id", "k", F.explode("splits").alias("split"))
+    held = stages.exploded(t, "splits", "tree_id", "k", row="_", item="split").drop("_")
     other = held.withColumnsRenamed({"tree_id": "b", "k": "k2", "split": "split2"})
     shared = held.join(other, (F.col("k") == F.col("k2")) & (F.col("split") == F.col("split2")) & (F.col("tree_id") < F.col("b")))
     shared = shared.groupBy(F.col("tree_id").alias("a2"), F.col("b").alias("b2")).agg(F.count(F.lit(1)).alias("common"))
@@ -42,7 +42,7 @@ def rf_all_pairs(trees: DataFrame) -> DataFrame:
 
 def split_support(trees: DataFrame) -> DataFrame:
     """(n_leaves, split, trees, support): how many trees of a size hold each split; the sums are partial before the shuffle."""
-    t = stages.splits(trees).select((F.size("v") + 1).alias("n_leaves"), F.explode(F.transform("splits", lambda s: F.array_join(s, ","))).alias("split"))
+    t = stages.exploded(stages.splits(trees), F.transform("splits", lambda s: F.array_join(s, ",")), (F.size("v") + 1).alias("n_leaves"), row="_", item="split")
     counts = t.groupBy("n_leaves", "split").agg(F.count(F.lit(1)).alias("trees"))
     totals = trees.groupBy((F.size("v") + 1).alias("n")).agg(F.count(F.lit(1)).alias("all"))
     return counts.join(totals, F.col("n_leaves") == F.col("n")).select("n_leaves", "split", "trees", (F.col("trees") / F.col("all")).alias("support"))

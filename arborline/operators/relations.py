@@ -12,20 +12,20 @@ TREE = "tree_id"
 
 
 def pairs(trees: DataFrame) -> DataFrame:
-    return stages.pairs(trees).select(TREE, F.posexplode("pairs").alias("row", "e")).select(TREE, "row", "e.c1", "e.c2")
+    return stages.exploded(stages.pairs(trees), "pairs", TREE).select(TREE, "row", "e.c1", "e.c2")
 
 
 def ancestry(trees: DataFrame) -> DataFrame:
-    return stages.ancestry(trees).select(TREE, F.posexplode("rows").alias("row", "e")).select(TREE, "row", "e.c1", "e.c2", "e.p")
+    return stages.exploded(stages.ancestry(trees), "rows", TREE).select(TREE, "row", "e.c1", "e.c2", "e.p")
 
 
 def edges(trees: DataFrame) -> DataFrame:
-    e = stages.edges(trees).select(TREE, F.posexplode("edges").alias("at", "e"))
+    e = stages.exploded(stages.edges(trees), "edges", TREE, row="at")
     return e.select(TREE, F.floor(F.col("at") / 2).cast("int").alias("row"), (F.col("at") % 2).alias("side"), "e.child", "e.parent")
 
 
 def node_depths(trees: DataFrame, lengths: bool = False) -> DataFrame:
-    return stages.depths(trees, lengths).select(TREE, F.posexplode("depths").alias("node", "depth"))
+    return stages.exploded(stages.depths(trees, lengths), "depths", TREE, row="node", item="depth")
 
 
 def node_depth(trees: DataFrame, node: Column, lengths: bool = False) -> DataFrame:
@@ -56,7 +56,7 @@ def _leaf_pairs(trees: DataFrame, lengths: bool) -> DataFrame:
 def _mirrored(half: DataFrame) -> DataFrame:
     """Both halves of a symmetric matrix from (row <= col, value), in the same rows."""
     both = F.when(F.col("row") == F.col("col"), F.array(F.struct("row", "col", "value"))).otherwise(F.array(F.struct("row", "col", "value"), F.struct(F.col("col").alias("row"), F.col("row").alias("col"), "value")))
-    return half.select(TREE, F.explode(both).alias("e")).select(TREE, "e.row", "e.col", "e.value")
+    return stages.exploded(half, both, TREE, row="_").select(TREE, "e.row", "e.col", "e.value")
 
 
 def cophenetic(trees: DataFrame, unrooted: bool = False, lengths: bool = False) -> DataFrame:
@@ -86,9 +86,9 @@ def vcv(trees: DataFrame, lengths: bool = False) -> DataFrame:
 
 def incidence(trees: DataFrame) -> DataFrame:
     """(tree_id, edge, row, col, value): -1 at a branch's parent, 1 at its child; the column is the child's label."""
-    e = stages.edges(trees).select(TREE, F.posexplode("edges").alias("edge", "e"))
+    e = stages.exploded(stages.edges(trees), "edges", TREE, row="edge")
     cells = F.array(F.struct(F.col("e.parent").alias("row"), F.lit(-1).alias("value")), F.struct(F.col("e.child").alias("row"), F.lit(1).alias("value")))
-    return e.select(TREE, "edge", F.col("e.child").alias("col"), F.explode(cells).alias("c")).select(TREE, "edge", "c.row", "col", "c.value")
+    return stages.exploded(e, cells, TREE, "edge", F.col("e.child").alias("col"), row="_", item="c").select(TREE, "edge", "c.row", "col", "c.value")
 
 
 def _compressed(trees: DataFrame, by: str, other: str, size: Column) -> DataFrame:
@@ -135,7 +135,7 @@ def pre_precision(trees: DataFrame, lengths: bool = False) -> DataFrame:
     own = F.transform(F.sequence(F.lit(0), 2 * k - 1), lambda n: F.struct(n.alias("row"), n.alias("col"), (weight(n) + below(n)).alias("value")))
     inner = F.filter("edges", lambda e: e["parent"] < 2 * k)
     off = F.flatten(F.transform(inner, lambda e: F.array(F.struct(e["parent"].alias("row"), e["child"].alias("col"), (-weight(e["child"])).alias("value")), F.struct(e["child"].alias("row"), e["parent"].alias("col"), (-weight(e["child"])).alias("value")))))
-    return stages.edges(t).select(TREE, F.explode(F.concat(own, off)).alias("e")).select(TREE, "e.row", "e.col", "e.value")
+    return stages.exploded(stages.edges(t), F.concat(own, off), TREE, row="_").select(TREE, "e.row", "e.col", "e.value")
 
 
 def balance(trees: DataFrame) -> DataFrame:

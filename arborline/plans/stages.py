@@ -6,13 +6,22 @@ see plain columns; Catalyst prunes what nothing reads.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import newick as nw
 from ..functions import trees as tr
 
 
+def exploded(df: DataFrame, column: str | Column, *keep: str | Column, row: str = "row", item: str = "e") -> DataFrame:
+    """A row for each item of an array, with its place.
+
+    An inner explode lets the optimiser infer a filter on the array and push it below all stages, where it would
+    compute each of them again, nested; an outer one, and a filter on its place, don't.
+    """
+    return df.select(*keep, F.posexplode_outer(column).alias(row, item)).where(F.col(row).isNotNull())
+
+
 def pairs(trees: DataFrame) -> DataFrame:
     return trees if "pairs" in trees.columns else trees.withColumn("pairs", tr.to_pairs(F.col("v")))
 

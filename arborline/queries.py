@@ -71,7 +71,7 @@ def _vector(df: DataFrame) -> DataFrame:
 
 
 def _lengths(df: DataFrame) -> DataFrame:
-    return df.select("tree_id", F.posexplode("bls").alias("row", "b")).select("tree_id", "row", "b.b1", "b.b2")
+    return stages.exploded(df, "bls", "tree_id").select("tree_id", "row", "e.b1", "e.b2")
 
 
 def _compressed(df: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ QUERIES = {
     "remove_parent_labels": _on(lambda t: stages.newick(t, True).select("tree_id", nw.remove_parent_labels(C("newick")).alias("newick"))),
     "remove_branch_lengths": _on(lambda t: stages.newick(t, True).select("tree_id", nw.remove_branch_lengths(C("newick")).alias("newick"))),
     "apply_label_mapping": lambda spark, sf_dir: _named(spark, sf_dir).select("tree_id", C("named").alias("newick")),
-    "create_label_mapping": lambda spark, sf_dir: _named(spark, sf_dir).withColumn("p", nw.label_pieces(C("named"))).select("tree_id", F.posexplode(nw.taxa(C("p"))).alias("leaf", "taxon")),
+    "create_label_mapping": lambda spark, sf_dir: stages.exploded(_named(spark, sf_dir).withColumn("p", nw.label_pieces(C("named"))), nw.taxa(C("p")), "tree_id", row="leaf", item="taxon"),
     "label_mapping_newick": lambda spark, sf_dir: _named(spark, sf_dir).withColumn("p", nw.label_pieces(C("named"))).select("tree_id", nw.numbered(C("p")).alias("newick")),
     "add_leaf": _on(lambda t: _vector(stages.with_leaf(t.withColumn("leaf", _node(F.size("v") + 2).cast("int")).withColumn("branch", ((C("tree_id") * 5 + 2) % (2 * F.size("v") + 1)).cast("int"))))),
     "remove_leaf": _on(lambda t: stages.without_leaf(t.withColumn("leaf", _node(F.size("v") + 1).cast("int"))).select("tree_id", "leaf", _joined(C("v")).alias("v"), "sister")),
