@@ -86,8 +86,9 @@ def vector_of_newick(trees: DataFrame, lengths: bool = False, column: str = "new
 def without_leaf(trees: DataFrame, leaf: str = "leaf") -> DataFrame:
     """``v`` without the leaf in column ``leaf``, and ``sister``."""
     t = ancestry(trees).withColumn("_cut", tr.without_leaf(F.col("rows"), F.col(leaf)))
-    t = vector_of_rows(t.withColumn("_rows", F.col("_cut.rows")).withColumn("sister", F.col("_cut.sister")), "_rows")
-    return t.drop("_cut", "_rows", "rows", "pairs")
+    t = t.withColumn("_l", tr.least_leaves(F.col("_cut.rows"))).withColumn("sister", F.col("_cut.sister")).withColumn("_o", tr.order_by_sister(F.col("_l")))
+    t = t.withColumn("v", tr.from_pairs(F.transform(F.col("_o"), lambda e: F.struct(e["c1"], e["c2"]))))
+    return t.drop("_cut", "_l", "_o", "rows", "pairs")
 
 
 def with_leaf(trees: DataFrame, leaf: str = "leaf", branch: str = "branch") -> DataFrame:
