@@ -50,18 +50,20 @@ def log_likelihood(rows: Column, bls: Column, states: Column) -> Column:
     ones = lambda: F.array(*[F.lit(1.0)] * 4)
     tip = lambda s: F.when(s == 4, ones()).otherwise(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.when(j == s, 1.0).otherwise(0.0)))
 
+    # binds a value to a name inside a fold, so that it is computed once
+    let = lambda x, f: F.transform(F.array(x), f).getItem(0)
+    total = lambda part: F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
+
     def step(acc, e):
         def below(child, length):
             part = F.when(child <= k, tip(F.get(states, child))).otherwise(F.get(acc["parts"], child - k - 1))
-            decay = F.exp(F.lit(-4.0 / 3) * length)
-            total = F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
-            return F.transform(part, lambda x: decay * x + (F.lit(1.0) - decay) * F.lit(0.25) * total)
+            moved = lambda q, d, t: F.transform(q, lambda x: d * x + (F.lit(1.0) - d) * F.lit(0.25) * t)
+            return let(part, lambda q: let(F.exp(F.lit(-4.0 / 3) * length), lambda d: let(total(q), lambda t: moved(q, d, t))))
 
         r, b = e["r"], e["b"]
         both = F.zip_with(below(r["c1"], b["b1"]), below(r["c2"], b["b2"]), lambda x, y: x * y)
-        top = F.array_max(both)
-        scaled = F.transform(both, lambda x: x / top)
-        return F.struct(F.array_append(acc["parts"], scaled).alias("parts"), (acc["log"] + F.ln(top)).alias("log"))
+        scaled = lambda p, top: F.struct(F.array_append(acc["parts"], F.transform(p, lambda x: x / top)).alias("parts"), (acc["log"] + F.ln(top)).alias("log"))
+        return let(both, lambda p: let(F.array_max(p), lambda top: scaled(p, top)))
 
     start = F.struct(F.expr("cast(array() as array<array<double>>)").alias("parts"), F.lit(0.0).alias("log"))
     steps = F.zip_with(rows, bls, lambda r, b: F.struct(r.alias("r"), b.alias("b")))
