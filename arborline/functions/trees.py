@@ -11,6 +11,9 @@ as Arrow kernels for trees of more than a few hundred leaves.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +33,16 @@ def _int(n: int | Column) -> Column:
     return (F.lit(n) if isinstance(n, int) else n).cast("int")
 
 
+def _once(f: Callable[..., Column]) -> Callable[..., Column]:
+    """Bind a function's first column to a name, so that it is computed once wherever the optimiser moves the expression."""
+
+    @functools.wraps(f)
+    def bound(x: Column, *args, **named) -> Column:
+        return F.transform(F.array(x), lambda y: f(y, *args, **named)).getItem(0)
+
+    return bound
+
+
 # -- validity
 
 
@@ -80,6 +93,7 @@ def to_pairs(v: Column) -> Column:
     return F.aggregate(_indexed(v), _empty(PAIRS), step)
 
 
+@_once
 def from_pairs(pairs: Column) -> Column:
     """The vector of pairs in merge order (of any orientation).
 
@@ -96,6 +110,7 @@ def from_pairs(pairs: Column) -> Column:
     return F.transform(F.sort_array(F.transform(pairs, place)), lambda e: e["x"])
 
 
+@_once
 def ancestry_of_pairs(pairs: Column) -> Column:
     """(c1, c2, p) of each row: a label stands for the last node that was made of it."""
     k = F.size(pairs)
@@ -115,6 +130,7 @@ def edges_of_ancestry(rows: Column) -> Column:
     return F.flatten(F.transform(rows, lambda r: F.array(F.struct(r["c1"].alias("child"), r["p"].alias("parent")), F.struct(r["c2"].alias("child"), r["p"].alias("parent")))))
 
 
+@_once
 def rows_of_edges(edges: Column) -> Column:
     """Ancestry rows of edges whose siblings lie side by side, in order of their parents; an odd count is an error."""
     half = F.when(F.size(edges) % 2 == 0, (F.size(edges) / 2).cast("int")).otherwise(F.raise_error(F.lit("edges must come in pairs")).cast("int"))
@@ -123,6 +139,7 @@ def rows_of_edges(edges: Column) -> Column:
     return F.transform(F.sort_array(rows), lambda r: F.struct(r["c1"], r["c2"], r["p"]))
 
 
+@_once
 def least_leaves(rows: Column) -> Column:
     """For each row, in an order that has children before parents, the smallest leaf under its first and second child."""
     parents = rows["p"]
@@ -138,6 +155,7 @@ def least_leaves(rows: Column) -> Column:
     return F.aggregate(rows, _empty(PAIRS), step)
 
 
+@_once
 def newick_of_pairs(pairs: Column, bls: Column | None = None) -> Column:
     """Nested brackets with the parents' labels; with branch lengths, ``:length`` after each child."""
     k = F.size(pairs)
@@ -184,6 +202,7 @@ def _top_down(rows: Column, k: Column, root: Column, child) -> Column:
     return F.aggregate(F.reverse(at), F.transform(F.sequence(F.lit(0), 2 * k), lambda n: root), step)
 
 
+@_once
 def node_depths(rows: Column, bls: Column | None = None) -> Column:
     """The depth of every node as a double; a branch counts 1 without lengths. No rows: one node of depth 0."""
 
@@ -193,6 +212,7 @@ def node_depths(rows: Column, bls: Column | None = None) -> Column:
     return _top_down(rows, F.size(rows), F.lit(0.0), child)
 
 
+@_once
 def node_lengths(rows: Column, bls: Column | None = None) -> Column:
     """The length of the branch above every node; 0 at the root."""
 
@@ -202,6 +222,7 @@ def node_lengths(rows: Column, bls: Column | None = None) -> Column:
     return _top_down(rows, F.size(rows), F.lit(0.0), child)
 
 
+@_once
 def ancestors(rows: Column) -> Column:
     """For every node the labels from itself to the root."""
     k = F.size(rows)
@@ -236,6 +257,7 @@ def common_ancestor(up: Column, a: Column, b: Column) -> Column:
     return F.array_min(F.array_intersect(F.get(up, a), F.get(up, b)))
 
 
+@_once
 def splits(rows: Column) -> Column:
     """The distinct non-trivial splits of the leaves by a branch: the smaller side, of equal sides the one with leaf 0; sorted leaves."""
     k = F.size(rows)
@@ -289,6 +311,7 @@ def without_leaf(rows: Column, leaf: Column) -> Column:
     return F.transform(F.array(held), result).getItem(0)
 
 
+@_once
 def order_by_sister(pairs: Column, lengths: bool = False) -> Column:
     """(s, r, c1, c2) of unlabelled cherries (the smallest leaves of both sides) in merge order; ``r`` is the old place.
 

@@ -295,7 +295,9 @@ def _bls(row: dict) -> list[tuple[float, float]] | None:
 
 def newicks(trees: DataFrame, lengths: bool = False, large: int = LARGE) -> DataFrame:
     """(tree_id, newick): small trees by folds in the JVM, trees of more than ``large`` places by the kernel."""
-    small = stages.newick(trees.where(F.size("v") <= large), lengths).select("tree_id", "newick")
+    # the fold itself sees no large tree, wherever the optimiser puts the filter
+    few = F.when(F.size("v") <= large, F.col("v"))
+    small = stages.newick(trees.where(F.size("v") <= large).withColumn("v", few), lengths).select("tree_id", "newick")
     kind = trees.schema["tree_id"].dataType.simpleString()
     wanted = trees.where(F.size("v") > large).select("tree_id", "v", *(["bls"] if lengths else []))
     return small.union(mapped(wanted, f"tree_id {kind}, newick string", lambda r: {"tree_id": r["tree_id"], "newick": newick(r["v"], _bls(r) if lengths else None)}))
@@ -304,7 +306,8 @@ def newicks(trees: DataFrame, lengths: bool = False, large: int = LARGE) -> Data
 def vectors(trees: DataFrame, large: int = LARGE) -> DataFrame:
     """(tree_id, v) of a table of integer Newick strings, split by the number of commas."""
     size = F.length("newick") - F.length(F.replace(F.col("newick"), F.lit(",")))
-    small = stages.vector_of_newick(trees.where(size <= large)).select("tree_id", "v")
+    few = F.when(size <= large, F.col("newick"))
+    small = stages.vector_of_newick(trees.where(size <= large).withColumn("newick", few)).select("tree_id", "v")
     kind = trees.schema["tree_id"].dataType.simpleString()
     return small.union(mapped(trees.where(size > large).select("tree_id", "newick"), f"tree_id {kind}, v array<int>", lambda r: {"tree_id": r["tree_id"], "v": from_newick(r["newick"])[0]}))
 

@@ -160,6 +160,8 @@ LEFT JOIN (SELECT s.tree_id AS a, t.tree_id AS b, count(*) AS c FROM sp s JOIN s
     "apply_label_mapping": _NAMED + "SELECT rep.tree_id, s AS newick FROM rep JOIN kk ON kk.tree_id=rep.tree_id AND n=k+1",
     "create_label_mapping": _NAMED + "SELECT tree_id, nth::INT AS leaf, 'taxon_'||(tree_id+leaf*7) AS taxon FROM lv",
     "label_mapping_newick": _NAMED + "SELECT num.tree_id, s AS newick FROM num JOIN kk ON kk.tree_id=num.tree_id AND n=k+1",
+    "leaf_round_trip": _VECTOR + " HAVING count(*) > 1",
+    "reroot_distance": "SELECT o_custkey AS tree_id, 0.0::DOUBLE AS rf FROM orders GROUP BY 1",
     "list_datasets": "SELECT * FROM (VALUES ('fluA',69,987,'fasta'),('h3n2',19,1407,'fasta'),('m501',29,2520,'fasta'),('zika',86,10807,'fasta')) t(name, n_taxa, n_bases, format)",
     "read_fasta": "SELECT 'part'||p_partkey AS taxon, regexp_replace(translate(upper(p_name), 'BDEFHIJKLMNOPQRSUVWXYZ0123456789 #-_', 'ACGTACGTACGTACGTACGTACACGTACGTACGTAC'), '\\s+', '', 'g') AS seq FROM part",
     "dnadist": """WITH s AS (SELECT 's'||s_suppkey AS taxon, i, (s_suppkey*(i%5+1) + (i*i)%7 + s_suppkey//(i+1))%4 AS b FROM supplier, (SELECT unnest(range(40)) AS i))

@@ -144,6 +144,20 @@ def q_precision_identity(spark, sf_dir):
     return _rounded(product.groupBy("tree_id", "row", C("col2").alias("col")).agg(F.sum(C("value") * C("c")).alias("value")), "value")
 
 
+def q_leaf_round_trip(spark, sf_dir):
+    """A leaf taken from each tree and put back beside its sister, which gives the tree again."""
+    t = customer_trees(spark, sf_dir).where(F.size("v") > 1).withColumn("leaf", _node(F.size("v") + 1).cast("int"))
+    cut = stages.without_leaf(t).withColumn("branch", C("sister") - (C("sister") >= C("leaf")).cast("int"))
+    return _vector(stages.with_leaf(cut))
+
+
+def q_reroot_distance(spark, sf_dir):
+    """Distance of each tree to itself rerooted, which is 0: splits don't know the root."""
+    t = customer_trees(spark, sf_dir).select("tree_id", "v")
+    moved = kernels.rerooted(t.withColumn("node", _node(2 * F.size("v")).cast("int"))).select(C("tree_id").alias("t"), C("v").alias("w"))
+    return compare.robinson_foulds(t.join(moved, C("tree_id") == C("t"))).select("tree_id", "rf")
+
+
 QUERIES = {
     "segment_balance": q_segments,
     "to_pairs": _on(relations.pairs),
@@ -206,6 +220,8 @@ QUERIES = {
     "remove_leaf": _on(lambda t: stages.without_leaf(t.withColumn("leaf", _node(F.size("v") + 1).cast("int"))).select("tree_id", "leaf", _joined(C("v")).alias("v"), "sister")),
     "queue_shuffle": _on(lambda t: kernels.queue_shuffle(t).select("tree_id", _joined(C("v")).alias("v"), _joined(C("mapping")).alias("mapping"))),
     "reroot": q_rerooted,
+    "leaf_round_trip": q_leaf_round_trip,
+    "reroot_distance": q_reroot_distance,
     "read_fasta": _fasta,
     "save_text": _on(lambda t: files.written(t).select("tree_id", "value")),
     "load_text": _on(lambda t: _vector(files.read_array(files.written(t.drop("bls")).drop("v")))),
