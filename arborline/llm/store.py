@@ -20,9 +20,11 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset (tests) a local one is set."""
+    """The folder of spark.checkpoint.dir; only where it is unset, and in one local process (tests), a temporary one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="arborline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
