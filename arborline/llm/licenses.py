@@ -1,7 +1,7 @@
 r"""License scan by ordered signature rules, in DataFrame functions only.
 
 A cheap pattern finds texts with any license vocabulary. Only there are words normalised (A-Z lower,
-words joined by single spaces), rules whose keyword occurs are run, and their places in words computed
+words joined by single spaces), rules whose keyword occurs are run (some keywords run on, see PARTS), and their places in words computed
 from the pieces between matches. Of overlapping detections, one that lies inside another of at least its
 own priority is suppressed (of equal places the higher priority stays, then the earlier rule).
 
@@ -24,7 +24,7 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 #: Every phrase and every rule contains one of these; the rest of a corpus pays for this pattern alone.
 GATE = rf"(?i)licen[cs]|copyright|spdx|rights|copyleft|cc0|public{BREAK}domain|cc{BREAK}by|creative{BREAK}commons"
 
-# Families: label, keyword (a word that any match has), and how the name is written.
+# Families: label, keyword (a word that any match has, or in PARTS a part of one), and how the name is written.
 FAMILIES = [
     ("mit", "mit", r"mit(?: expat| x11)?"),
     ("expat", "expat", r"expat"),
@@ -35,7 +35,8 @@ FAMILIES = [
     ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|(?:2|two) clause bsd|simplified bsd|freebsd)"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|(?:3|three) clause bsd|new bsd|modified bsd|revised bsd)"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|(?:4|four) clause bsd|original bsd|old bsd)"),
-    ("bsd", "bsd", r"(?:berkeley software distribution|bsd)"),
+    ("bsd", "berkeley", r"berkeley software distribution"),
+    ("bsd", "bsd", r"bsd"),
     ("gpl-2.0", "gpl", r"(?:gnu )?gpl(?: v| version)? ?2(?: 0)?"),
     ("gpl-3.0", "gpl", r"(?:gnu )?gpl(?: v| version)? ?3(?: 0)?"),
     ("gpl", "gpl", r"(?:gnu )?gpl"),
@@ -44,7 +45,7 @@ FAMILIES = [
     ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl(?: v| version)? ?2 1"),
     ("lgpl-3.0", "lgpl", r"(?:gnu )?lgpl(?: v| version)? ?3(?: 0)?"),
     ("lgpl", "lgpl", r"(?:gnu )?lgpl"),
-    ("lgpl", "lesser", r"(?:gnu )?(?:lesser|library) general public"),
+    ("lgpl", "general", r"(?:gnu )?(?:lesser|library) general public"),
     ("agpl-3.0", "agpl", r"(?:gnu )?agpl(?: v| version)? ?3(?: 0)?"),
     ("agpl", "affero", r"(?:gnu )?affero general public"),
     ("gfdl", "documentation", r"(?:gnu )?free documentation"),
@@ -114,6 +115,9 @@ OTHERS = [
 ]
 LEVELS = 5
 
+#: Keywords that a match may write as part of a longer word (gpl2, freebsd), and what of the text is looked for then.
+PARTS = {"apache": " apache", "bsd": "bsd ", "gpl": " gpl", "lgpl": " lgpl", "agpl": " agpl"}
+
 
 def rules() -> list[tuple[str, str, int, str]]:
     """(label, keyword, priority, pattern) in order; a pattern matches whole words of normalised text."""
@@ -122,6 +126,11 @@ def rules() -> list[tuple[str, str, int, str]]:
     return [(label, word, p, rf"(?<= ){pattern}(?= )") for label, word, p, pattern in made]
 
 
+def sign(word: str) -> str:
+    """What normalised text has wherever a rule of this keyword matches."""
+    return PARTS.get(word, f" {word} ")
+
+
 def normalised(text: Column) -> Column:
     """' word word ': A-Z lowered, one space between words and at both ends."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -151,7 +160,7 @@ def _places(pattern: str) -> str:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, base (places with labels) and detections (after suppression) of every document."""
-    table = ",".join(f"named_struct('nth',{i},'label',{_quoted(a)},'word',{_quoted(f' {w} ')},'priority',{p},'pattern',{_quoted(r)})" for i, (a, w, p, r) in enumerate(rules()))
+    table = ",".join(f"named_struct('nth',{i},'label',{_quoted(a)},'word',{_quoted(sign(w))},'priority',{p},'pattern',{_quoted(r)})" for i, (a, w, p, r) in enumerate(rules()))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
     rows = rows.select("doc_id", F.regexp_count("text", F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"), F.when(F.col("text").rlike(GATE), normalised(F.col("text"))).alias("canon"))
