@@ -22,7 +22,7 @@ BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 #: Every phrase and every rule contains one of these; the rest of a corpus pays for this pattern alone.
-GATE = rf"(?i)licen[cs]|copyright|spdx|rights|copyleft|cc0|public{BREAK}domain|cc{BREAK}by|creative{BREAK}commons"
+GATE = rf"(?i)licen[cs]|copyright|hereby{BREAK}granted|spdx|rights|copyleft|cc0|public{BREAK}domain|cc{BREAK}by|creative{BREAK}commons"
 
 # Families: label, keyword (a word that any match has, or in PARTS a part of one), and how the name is written.
 FAMILIES = [
@@ -107,7 +107,7 @@ OTHERS = [
     ("some-reserved", "reserved", 3, r"some rights reserved"),
     ("no-reserved", "reserved", 3, r"no rights reserved"),
     ("copyright-notice", "copyright", 1, r"copyright (?:c )?(?:19|20)\d\d"),
-    ("permission-notice", "permission", 4, r"permission is hereby granted free of charge (?:\S+ ){{0,12}}copyright"),
+    ("permission-notice", "permission", 4, r"permission is hereby granted free of charge(?: (?:\S+ ){{0,12}}copyright| to any person(?: or organization)? obtaining a copy)"),
     ("permission-notice", "notice", 3, r"the above copyright notice and this permission notice"),
     ("bsd", "redistributions", 4, r"redistributions of source code must retain the above copyright"),
     ("proprietary", "proprietary", 3, r"proprietary (?:and confidential )?licen[cs]e"),

@@ -64,3 +64,11 @@ def test_names_without_their_keyword(spark):
     got = _report(spark, texts)
     assert [got[i][0] for i in (0, 2, 3)] == ["bsd-2-clause", "gpl-2.0", "gpl-3.0"]
     assert got == {i: _labels(t) for i, t in enumerate(texts)}
+
+
+def test_permission_grant_as_it_is_written(spark):
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"
+    notice = ", subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies"
+    texts = [grant, grant.replace("person", "person or organization"), grant + notice, "Permission is hereby granted free of charge provided that the copyright stays"]
+    got = _report(spark, texts)
+    assert got == dict.fromkeys(range(4), ("permission-notice", 0.8)) == {i: _labels(t) for i, t in enumerate(texts)}
