@@ -1,223 +1,211 @@
-"""Byte-level BPE encoding and decoding.
+"""Byte-level BPE encoding and decoding by higher-order functions.
 
-Texts are split by the tokenizer's pattern; the distinct words of a slice of texts are byte arrays on which
-ranked merges are folded all at once: each round merges, in every word, the adjacent pair of lowest rank (the
-leftmost of equal ones), until no pair is in the rank map. Pairs are looked up in a map of all the ways to
-split a vocabulary entry into two entries. Decoding concatenates the byte pieces of the ids.
+A text is cut into words by the tokenizer's pattern. A word is an array of byte pieces (in hex), on which ranked
+merges are folded: each step joins the adjacent pieces whose concatenation has the lowest rank (the leftmost of equal
+ones), until no concatenation is in the rank map, which is a literal: an array of small maps, addressed by a hash.
+Decoding concatenates the binary pieces of the ids, from a literal too. No Python runs on executors.
 
-The map is the tokenizer's vocabulary, of a fixed size; each Python worker builds it once from the bytes that
-the driver read, so executors need no file. Memory is bounded by a slice of texts (and the longest text).
+Words are counted over all texts, and the DICTIONARY most frequent ones of up to CHUNK bytes are folded once; their ids
+are a literal map. Any other word is folded where it stands, so the dictionary decides the cost alone, never the ids.
+A word of more than CHUNK bytes is folded in chunks that overlap by half: a row of pieces is the word's own if each two
+neighbours are, so chunks are joined at a piece that both have. If two chunks share none, the word is folded whole.
 
 Defined results: a null or empty text has no tokens and decodes to no bytes; a null id is kept; repeated rows
 are encoded alike; whole texts are encoded, however long; an empty table gives no rows. Only doc_id and text are read.
+The pattern's letters and numbers are those of the JVM's Unicode tables and of Python's.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-import hashlib
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import regex
-from pyspark.sql import DataFrame
-
-from .textbytes import slices
-
+import json
+import unicodedata
+
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Words that are folded once, the most frequent ones; each is of CHUNK bytes at most.
+DICTIONARY = 1 << 18
+#: Bytes of a chunk of a long word; half of it overlaps. No vocabulary entry may be longer than half.
+CHUNK = 128
+#: Small maps of the literals.
+RANK_SLOTS, WORD_SLOTS = 1 << 16, 1 << 18
 #: No pair, as a rank.
-NONE = np.int64(1 << 40)
-
-
-def _code_points() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+NONE = (1 << 31) - 1
 
 
-def _pattern() -> str:
+def _default() -> tuple[str, str]:
     import public_tokenizers
 
-    return public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-class Vocabulary:
-    """Ranks of byte strings, and the ranks of the pairs that make them."""
+@functools.lru_cache(2)
+def _ranges(kind: str) -> str:
+    """A general category's code points beyond ASCII, as ranges of a character class."""
+    out: list[list[int]] = []
+    for c in range(0x80, 0x110000):
+        if unicodedata.category(chr(c))[0] == kind:
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out)
+
+
+def java_pattern(pattern: str) -> str:
+    r"""The pattern for the JVM: \s is Unicode's white space, letters and numbers are also those of Python's tables.
+
+    The ranges are looked at only for a character that is not ASCII and that the JVM doesn't know as one.
+    """
+    classes = {f"\\p{{{k}}}": f"\\p{{{k}}}[[^\\x00-\\x7F]&&[{_ranges(k)}]]" for k in "LN"}
+    out, inside, i = "", False, 0
+    while i < len(pattern):
+        token = pattern[i : i + 5] if pattern.startswith(tuple(classes), i) else pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
+        i += len(token)
+        inside = token == "[" or (inside and token != "]")
+        if token in classes:
+            out += classes[token] if inside else f"[{classes[token]}]"
+        else:
+            out += {"\\s": "\\p{IsWhite_Space}", "\\S": "\\P{IsWhite_Space}"}.get(token, token)
+    return out
+
+
+class Tokenizer:
+    """The literals of a rank table, and the pattern for the JVM."""
 
     def __init__(self, table: bytes, pattern: str):
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in table.splitlines() if line)}
-        self.words = regex.compile(pattern)
-        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        self.base = np.int64(max(ranks.values()) + 1)
-        pairs = [(ranks[t[:i]] * int(self.base) + ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        pairs.sort()
-        # a table by hash (open addressing, the load kept low) makes a lookup a few gathers
-        keys, values = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
-        self.bits = np.uint64(64 - max(4, int(len(keys) * 4).bit_length()))
-        self.keys = np.full(1 << (64 - int(self.bits)), -1, np.int64)
-        self.values = np.full(len(self.keys), NONE, np.int64)
-        self.steps = 0
-        at, rest = self._slot(keys), np.arange(len(keys))
-        while len(rest):
-            self.steps += 1
-            free = self.keys[at[rest]] == -1
-            put = rest[free]
-            _, one = np.unique(at[put], return_index=True)
-            put = put[one]
-            self.keys[at[put]], self.values[at[put]] = keys[put], values[put]
-            done = np.zeros(len(keys), bool)
-            done[put] = True
-            rest = rest[~done[rest]]
-            at[rest] = (at[rest] + 1) & (len(self.keys) - 1)
-        by_rank = sorted((r, t) for t, r in ranks.items())
-        self.ids = np.full(int(self.base), -1, np.int64)
-        self.ids[[r for r, _ in by_rank]] = np.arange(len(by_rank))
-        self.pieces = np.frombuffer(b"".join(t for _, t in by_rank), np.uint8)
-        self.ends = np.cumsum([len(t) for _, t in by_rank])
-        self.lengths = np.array([len(t) for _, t in by_rank], np.int64)
-        self.ranks = ranks
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.bits).astype(np.int64)
-
-    def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The rank of each pair's concatenation, NONE where it isn't in the map."""
-        keys = left * self.base + right
-        at = self._slot(keys)
-        out = np.full(len(keys), NONE, np.int64)
-        seen = self.keys[at]
-        hit = seen == keys
-        out[hit] = self.values[at[hit]]
-        rest = np.flatnonzero(~hit & (seen != -1))
-        for _ in range(self.steps):
-            if not len(rest):
-                break
-            at[rest] = (at[rest] + 1) & (len(self.keys) - 1)
-            seen = self.keys[at[rest]]
-            hit = seen == keys[rest]
-            out[rest[hit]] = self.values[at[rest[hit]]]
-            rest = rest[~hit & (seen != -1)]
-        return out
-
-    def fold(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words given as bytes with offsets, and the offsets of the words among the ids."""
-        n = len(offsets) - 1
-        ids = self.single[data]
-        counts = np.diff(offsets)
-        out_ids: list[np.ndarray] = []
-        out_word: list[np.ndarray] = []
-        word = np.repeat(np.arange(n), counts)
-        rank = np.full(len(ids), NONE, np.int64)  # of the pair that starts at each id
-        inner = word[:-1] == word[1:]
-        rank[:-1][inner] = self.pair(ids[:-1][inner], ids[1:][inner])
-        while len(ids):
-            # words are contiguous: the lowest rank of each, and its leftmost place
-            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            low = np.minimum.reduceat(rank, first)
-            size = np.diff(np.append(first, len(ids)))
-            open_ = low < NONE
-            done = np.repeat(~open_, size)
-            if done.any():
-                out_ids.append(ids[done])
-                out_word.append(word[done])
-                ids, word, rank = ids[~done], word[~done], rank[~done]
-                low, size = low[open_], size[open_]
-                if not len(ids):
-                    break
-                first = np.concatenate([[0], np.cumsum(size)[:-1]])
-            hits = np.flatnonzero(rank == np.repeat(low, size))
-            own = word[hits]
-            at = hits[np.concatenate([[True], own[1:] != own[:-1]])]
-            ids[at] = low
-            keep = np.ones(len(ids), bool)
-            keep[at + 1] = False
-            # the merged id has a new right neighbour (two further on) and is one for its left neighbour
-            last = len(ids)
-            right = at + 2
-            ok = right < last
-            ok[ok] = word[right[ok]] == word[at[ok]]
-            rank[at] = NONE
-            rank[at[ok]] = self.pair(ids[at[ok]], ids[right[ok]])
-            before = at - 1
-            ok = before >= 0
-            ok[ok] = word[before[ok]] == word[at[ok]]
-            rank[before[ok]] = self.pair(ids[before[ok]], ids[at[ok]])
-            ids, word, rank = ids[keep], word[keep], rank[keep]
-        if not out_ids:
-            return np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
-        ids, word = np.concatenate(out_ids), np.concatenate(out_word)
-        order = np.argsort(word, kind="stable")
-        return ids[order], np.concatenate([[0], np.cumsum(np.bincount(word, minlength=n))])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and the offsets of the texts among them."""
-        found = [self.words.findall(t) for t in texts]
-        per_text = np.array([len(x) for x in found], np.int64)
-        flat = [w for x in found for w in x]
-        if not flat:
-            return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-        coded = pa.array(flat, pa.large_string()).dictionary_encode()
-        codes = coded.indices.to_numpy()
-        distinct = coded.dictionary
-        offsets = np.frombuffer(distinct.buffers()[1], np.int64, len(distinct) + 1, distinct.offset * 8)
-        ids, at = self.fold(np.frombuffer(distinct.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0])
-        sizes = np.diff(at)[codes]
-        ends = np.cumsum(sizes)
-        take = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + np.repeat(at[:-1][codes], sizes)
-        return ids[take], np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]
-
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of the ids' pieces, one after another."""
-        rows = self.ids[ids]
-        sizes = self.lengths[rows]
-        ends = np.cumsum(sizes)
-        if not len(ends):
-            return np.zeros(0, np.uint8)
-        return self.pieces[np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + np.repeat(self.ends[rows] - sizes, sizes)]
+        if max(map(len, ranks)) > CHUNK // 2:
+            raise ValueError(f"a vocabulary entry has more than {CHUNK // 2} bytes")
+        self.pattern = java_pattern(pattern)
+        self.ranks = _slotted({t.hex().upper(): r for t, r in ranks.items()}, RANK_SLOTS)
+        pieces = [""] * (max(ranks.values()) + 1)
+        for t, r in ranks.items():
+            pieces[r] = t.hex().upper()
+        self.pieces = pieces
+
+
+def _slotted(table: dict, n: int) -> str:
+    """A dictionary as JSON: an array of ``n`` small maps (a power of two), each key in the map of its hash's low bits."""
+    slots: list[dict] = [{} for _ in range(n)]
+    for k, v in table.items():
+        slots[xxhash.xxh64_intdigest(k.encode(), 42) & (n - 1)][k] = v
+    return json.dumps(slots, separators=(",", ":"))
 
 
 @functools.lru_cache(2)
-def _vocabulary(table: bytes, pattern: str) -> Vocabulary:
-    return Vocabulary(table, pattern)
+def _tokenizer(table: bytes, pattern: str) -> Tokenizer:
+    return Tokenizer(table, pattern)
 
 
 def load(path: str | None = None, pattern: str | None = None) -> tuple[bytes, str]:
     """The rank table and pattern of a tokenizer, read on the driver."""
-    with open(path or _code_points(), "rb") as f:
-        return f.read(), pattern or _pattern()
+    found = _default() if path is None or pattern is None else (path, pattern)
+    with open(path or found[0], "rb") as f:
+        return f.read(), pattern or found[1]
+
+
+def _find(table: str, key: str, n: int) -> str:
+    return f"try_element_at(get({table}, cast(xxhash64({key}) & {n - 1}L AS int)), {key})"
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with a value bound to a name, computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _rank(piece: str) -> str:
+    return f"coalesce({_find('ranks', piece, RANK_SLOTS)}, {NONE})"
+
+
+def _fold(h: str) -> str:
+    """SQL: the pieces of a byte string in hex. r[i] is the rank of the pieces i and i + 1 together."""
+    joined = f"""named_struct(
+        'p', concat(slice(a.p, 1, j - 1), array(x), slice(a.p, j + 2, size(a.p))),
+        'r', concat(slice(a.r, 1, greatest(j - 2, 0)),
+                    IF(j > 1, array({_rank("concat(get(a.p, j - 2), x)")}), cast(array() AS array<int>)),
+                    IF(j < size(a.r), array({_rank("concat(x, get(a.p, j + 1))")}), cast(array() AS array<int>)),
+                    slice(a.r, j + 2, size(a.p))))"""
+    step = _let("array_min(a.r)", "m", f"IF(m < {NONE}, {_let('cast(array_position(a.r, m) AS int)', 'j', _let('concat(get(a.p, j - 1), get(a.p, j))', 'x', joined))}, a)")
+    pairs = f"transform(slice(p0, 2, size(p0)), (x, i) -> {_rank('concat(get(p0, i), x)')})"
+    return _let(f"regexp_extract_all({h}, '..', 0)", "p0", f"aggregate(p0, named_struct('p', p0, 'r', {pairs}), (a, y) -> {step}, a -> a.p)")
+
+
+def _fold_word(w: str) -> str:
+    """SQL: the pieces of a word, in chunks if it is long."""
+    half = CHUNK // 2
+    chunks = f"""transform(sequence(0, cast(ceil((octet_length({w}) - {CHUNK}) / {half}) AS int) * {half}, {half}), s -> {_fold(f"hex(substring(cast({w} AS binary), s + 1, {CHUNK}))")})"""
+    # a piece with its place: bytes before it, times CHUNK, and its length
+    placed = f"""transform(folded, (c, k) -> aggregate(c, named_struct('at', k * {half}, 'out', cast(array() AS array<struct<key:bigint,x:string>>)),
+        (a, x) -> named_struct('at', a.at + cast(length(x) / 2 AS int), 'out', array_append(a.out, named_struct('key', a.at * {CHUNK}L + cast(length(x) / 2 AS int), 'x', x))), a -> a.out))"""
+    cuts = "transform(slice(t, 2, size(t)), (y, k) -> array_min(array_intersect(get(t, k).key, y.key)))"
+    own = "flatten(transform(t, (y, k) -> filter(y, e -> e.key >= coalesce(get(cuts, k - 1), 0) AND (k = size(cuts) OR e.key < get(cuts, k))).x))"
+    glued = _let(chunks, "folded", _let(placed, "t", _let(cuts, "cuts", f"IF(exists(cuts, c -> c IS NULL), {_fold(f'hex({w})')}, {own})")))
+    return f"IF(octet_length({w}) <= {CHUNK}, {_fold(f'hex({w})')}, {glued})"
+
+
+def _ids(w: str) -> str:
+    return f"transform({_fold_word(w)}, x -> {_find('ranks', 'x', RANK_SLOTS)})"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _with_words(docs: DataFrame, t: Tokenizer) -> DataFrame:
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(t.pattern), F.lit(0))
+    return docs.select("doc_id", words.alias("words"))
+
+
+def _ranks(t: Tokenizer) -> str:
+    return f"from_json({_quoted(t.ranks)}, 'array<map<string,int>>')"
+
+
+def dictionary(docs: DataFrame, t: Tokenizer) -> str:
+    """The most frequent words of all texts with their ids, as JSON; at most DICTIONARY of at most CHUNK bytes."""
+    words = _with_words(docs, t).select(F.explode("words").alias("w"))
+    counts = words.groupBy("w").count().where(F.octet_length("w") <= CHUNK)
+    top = counts.orderBy(F.desc("count"), "w").limit(DICTIONARY).select("w")
+    # a limit leaves one partition
+    top = top.repartition(docs.sparkSession.sparkContext.defaultParallelism * 2)
+    folded = top.select("w", F.expr(_let(_ranks(t), "ranks", _ids("w"))).alias("ids")).collect()
+    return _slotted({r["w"]: list(r["ids"]) for r in folded}, WORD_SLOTS)
+
+
+def _encoded(docs: DataFrame, t: Tokenizer) -> DataFrame:
+    """doc_id and ids."""
+    known = f"from_json({_quoted(dictionary(docs, t))}, 'array<map<string,array<int>>>')"
+    every = f"flatten(transform(words, w -> coalesce({_find('known', 'w', WORD_SLOTS)}, {_ids('w')})))"
+    return _with_words(docs, t).select("doc_id", F.expr(_let(_ranks(t), "ranks", _let(known, "known", every))).alias("ids"))
+
+
+def _strings(table: list[str]) -> str:
+    return f"split('{','.join(table)}', ',')"
+
+
+def packed(ids: str, table: list[str]) -> Column:
+    """Binary: an entry of ``table`` (in hex) for each id, one after another."""
+    return F.expr(_let(_strings(table), "pieces", f"unhex(array_join(transform({ids}, i -> get(pieces, i)), ''))"))
+
+
+def decode(ids: str, path: str | None = None, pattern: str | None = None) -> Column:
+    """The bytes of a column of ids."""
+    return packed(ids, _tokenizer(*load(path, pattern)).pieces)
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, ids (array of int) and decoded (binary) of every row."""
-    return _run(docs, path, pattern, full=True)
+    t = _tokenizer(*load(path, pattern))
+    return _encoded(docs, t).select("doc_id", "ids", packed("ids", t.pieces).alias("decoded"))
 
 
 def encode_digest(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids (little-endian unsigned 32-bit) and of the decoded bytes."""
-    return _run(docs, path, pattern, full=False)
-
-
-def _run(docs: DataFrame, path: str | None, pattern: str | None, full: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(load(path, pattern))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(*shared.value)
-        for batch in batches:
-            for rows, _, _ in slices(batch):
-                ids, at = vocabulary.encode(rows.column(1).fill_null("").to_pylist())
-                if full:
-                    decoded = pa.array([vocabulary.decode(ids[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
-                    lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([rows.column(0), lists, decoded], ["doc_id", "ids", "decoded"])
-                    continue
-                small = ids.astype("<u4")
-                hashes = [(hashlib.sha256(small[a:b]).hexdigest(), hashlib.sha256(vocabulary.decode(ids[a:b])).hexdigest()) for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(np.diff(at), pa.int64()), pa.array([x for x, _ in hashes], pa.string()), pa.array([x for _, x in hashes], pa.string())],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    columns = "ids array<int>, decoded binary" if full else "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {columns}")
+    t = _tokenizer(*load(path, pattern))
+    little = [i.to_bytes(4, "little").hex() for i in range(len(t.pieces))]
+    return _encoded(docs, t).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(packed("ids", little), 256).alias("ids_sha256"), F.sha2(packed("ids", t.pieces), 256).alias("decoded_sha256")
+    )
