@@ -72,3 +72,33 @@ def test_permission_grant_as_it_is_written(spark):
     texts = [grant, grant.replace("person", "person or organization"), grant + notice, "Permission is hereby granted free of charge provided that the copyright stays"]
     got = _report(spark, texts)
     assert got == dict.fromkeys(range(4), ("permission-notice", 0.8)) == {i: _labels(t) for i, t in enumerate(texts)}
+
+
+def _most_words(parsed):
+    """The most words that a pattern can match, less one: its spaces."""
+    out = 0
+    for op, value in parsed:
+        if op is c.LITERAL:
+            out += value == 32
+        elif op is c.BRANCH:
+            out += max(_most_words(x) for x in value[1])
+        elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
+            out += int(value[1]) * _most_words(value[2]) if _most_words(value[2]) else 0
+        elif op is c.SUBPATTERN:
+            out += _most_words(value[3])
+    return out
+
+
+def test_no_match_exceeds_the_context():
+    assert max(_most_words(_parser.parse(x[3])) for x in licenses.rules()) + 1 <= licenses.CONTEXT
+
+
+def test_chunks_find_what_the_whole_text_holds(spark):
+    r = random.Random(3)
+    texts = []
+    for _ in range(6):
+        parts = []
+        for x in r.sample(licenses.rules(), 60):
+            parts += [f"word{r.randrange(99)}" for _ in range(r.randrange(40))] + [_drawn(_parser.parse(x[3]), r)]
+        texts.append(" ".join(parts))
+    assert _report(spark, texts) == {i: _labels(t) for i, t in enumerate(texts)}
