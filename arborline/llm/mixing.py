@@ -1,18 +1,22 @@
 """Mixing sources to target weights by nested hash thresholds.
 
-Each document draws a 52-bit hash of its id. Sizes are summed by source and hash bucket; the budget of
+Each document draws a 52-bit hash of its id and text. Sizes are summed by source and hash bucket; the budget of
 a source falls into one bucket, which alone is refined (twelve bits, twelve more, then single hashes).
 Documents below the threshold are taken once more than the others; nothing is sorted, and a larger
-budget takes all that a smaller one takes.
+budget takes all that a smaller one takes. Rows that share the draw at the threshold (repeated rows) are numbered,
+and as many of them are taken as the budget has room for.
+
+Targets: sources are ranked in ranges, and the common level is found from histograms of size by weight, of which the
+driver sees at most SLICES rows at a time, so any number of sources will do.
 
 Defined results: a null text has size 0 and is never taken; a null source is a source of its own, last
-in order; a null id hashes as the empty string; rows with the same id in a source share a draw and are
-taken alike; an empty table gives an empty mix. Only the named columns are read, so others may have any name.
+in order; a null id or text hashes as the empty string; which of several equal rows are taken makes no difference to
+the rows of the mix; an empty table gives an empty mix. Only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import join_params, materialize
@@ -21,37 +25,76 @@ WORD = r"[^\x20\x09-\x0D]+"
 DRAW_BITS, STEP_BITS = 52, 12
 #: A target stops at so many times its source's size.
 MOST = 3
+#: Slices of a histogram of sources, and the most distinct ratios that are listed one by one.
+SLICES = 1024
 
 
-def draw(doc_id="doc_id"):
-    """52 bits of the id's MD5."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, DRAW_BITS // 4), 16, 10).cast("long")
+def draw(doc_id="doc_id", text="text"):
+    """52 bits of the MD5 of the id and the text."""
+    key = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col(text), F.lit("")))
+    return F.conv(F.substring(F.md5(key), 1, DRAW_BITS // 4), 16, 10).cast("long")
 
 
 def size_of(text="text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _numbered(rows: DataFrame, order: list[Column], *key: str) -> DataFrame:
+    """``n``: the number of each row, from 0, by ``part`` and then ``order``, for each value of the key columns; no part has to fit a task with another."""
+    rows = materialize(rows, "numbered")
+    before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*key, "part").count()
+    offsets = counts.select(*[F.col(c).alias(f"_{c}") for c in (*key, "part")], F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
+    inside = rows.withColumn("n", F.row_number().over(Window.partitionBy(*key, "part").orderBy(*order)) - 1)
+    on = F.lit(True)
+    for c in (*key, "part"):
+        on &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return inside.join(offsets, on).withColumn("n", F.col("_first") + F.col("n")).drop("part", "_part", "_first", *[f"_{c}" for c in key])
+
+
+def _level(ratios: DataFrame) -> float | None:
+    """(ratio, s, w: sums of the sources with that size by weight) -> the level at which the first source doesn't overflow."""
+    total, weight = ratios.agg(F.sum("s"), F.sum("w")).first()
+    if not total:
+        return None
+    before, low, high, found = 0, None, None, None
+    while True:
+        # the first ratio that doesn't overflow is in [low, high), or it is high, whose level is found
+        inside = ratios if low is None else ratios.where(F.col("ratio") >= low)
+        inside = inside if high is None else inside.where(F.col("ratio") < high)
+        n, a, b = inside.agg(F.count(F.lit(1)), F.min("ratio"), F.max("ratio")).first()
+        if n > SLICES:
+            inside = inside.groupBy(F.floor((F.col("ratio") - a) / (b - a) * SLICES)).agg(F.min("ratio").alias("ratio"), F.sum("s").alias("s"), F.sum("w").alias("w"))
+        start, at, left = (before, weight, a), before, weight
+        for r in inside.orderBy("ratio").collect():
+            level = float(total - MOST * at) / left
+            if MOST * r["ratio"] > level:
+                high, found = r["ratio"], level
+                break
+            start = (at, left, r["ratio"])
+            at, left = at + r["s"], left - r["w"]
+        if n <= SLICES or high == a:
+            return found
+        before, weight, low = start
+
+
 def source_targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size) -> the same with target: weights 1, 2, 3 by rank, filled up to MOST times the size.
 
     In order of size by weight, sources that would overflow at the common level stop at their limit and
     leave the rest to the others; the first that doesn't overflow fixes the level of all after it.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    w = sizes.withColumn("w", (F.row_number().over(by_name) - 1) % 3 + 1)
-    order = Window.orderBy(F.col("source_size") / F.col("w"), F.col("source").asc_nulls_last())
-    before, onward = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    filled = w.withColumn("total", F.sum("source_size").over(everything))
-    filled = filled.withColumn("left", F.col("total") - F.coalesce(F.sum("source_size").over(before), F.lit(0)) * MOST)
-    filled = filled.withColumn("level", F.col("left").cast("double") / F.sum("w").over(onward)).withColumn("nth", F.row_number().over(order))
-    full = F.col("source_size") * MOST <= F.col("level") * F.col("w")
-    filled = filled.withColumn("full", full)
-    level = F.min(F.when(~F.col("full"), F.struct("nth", "level"))).over(everything)["level"]
-    filled = filled.withColumn("common", level)
-    target = F.when(F.col("full") | F.col("common").isNull(), (F.col("source_size") * MOST).cast("double")).otherwise(F.col("common") * F.col("w"))
-    return filled.select("source", "source_size", target.alias("target"))
+    parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_name = F.col("source").asc_nulls_last()
+    dealt = sizes.select("source", "source_size").repartitionByRange(parts, by_name).withColumn("part", F.spark_partition_id())
+    ranked = _numbered(dealt.withColumn("all", F.lit(0)), [by_name], "all").drop("all")
+    w = materialize(ranked.select("source", "source_size", (F.col("n") % 3 + 1).alias("w")), "weights")
+    ratios = w.groupBy((F.col("source_size") / F.col("w")).alias("ratio")).agg(F.sum("source_size").alias("s"), F.sum("w").alias("w"))
+    level = _level(materialize(ratios, "ratios"))
+    most = (F.col("source_size") * MOST).cast("double")
+    common = F.lit(level) * F.col("w")
+    target = most if level is None else F.when(F.col("source_size") * MOST <= common, most).otherwise(common)
+    return w.select("source", "source_size", target.alias("target"))
 
 
 def _refine(rows: DataFrame, params: DataFrame, shift: int) -> DataFrame:
@@ -61,11 +104,11 @@ def _refine(rows: DataFrame, params: DataFrame, shift: int) -> DataFrame:
     """
     inside = join_params(rows, params.select("source", "low", "high"), "source", F.col("draw"))
     inside = inside.where((F.col("draw") >= F.col("low")) & (F.col("draw") < F.col("high")))
-    sums = inside.groupBy("source", F.shiftright("draw", shift).alias("bucket")).agg(F.sum("size").alias("words"))
+    sums = inside.groupBy("source", F.shiftright("draw", shift).alias("bucket")).agg(F.sum("size").alias("words"), F.max("size").alias("one"))
     run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0))).withColumnRenamed("source", "_s")
-    # at the last level whole draws are taken while their middle is within the room, so the mix ends near the budget
-    middle = F.col("before") + (F.col("words") / 2 if shift == 0 else F.col("words"))
+    # at the last level rows are taken while their middle is within the room, so the mix ends near the budget
+    middle = F.col("before") + F.col("words") - (F.col("one") / 2 if shift == 0 else F.lit(0))
     joined = params.join(sums, F.col("source").eqNullSafe(F.col("_s")), "left")
     over = F.when((middle > F.col("room")) & (F.col("words") > 0), F.struct(F.col("bucket"), F.col("before")))
     first = joined.groupBy("source", "source_size", "target", "copies", "low", "high", "room").agg(F.min(over).alias("first"))
@@ -76,7 +119,7 @@ def _refine(rows: DataFrame, params: DataFrame, shift: int) -> DataFrame:
 
 
 def mix_params(rows: DataFrame) -> DataFrame:
-    """(doc_id, source, size, draw) -> a row for each source: copies all its documents get, and the draw below which they get one more."""
+    """(doc_id, source, size, draw) -> a row for each source: copies all its documents get, the draw below which they get one more, and the room left for those at it."""
     sizes = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     targets = source_targets(sizes)
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -84,26 +127,39 @@ def mix_params(rows: DataFrame) -> DataFrame:
     params = materialize(params.withColumn("room", F.col("target") - F.col("copies") * F.col("source_size")), "targets")
     for shift in (DRAW_BITS - STEP_BITS, DRAW_BITS - 2 * STEP_BITS, 0):
         params = _refine(rows, params, shift)
-    return params.select("source", "source_size", "target", "copies", F.col("low").alias("below"))
+    return params.select("source", "source_size", "target", "copies", F.col("low").alias("below"), "room")
+
+
+def _place() -> list[Column]:
+    """Where a row is read, to number repeated ones."""
+    return [F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("nth")]
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return materialize(docs.select("doc_id", "source", size_of().alias("size"), draw().alias("draw")), "sizes")
+    rows = docs.select("doc_id", "source", size_of().alias("size"), draw().alias("draw"), *_place())
+    return materialize(rows, "sizes")
+
+
+def _copies(joined: DataFrame) -> DataFrame:
+    """``n``: how often each row (draw, size, part, nth, and its source's parameters) is taken."""
+    base = F.col("copies")
+    clear = joined.where(F.col("draw") != F.col("below")).withColumn("n", base + F.when(F.col("draw") < F.col("below"), 1).otherwise(0)).drop("part", "nth")
+    edge = _numbered(joined.where(F.col("draw") == F.col("below")), [F.col("nth")], "source")
+    more = F.when(F.col("n") * F.col("size") + F.col("size") / F.lit(2.0) <= F.col("room"), 1).otherwise(0)
+    return clear.unionByName(edge.withColumn("n", base + more).drop("nth"))
 
 
 def mix_plan(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and the words taken of every document."""
     rows = _rows(docs)
-    joined = join_params(rows, mix_params(rows), "source", F.col("draw"))
-    copies = F.col("copies") + F.when(F.col("draw") < F.col("below"), 1).otherwise(0)
-    return joined.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"))
+    taken = _copies(join_params(rows, mix_params(rows), "source", F.col("draw")))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("n") * F.col("size")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: the documents' own columns, each document as many times as it is taken; wordless ones go."""
-    params = mix_params(_rows(docs)).select(F.col("source").alias("_source"), "copies", "below")
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("_source"), size_of().alias("_size"), draw().alias("draw"))
-    joined = join_params(inner, params, "_source", F.col("draw"))
-    copies = F.when(F.col("_size") > 0, F.col("copies") + F.when(F.col("draw") < F.col("below"), 1).otherwise(0)).otherwise(0)
-    repeated = joined.withColumn("n", copies.cast("int")).where("n > 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    params = mix_params(_rows(docs))
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", size_of().alias("size"), draw().alias("draw"), *_place())
+    taken = _copies(join_params(inner.where("size > 0"), params, "source", F.col("draw"))).where("n > 0")
+    repeated = taken.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     return repeated.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
