@@ -6,14 +6,16 @@ a row for each turn with its place in characters: joined in order of seq, they a
 conversation, however long, has to fit into one row or task: places are sums over ranges of turns.
 
 Defined results: turns are ordered by (turn, role, text), nulls first; repeated rows are rendered as often
-as they occur; a null text is empty; a null role is a participant named "unknown"; narrators ("system") are
-nobody's perspective and keep their role; a conversation of narrators only gives no rows; a null conv_id is
-a conversation of its own; an empty table gives no rows. Only the four named columns are read.
+as they occur; a null text is empty; a null role is a participant without a name, unlike any that has one (speaker
+and name are null); narrators ("system") are nobody's perspective and keep their role; a conversation of narrators only
+gives no rows; a null conv_id is a conversation of its own; an empty table gives no rows. In texts and names a bracket
+"<|" is written with one more backslash between its two characters than it has, so no text can pass for a header or an
+end, and reading back takes one away. Only the four named columns are read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import materialize
@@ -22,6 +24,10 @@ NARRATORS = ("system",)
 END = "<|end|>\n"
 
 
+def escaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
+
+
 def rotate(turns: DataFrame, narrators: tuple[str, ...] = NARRATORS) -> DataFrame:
     """conv_id, speaker, seq, turn, role, name, piece, start, end, loss_start, loss_end for every perspective and turn."""
     spark = turns.sparkSession
@@ -34,12 +40,15 @@ def rotate(turns: DataFrame, narrators: tuple[str, ...] = NARRATORS) -> DataFram
     said = materialize(said, "turns")
     narrator = F.coalesce(F.col("author").isin(*narrators), F.lit(False))
     speakers = said.where(~narrator).select(F.col("conv_id").alias("_conv"), F.col("author").alias("speaker")).distinct()
-    seen = said.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
-    name = F.coalesce("author", F.lit("unknown"))
+    # a hot conversation meets its speakers once a part
+    held = said.select(F.col("conv_id").alias("_c"), F.col("part").alias("_p")).distinct()
+    speakers = held.join(speakers, F.col("_c").eqNullSafe(F.col("_conv"))).drop("_conv")
+    seen = said.join(speakers, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("part") == F.col("_p"))).drop("_c", "_p")
     own = F.col("author").eqNullSafe(F.col("speaker"))
-    role = F.when(narrator, name).when(own, F.lit("assistant")).otherwise(F.lit("user"))
-    head = F.concat(F.lit("<|"), role, F.when(role == "user", F.concat(F.lit(" name="), name)).otherwise(F.lit("")), F.lit("|>\n"))
-    seen = seen.withColumns({"role": role, "name": name, "head": head, "own": own}).withColumn("piece", F.concat("head", "text", F.lit(END)))
+    role = F.when(narrator, F.col("author")).when(own, F.lit("assistant")).otherwise(F.lit("user"))
+    name = F.when((role == "user") & F.col("author").isNotNull(), F.concat(F.lit(" name="), escaped(F.col("author")))).otherwise(F.lit(""))
+    head = F.concat(F.lit("<|"), role, name, F.lit("|>\n"))
+    seen = seen.withColumns({"role": role, "head": head, "own": own, "said": escaped(F.col("text"))}).withColumn("piece", F.concat("head", "said", F.lit(END)))
     seen = seen.withColumn("chars", F.length("piece").cast("long"))
     group = ["conv_id", "speaker", "part"]
     sums = seen.groupBy(*group).agg(F.sum(F.col("times") * F.col("chars")).alias("c"), F.sum("times").alias("t"))
@@ -55,6 +64,6 @@ def rotate(turns: DataFrame, narrators: tuple[str, ...] = NARRATORS) -> DataFram
     placed = placed.withColumn("start", start)
     said_at = F.col("start") + F.length("head")
     return placed.select(
-        "conv_id", F.coalesce("speaker", F.lit("unknown")).alias("speaker"), (F.col("t0") + F.col("t1") + F.col("again")).alias("seq"), "turn", "role", "name", "piece", "start",
-        (F.col("start") + F.col("chars")).alias("end"), F.when(F.col("own"), said_at).alias("loss_start"), F.when(F.col("own"), said_at + F.length("text")).alias("loss_end"),
+        "conv_id", "speaker", (F.col("t0") + F.col("t1") + F.col("again")).alias("seq"), "turn", "role", F.col("author").alias("name"), "piece", "start",
+        (F.col("start") + F.col("chars")).alias("end"), F.when(F.col("own"), said_at).alias("loss_start"), F.when(F.col("own"), said_at + F.length("said")).alias("loss_end"),
     )
