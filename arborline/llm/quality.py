@@ -1,8 +1,9 @@
 """Quality rules on repetition inside a text.
 
 The suffix array of a text's words gives, for each word, the deepest longest-common-prefix interval of the
-suffix that starts there: a maximal repeated substring. The union of these spans is the covered part; a text
-fails if maximal repeats of LONG_WORDS words or more cover too much of it or one of them is too long. The base
+suffix that starts there; its length is the larger of the two common prefixes beside the suffix, so the intervals need
+no list, and their spans together are those of the maximal repeated substrings. A text fails if maximal repeats of
+LONG_WORDS words or more cover too much of it (stuttered words, say, which windows of five don't see) or one is too long. The base
 rules are read from the same arrays: a word lies in a five-word window that occurs again exactly if a maximal
 repeat of five words or more covers it.
 
@@ -25,9 +26,9 @@ from .textbytes import SPACE, count_in, mix, slices, spans_hash, words
 
 MIN_WORDS, WINDOW, MOST_PERCENT = 10, 5, 20
 #: Maximal repeats of so many words or more may cover at most so many percent of the words ...
-LONG_WORDS, LONG_PERCENT = 20, 15
+LONG_WORDS, LONG_PERCENT = 3, 20
 #: ... and none may be longer than this.
-LONGEST = 100
+LONGEST = 20
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
