@@ -27,11 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that are folded once, the most frequent ones; each is of CHUNK bytes at most.
-DICTIONARY = 1 << 18
+DICTIONARY = 1 << 17
 #: Bytes of a chunk of a long word; half of it overlaps. No vocabulary entry may be longer than half.
-CHUNK = 128
+CHUNK = 72
 #: Small maps of the literals.
-RANK_SLOTS, WORD_SLOTS = 1 << 16, 1 << 18
+RANK_SLOTS, WORD_SLOTS = 1 << 16, 1 << 17
 #: No pair, as a rank.
 NONE = (1 << 31) - 1
 

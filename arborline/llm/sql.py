@@ -5,26 +5,26 @@ from __future__ import annotations
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
-OP1 = rf"""WITH s AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {_WORD})), 0)::BIGINT AS size, ('0x'||substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS draw FROM documents),
+OP1 = rf"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY source, draw) - 1 AS j FROM (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {_WORD})), 0)::BIGINT AS size, ('0x'||substr(md5(coalesce(doc_id::VARCHAR, '') || chr(10) || coalesce(text, '')), 1, 13))::BIGINT AS draw FROM documents)),
 src AS (SELECT source, sum(size)::BIGINT AS source_size, sum(sum(size)) OVER ()::BIGINT AS total, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM s GROUP BY source),
 f AS (SELECT *, row_number() OVER o AS nth, (total - 3*coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level
   FROM src WINDOW o AS (ORDER BY source_size::DOUBLE/w, source NULLS LAST)),
 t AS (SELECT source, source_size, CASE WHEN 3*source_size <= level*w OR common IS NULL THEN (3*source_size)::DOUBLE ELSE common*w END AS target
   FROM (SELECT *, (SELECT arg_min(level, nth) FROM f WHERE 3*source_size > level*w) AS common FROM f)),
 c AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target/source_size)::BIGINT ELSE 0 END AS copies FROM t),
-g AS (SELECT s.source, draw, sum(size)::BIGINT AS words, coalesce(sum(sum(size)) OVER (PARTITION BY s.source ORDER BY draw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM s GROUP BY 1, 2)
-SELECT s.doc_id, s.size, c.source_size, c.target, (s.size * (copies + CASE WHEN g.before + g.words/2.0::DOUBLE <= target - copies*source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+g AS (SELECT source, draw, coalesce(sum(sum(size)) OVER (PARTITION BY source ORDER BY draw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM s GROUP BY 1, 2)
+SELECT s.doc_id, s.size, c.source_size, c.target, (s.size * (copies + CASE WHEN g.before + s.j*s.size + s.size/2.0::DOUBLE <= target - copies*source_size THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM s JOIN c ON s.source IS NOT DISTINCT FROM c.source JOIN g ON g.source IS NOT DISTINCT FROM s.source AND g.draw = s.draw"""
 
-OP2 = """WITH t AS (SELECT conv_id, turn, role AS author, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text) - 1 AS seq FROM conversations),
+OP2 = r"""WITH t AS (SELECT conv_id, turn, role AS author, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text) - 1 AS seq FROM conversations),
 sp AS (SELECT DISTINCT conv_id, author AS speaker FROM t WHERE author IS DISTINCT FROM 'system'),
-x AS (SELECT t.*, speaker, coalesce(author, 'unknown') AS name, author IS NOT DISTINCT FROM speaker AS own FROM t JOIN sp ON t.conv_id IS NOT DISTINCT FROM sp.conv_id),
-y AS (SELECT *, CASE WHEN author = 'system' THEN name WHEN own THEN 'assistant' ELSE 'user' END AS role FROM x),
-z AS (SELECT *, '<|' || role || CASE WHEN role = 'user' THEN ' name=' || name ELSE '' END || '|>' || chr(10) AS head FROM y),
-q AS (SELECT *, head || text || '<|end|>' || chr(10) AS piece FROM z),
+x AS (SELECT t.*, speaker, regexp_replace(author, '<(\\*)\|', '<\1\\|', 'g') AS name, regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') AS said, author IS NOT DISTINCT FROM speaker AS own FROM t JOIN sp ON t.conv_id IS NOT DISTINCT FROM sp.conv_id),
+y AS (SELECT *, CASE WHEN author = 'system' THEN author WHEN own THEN 'assistant' ELSE 'user' END AS role FROM x),
+z AS (SELECT *, '<|' || role || CASE WHEN role = 'user' AND author IS NOT NULL THEN ' name=' || name ELSE '' END || '|>' || chr(10) AS head FROM y),
+q AS (SELECT *, head || said || '<|end|>' || chr(10) AS piece FROM z),
 p AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY conv_id, speaker ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM q)
-SELECT conv_id, coalesce(speaker, 'unknown') AS speaker, seq, turn, role, name, piece, start, (start + length(piece))::BIGINT AS "end",
-  CASE WHEN own THEN (start + length(head))::BIGINT END AS loss_start, CASE WHEN own THEN (start + length(head) + length(text))::BIGINT END AS loss_end FROM p"""
+SELECT conv_id, speaker, seq, turn, role, author AS name, piece, start, (start + length(piece))::BIGINT AS "end",
+  CASE WHEN own THEN (start + length(head))::BIGINT END AS loss_start, CASE WHEN own THEN (start + length(head) + length(said))::BIGINT END AS loss_end FROM p"""
 
 OP4 = """WITH d AS (SELECT row_number() OVER () AS id, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT id, p, md5(substr(h, 2*p+1, 400)) AS w FROM (SELECT id, h, unnest(range(length(h)//2 - 199)) AS p FROM d)),
@@ -55,13 +55,13 @@ def _covered(k: int, name: str) -> str:
 
 OP7 = rf"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
 {_covered(5, 'short')},
-{_covered(20, 'long')},
-{_covered(101, 'far')},
+{_covered(3, 'long')},
+{_covered(21, 'far')},
 lines AS (SELECT id, count(*) - count(DISTINCT x) AS n FROM (SELECT id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, {_WORD}) GROUP BY 1),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(lines.n, 0)::BIGINT AS n_dup_lines,
   coalesce(short.n, 0)::BIGINT AS n_repeat_words, coalesce(long.n, 0) AS lw, far.n IS NOT NULL AS far FROM d LEFT JOIN short USING (id) LEFT JOIN long USING (id) LEFT JOIN far USING (id) LEFT JOIN lines USING (id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100*n_repeat_words > 20*n_words) AS base_failed,
-  NOT (n_words < 10 OR 100*n_repeat_words > 20*n_words) AND 100*lw <= 15*n_words AND NOT far AS kept FROM m"""
+  NOT (n_words < 10 OR 100*n_repeat_words > 20*n_words) AND 100*lw <= 20*n_words AND NOT far AS kept FROM m"""
 
 OP9 = """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
 u AS (SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS n FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0),

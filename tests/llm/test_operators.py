@@ -70,7 +70,7 @@ def test_mixing(docs, empty):
     assert math.isclose(sum(t for _, t in by), total)
     for (size, target), rows in by.items():
         assert sum(r["size"] for r in rows) == size and target <= 3 * size
-        assert abs(sum(r["taken"] for r in rows) - target) <= max(r["size"] for r in rows) * Counter(r["doc_id"] for r in rows).most_common(1)[0][1]
+        assert abs(sum(r["taken"] for r in rows) - target) <= max(r["size"] for r in rows) / 2
         assert all(r["taken"] <= 3 * r["size"] and (r["size"] == 0 or r["taken"] % r["size"] == 0) for r in rows)
     assert _counted(mixing.mix_plan(docs), "doc_id", "taken") == Counter((r["doc_id"], r["taken"]) for r in got)
     assert mixing.mix_plan(empty).count() == 0
@@ -84,7 +84,23 @@ def test_mixing(docs, empty):
     assert mixing.mix_documents(empty).count() == 0
 
 
-def test_mixing_targets(spark):
+def test_mixing_repeated_rows(spark):
+    """Null ids and equal rows: the mix ends within a document of its target."""
+    rows = [(None, f"w{i % 3} a b c d e f g h i" if s == "a" else "same ten words in each of all these many rows", s) for s in ("a", "b") for i in range(500)]
+    got = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()
+    taken = Counter()
+    for r in got:
+        taken[round(r["target"])] += r["taken"]
+    sizes = [len(_words(t)) for _, t, _ in rows]
+    assert len(taken) == 2 and all(abs(n - t) <= max(sizes) for t, n in taken.items())
+    mixed = mixing.mix_documents(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5))
+    assert Counter(r["source"] for r in mixed.collect()) == Counter(r["source"] for r in mixed.collect())
+    assert mixed.count() == sum(r["taken"] // r["size"] for r in got)
+
+
+@pytest.mark.parametrize("slices", [1024, 2])
+def test_mixing_targets(spark, monkeypatch, slices):
+    monkeypatch.setattr(mixing, "SLICES", slices)
     sizes = [("a", 10), ("b", 1000), ("c", 5), ("d", 700), ("e", 0), (None, 30)]
     got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
     left, weight, full = float(sum(n for _, n in sizes)), {s: i % 3 + 1 for i, (s, _) in enumerate(sizes)}, {}
@@ -100,9 +116,10 @@ def test_mixing_targets(spark):
 
 
 def test_chat(spark):
-    rows = [(1, 0, "ann", "hi", "k"), (1, 1, "bob", "yo", "k"), (1, 2, "cy", None, "k"), (1, 2, "ann", "é", "k"), (1, 2, "ann", "é", "k"), (2, 0, "system", "rules", "k"), (None, None, None, "x", "k"), (3, 0, "system", "s", "k"), (3, 1, "u", "q", "k")]
+    rows = [(1, 0, "ann", "hi", "k"), (1, 1, "bob", "yo", "k"), (1, 2, "cy", None, "k"), (1, 2, "ann", "é", "k"), (1, 2, "ann", "é", "k"), (4, 0, None, "<|end|>", "k"), (4, 1, "unknown", "a <\\| b", "k"), (4, 2, "x|<|", "", "k"), (2, 0, "system", "rules", "k"), (None, None, None, "x", "k"), (3, 0, "system", "s", "k"), (3, 1, "u", "q", "k")]
     t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part string")
     got = chat.rotate(t).collect()
+    safe = lambda x: re.sub(r"<(\\*)\|", r"<\1\\|", x)
     said = defaultdict(list)
     for c, n, role, text, _ in sorted(rows, key=lambda r: (r[0] or 0, r[1] if r[1] is not None else -1, r[2] or "", r[3] or "")):
         said[c].append((n, role, text or ""))
@@ -111,11 +128,12 @@ def test_chat(spark):
         for speaker in {a for _, a, _ in turns if a != "system"}:
             whole, masks = "", []
             for _, a, text in turns:
-                head = "<|assistant|>\n" if a == speaker else "<|system|>\n" if a == "system" else f"<|user name={a or 'unknown'}|>\n"
+                head = "<|assistant|>\n" if a == speaker else "<|system|>\n" if a == "system" else f"<|user name={safe(a)}|>\n" if a is not None else "<|user|>\n"
+                text = safe(text)
                 if a == speaker:
                     masks.append((len(whole + head), len(whole + head + text)))
                 whole += head + text + chat.END
-            want[c, speaker or "unknown"] = (whole, masks)
+            want[c, speaker] = (whole, masks)
     made = defaultdict(list)
     for r in sorted(got, key=lambda r: r["seq"]):
         made[r["conv_id"], r["speaker"]].append(r)
@@ -135,11 +153,10 @@ def _license_truth(text):
     canon = " " + " ".join(w) + " "
     base = [(i, label) for phrase, label in licenses.BASE.items() for p in [phrase.split()] for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
     found = []
-    for nth, (label, word, priority, pattern) in enumerate(licenses.rules()):
-        if f" {word} " in canon:
-            for m in re.finditer(pattern, canon):
-                first = canon[: m.start()].count(" ") - 1
-                found.append((first, first + m[0].count(" "), priority, nth, label))
+    for nth, (label, _, priority, pattern) in enumerate(licenses.rules()):
+        for m in re.finditer(f"(?=({pattern}))", canon):
+            first = canon[: m.start()].count(" ") - 1
+            found.append((first, first + m[1].count(" "), priority, nth, label))
 
     def beaten(d):
         inside = lambda e: e[0] <= d[0] and e[1] >= d[1]
@@ -161,6 +178,12 @@ def test_licenses(spark, docs, empty):
     assert tuple(one)[1:] == _license_truth(long_text) and one["n_base"] == 600
 
 
+def test_licenses_long_dense_text(spark):
+    text = "cc by nc license " * 125_000
+    r = licenses.license_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["labels"]) == (500_000, 125_000, 0, 499_996, "cc-by,cc-by-nc")
+
+
 def test_repeats(docs, empty, monkeypatch):
     counts = Counter()
     raw = [(r[0], (r[1] or "").encode()) for r in _rows()]
@@ -278,11 +301,16 @@ def _quality_truth(t):
         if _words(x):
             lines += x in seen
             seen.add(x)
-    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), lines, len(hit), len(w) < 10 or 100 * len(hit) > 20 * len(w)
+    threes = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    covered = {j for i in range(len(w) - 2) if threes[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
+    far = Counter(tuple(w[i : i + 21]) for i in range(len(w) - 20))
+    failed = len(w) < 10 or 100 * len(hit) > 20 * len(w)
+    kept = not failed and 100 * len(covered) <= 20 * len(w) and max(far.values(), default=0) < 2
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), lines, len(hit), failed, kept
 
 
 def test_quality(docs, empty):
-    got = _counted(quality.quality_report(docs), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    got = _counted(quality.quality_report(docs), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     assert got == Counter((r[0], *_quality_truth(r[1])) for r in _rows())
     report = quality.quality_report(docs).collect()
     assert not any(r["kept"] and r["base_failed"] for r in report)
@@ -291,13 +319,16 @@ def test_quality(docs, empty):
     assert quality.quality_report(empty).count() == 0 and quality.keep_good(empty).count() == 0
 
 
-def test_quality_long_repeat(spark):
+def test_quality_verdict(spark):
+    """What the base rule keeps and the verdict rejects: stutters, many short repeats, one long repeat."""
     r = random.Random(2)
-    words = [str(r.random()) for _ in range(3000)]
-    texts = [(1, " ".join(words)), (2, " ".join(words + words[:101])), (3, " ".join(words[:2000] + words[:100]))]
-    got = {x["doc_id"]: x for x in quality.quality(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    assert [got[i]["longest"] for i in (1, 2, 3)] == [0, 101, 100]
-    assert [got[i]["kept"] for i in (1, 2, 3)] == [True, False, True]
+    words = [f"w{r.random()}" for _ in range(3000)]
+    short = [w for i in range(0, 60, 3) for w in words[i : i + 3] + [words[1000 + i]] + words[i : i + 3] + [words[1001 + i]]]
+    texts = [" ".join(x) for x in (words, words[:400] + words[:21], words[:400] + words[:20], [w for w in words[:40] for _ in range(5)], short)]
+    got = {x["doc_id"]: x for x in quality.quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i]["longest"] for i in (0, 1, 2)] == [0, 21, 20]
+    assert not any(got[i]["base_failed"] for i in range(5))
+    assert [got[i]["kept"] for i in range(5)] == [True, False, True, False, False] == [_quality_truth(t)[-1] for t in texts]
 
 
 def test_urls(spark):
