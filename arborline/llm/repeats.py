@@ -5,14 +5,15 @@ equal windows have equal anchors at equal places. Windows next to each other tha
 text of n bytes has about 2n / (LENGTH - GRAM) runs, and only runs travel:
 
 1. Runs whose anchor occurs once anywhere hold no repeated window and end there (counts by anchor).
-2. Runs with equal bytes are one class. All windows of a class of two or more are repeats.
-3. A class of one whose anchor has other classes lies at the edge of a passage. Classes that share an anchor are
-   put into one bucket; over a bucket's bytes an enhanced suffix array is built, the stack scan of its LCP array
-   gives the common-prefix intervals of LENGTH or more, and those with diverse left extensions are the maximal
-   repeats, with all their occurrences, whose spans are removed.
+2. Runs with equal bytes are one class, a string whose weight is their number.
+3. Classes that share an anchor are put into one bucket; over a bucket's strings an enhanced suffix array is built, in
+   which a suffix counts as often as its string weighs. The stack scan of its LCP array gives the common-prefix
+   intervals of LENGTH or more, and those of a total weight of two or more with diverse left extensions are the maximal
+   repeats, with all their occurrences, whose spans are removed from all rows of the class.
 4. An anchor of more than CROWD classes (a passage with thousands of surroundings) is dealt to blocks, which are
-   treated alike; windows that occur once in their block are then counted by their hash over all blocks, with partial
-   sums, so no task holds such a group.
+   treated alike. Windows that occur once in their block are looked for in other blocks by a hash, with partial sums; a
+   class that has such a window meets a witness, a class of another block with the same window, in a second round of
+   suffix arrays. So no task holds a crowd, and hashes choose what is compared, but spans come from intervals alone.
 
 Spans of a text are united, and the rest of its bytes is kept.
 
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,11 +152,12 @@ def _bytes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "anchor long, whole long, n long, at long, crowd boolean, members long, bytes binary")
 
 
-def maximal_repeats(strings: list[bytes], family: np.ndarray, least: int = LENGTH) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def maximal_repeats(strings: list[bytes], family: np.ndarray, least: int = LENGTH, weight: np.ndarray | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(length, strings, places) of the maximal repeats of ``least`` bytes or more in strings of the same family.
 
     The suffix array is sparse: it holds the suffixes of ``least`` bytes or more whose first half of that many bytes
-    occurs again in the family, by a hash; they are sorted by all their bytes, so prefixes are exact.
+    occurs again in the family, by a hash; they are sorted by all their bytes, so prefixes are exact. A string of weight
+    two or more stands for so many rows: its longest suffix is a repeat by itself, and what stands before it is diverse.
     """
     data = np.frombuffer(b"".join(strings), np.uint8)
     sizes = np.array([len(s) for s in strings], np.int64)
@@ -166,13 +169,15 @@ def maximal_repeats(strings: list[bytes], family: np.ndarray, least: int = LENGT
     at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n - (ends - sizes), n)
     half = _Sums(data).of(at, at + least // 2) ^ mix(family.astype(np.uint64))[which]
     _, group, size = np.unique(half, return_inverse=True, return_counts=True)
-    again = size[group] > 1
-    at, which = at[again], which[again]
+    first = at == (ends - sizes)[which]
+    copied = first & (weight[which] > 1) if weight is not None else np.zeros(len(at), bool)
+    again = (size[group] > 1) | copied
+    at, which, copied = at[again], which[again], copied[again]
     if not len(at):
         return []
     # of suffixes that differ only in zero bytes at their ends the shorter comes first
     order = np.argsort(ends[which] - at, kind="stable")
-    at, which = at[order], which[order]
+    at, which, copied = at[order], which[order], copied[order]
     left = ends[which] - at
     # a row for each suffix: its family, its bytes, and zeros after its end
     width = int(left.max())
@@ -191,24 +196,25 @@ def maximal_repeats(strings: list[bytes], family: np.ndarray, least: int = LENGT
     before = np.where(at == (ends - sizes)[which], -1 - which, data[np.maximum(at - 1, 0)].astype(np.int64))[sa]
     change = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
     place = at - (ends - sizes)[which]
-    return [(length, which[sa[a : b + 1]], place[sa[a : b + 1]]) for length, a, b in intervals(lcp, least) if change[b] > change[a]]
+    alone = np.flatnonzero(copied[sa])
+    found = [(length, a, b) for length, a, b in intervals(lcp, least) if change[b] > change[a]]
+    found += zip(left[sa[alone]].tolist(), alone.tolist(), alone.tolist(), strict=True)
+    return [(length, which[sa[a : b + 1]], place[sa[a : b + 1]]) for length, a, b in found]
 
 
 def _edges(table: pa.Table) -> pa.Table:
-    """Spans of repeats in classes of one, as (anchor, whole, first byte, bytes)."""
+    """Spans of the maximal repeats in classes, as (anchor, whole, first byte, bytes)."""
     strings = [v.as_py() for v in table["bytes"]]
     families, family = np.unique(table["anchor"].to_numpy(), return_inverse=True)
     size = np.array([len(s) for s in strings], np.int64)
     base = np.concatenate([[0], np.cumsum(size + 1)])
     marks = np.zeros(base[-1] + 1, np.int64)
-    for length, which, place in maximal_repeats(strings, family):
+    for length, which, place in maximal_repeats(strings, family, weight=table["n"].to_numpy()):
         np.add.at(marks, base[which] + place, 1)
         np.add.at(marks, base[which] + np.minimum(place + length, size[which]), -1)
     covered = np.concatenate([[0], (np.cumsum(marks[:-1]) > 0).astype(np.int64), [0]])
     start, end = np.flatnonzero(np.diff(covered) == 1), np.flatnonzero(np.diff(covered) == -1)
     which = np.searchsorted(base, start, "right") - 1
-    alone = table["n"].to_numpy()[which] == 1
-    start, end, which = start[alone], end[alone], which[alone]
     return pa.table({"anchor": table["anchor"].take(pa.array(which)), "whole": table["whole"].take(pa.array(which)), "start": pa.array(start - base[which], pa.int64()), "size": pa.array(end - start, pa.int64())})
 
 
@@ -274,44 +280,48 @@ def _windows(classes: DataFrame) -> DataFrame:
 def _crowded(cut: DataFrame) -> DataFrame:
     """Spans (anchor, whole, start, size) of the repeats in classes of crowded anchors.
 
-    Classes are dealt to blocks, where the suffix array finds what is repeated inside; windows that a block holds
-    once are looked for in other blocks by their hash, with partial counts, so a passage that all of a crowd shares
-    is settled in the blocks, and no task holds a crowd.
+    Classes are dealt to blocks, where the suffix array finds what is repeated inside. A window that a block holds once
+    is looked for in other blocks by its hash, with partial counts; its class then meets a class of another block that
+    has the window, in a suffix array of the classes that asked and of their witnesses.
     """
     crowd = cut.where("crowd")
-    dealt = crowd.withColumn("block", F.pmod(F.xxhash64("whole"), F.ceil(F.col("members") / F.lit(CROWD))))
+    dealt = crowd.withColumn("block", F.pmod(F.xxhash64("whole"), F.ceil(F.col("members") / F.lit(CROWD)))).select("anchor", "block", "whole", "n", "bytes")
 
     def block(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return _block(table)
 
-    local = dealt.select("anchor", "block", "whole", "n", "bytes").groupBy("anchor", "block").applyInArrow(block, "anchor long, whole long, kind string, start long, size long")
+    local = dealt.groupBy("anchor", "block").applyInArrow(block, "anchor long, whole long, kind string, start long, size long")
     local = materialize(local, "blocks")
     ranges = local.where("kind <> 'span'").groupBy(F.col("anchor").alias("_anchor"), F.col("whole").alias("_whole")).agg(F.collect_list(F.struct("start", "size", (F.col("kind") == "ask").alias("ask"))).alias("ranges"))
     asked = crowd.join(ranges, (F.col("anchor") == F.col("_anchor")) & (F.col("whole") == F.col("_whole"))).select("anchor", "whole", "bytes", "ranges")
     # a class makes a row for each of its windows, so classes are dealt evenly first
     windows = _windows(asked.repartition(F.col("whole")))
-    again = windows.groupBy("window", "anchor").agg(F.count(F.lit(1)).alias("c"), F.max("ask").alias("asked")).where("c > 1 AND asked")
-    again = materialize(again.select(F.col("window").alias("_w"), F.col("anchor").alias("_a")), "windows")
-    hits = windows.where("ask").join(again, (F.col("window") == F.col("_w")) & (F.col("anchor") == F.col("_a"))).groupBy("anchor", "whole").agg(F.sort_array(F.collect_list("start")).alias("starts"))
-    # starts in a row make one span
-    united = F.expr(f"""aggregate(starts, cast(array() AS array<struct<start:bigint,size:bigint>>), (acc, x) ->
-        IF(size(acc) > 0 AND x <= element_at(acc, -1).start + element_at(acc, -1).size - {LENGTH} + 1,
-           concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'size', x - element_at(acc, -1).start + {LENGTH}L))),
-           array_append(acc, named_struct('start', x, 'size', {LENGTH}L))))""")
-    far = hits.select("anchor", "whole", F.explode(united).alias("s")).select("anchor", "whole", "s.start", "s.size")
+    again = windows.groupBy("window", "anchor").agg(F.count(F.lit(1)).alias("c"), F.max("ask").alias("asked"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("c > 1 AND asked")
+    again = materialize(again.select(F.col("window").alias("_w"), F.col("anchor").alias("_a"), "w0", "w1"), "windows")
+    met = windows.where("ask").join(again, (F.col("window") == F.col("_w")) & (F.col("anchor") == F.col("_a")))
+    met = materialize(met.select("anchor", "whole", F.when(F.col("w0") != F.col("whole"), F.col("w0")).otherwise(F.col("w1")).alias("witness")).distinct(), "witnesses")
+    own = (F.col("anchor") == F.col("_anchor")) & (F.col("whole") == F.col("_whole"))
+    asking = dealt.join(met.select(F.col("anchor").alias("_anchor"), F.col("whole").alias("_whole")).distinct(), own).drop("_anchor", "_whole")
+    asking = materialize(asking, "asking")
+    blocks = asking.select(F.col("anchor").alias("_a"), F.col("whole").alias("_w"), "block")
+    seen = met.join(blocks, (F.col("anchor") == F.col("_a")) & (F.col("whole") == F.col("_w"))).select(F.col("anchor").alias("_anchor"), F.col("witness").alias("_whole"), "block").distinct()
+    seen = dealt.drop("block").join(seen, own).select("anchor", "block", "whole", F.lit(1).cast("long").alias("n"), "bytes", F.lit(False).alias("asks"))
+
+    def second(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        spans = _edges(table)
+        return spans.filter(pc.is_in(spans["whole"], value_set=table.filter(table["asks"])["whole"].combine_chunks()))
+
+    far = asking.withColumn("asks", F.lit(True)).unionByName(seen).groupBy("anchor", "block").applyInArrow(second, "anchor long, whole long, start long, size long")
     return local.where("kind = 'span'").select("anchor", "whole", "start", "size").union(far)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(_id, _th, spans): for each text with repeats, the (start, size) of their spans, in bytes, overlapping or not."""
     runs = materialize(_runs(docs), "runs")
-    seen = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("n > 1")
-    seen = materialize(seen.selectExpr("anchor AS _anchor", "a <> b AS mixed"), "anchors")
-    shared = materialize(runs.join(seen, F.col("anchor") == F.col("_anchor")).drop("_anchor"), "shared")
-    whole = lambda df: df.select("doc_id", "th", F.shiftright("at", 20).alias("start"), F.shiftright("at", 10).bitwiseAND(1023).alias("size"))
-
-    mixed = shared.where("mixed").groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "at")).alias("rep"))
-    classes = materialize(mixed, "classes")
+    seen = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("anchor").alias("_anchor"))
+    shared = materialize(runs.join(materialize(seen, "anchors"), F.col("anchor") == F.col("_anchor")).drop("_anchor"), "shared")
+    classes = shared.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "at")).alias("rep"))
+    classes = materialize(classes, "classes")
     crowds = materialize(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > CROWD).withColumnRenamed("anchor", "_anchor"), "crowds")
     flagged = classes.join(crowds, F.col("anchor") == F.col("_anchor"), "left").withColumn("crowd", F.col("_anchor").isNotNull()).drop("_anchor")
     cut = materialize(_bytes(docs, flagged), "bytes")
@@ -327,12 +337,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = found.union(_crowded(cut))
     found = materialize(found.withColumnsRenamed({"anchor": "_anchor", "whole": "_whole"}), "edges")
 
-    reps = classes.where("n = 1").select("anchor", "whole", "rep")
-    at_edges = reps.join(found, (F.col("anchor") == F.col("_anchor")) & (F.col("whole") == F.col("_whole")))
-    at_edges = at_edges.select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"), (F.shiftright("rep.at", 20) + F.col("start")).alias("start"), "size")
-    many = classes.where("n > 1").select(F.col("anchor").alias("_anchor"), F.col("whole").alias("_whole"))
-    copied = whole(shared.where("mixed").join(many, (F.col("anchor") == F.col("_anchor")) & (F.col("whole") == F.col("_whole"))))
-    spans = whole(shared.where("NOT mixed")).union(copied).union(at_edges).distinct()
+    spans = shared.join(found, (F.col("anchor") == F.col("_anchor")) & (F.col("whole") == F.col("_whole")))
+    spans = spans.select("doc_id", "th", (F.shiftright("at", 20) + F.col("start")).alias("start"), "size").distinct()
     return spans.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("start", "size")).alias("spans"))
 
 
