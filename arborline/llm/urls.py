@@ -1,15 +1,19 @@
 """URL filter: a rule list, and gradient-boosted trees on lexical features for the rest.
 
-The rules label the URLs they fit; on a bounded sample of those (SAMPLE rows with the smallest hashes of their
-URLs) trees are fitted in numpy on the driver. Scoring is one DataFrame expression, with no Python.
+The rules label the URLs they fit; on a bounded sample of those (SAMPLE distinct URLs with the smallest hashes, half of
+either label where there are so many) trees are fitted in numpy on the driver. Endings of hosts and first segments of
+paths are hashed to BUCKETS, each with its log-odds of block over the whole sample; for fitting, a URL's own fold is left
+out of its figures, so trees don't learn what the labels told the figures. Scoring is one DataFrame expression, with no
+Python.
 
 Defined results: a null URL, or one without "://", has an empty host and path, no rule, and the method's verdict;
-a null id is kept; repeated rows are judged alike; without labelled URLs of both kinds the verdict is that of the
-only kind, or allow; an empty table gives no rows. Only page_id and url are read.
+a null id is kept; repeated rows are judged alike and count once in the sample; without labelled URLs of both kinds the
+verdict is that of the only kind, or allow; an empty table gives no rows. Only page_id and url are read.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +22,8 @@ from pyspark.sql import functions as F
 
 #: (host, path, verdict); a rule fits its host and all subdomains where the URL's path starts with its path.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: At most so many labelled URLs are used for fitting, and so many host endings get a figure of their own.
-SAMPLE, ENDINGS = 20_000, 256
+#: At most so many distinct labelled URLs are used for fitting; buckets of endings and segments; folds of the sample.
+SAMPLE, BUCKETS, FOLDS = 20_000, 4096, 5
 TREES, DEPTH, RATE, BINS, LEAST = 40, 3, 0.3, 32, 20
 
 FEATURES = ["n_chars", "depth", "digit_ratio", "entropy", "n_params", "host_dots", "path_chars", "ending1", "ending2", "segment"]
@@ -45,8 +49,12 @@ def matched(host: Column, path: Column, rules=tuple(RULES)) -> tuple[Column, Col
     return rule, verdict
 
 
+def _bucket(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(BUCKETS)).cast("int")
+
+
 def lexical(pages: DataFrame, rules=tuple(RULES)) -> DataFrame:
-    """page_id, url, host, path, rule, ruled and the features that need no labels, with the endings as text."""
+    """page_id, url, host, path, rule, ruled and the features that need no labels, and the buckets of endings and segment."""
     url = F.coalesce("url", F.lit(""))
     host, path = parts(F.col("url"))
     rows = pages.select("page_id", url.alias("url"), host.alias("host"), path.alias("path"))
@@ -62,15 +70,16 @@ def lexical(pages: DataFrame, rules=tuple(RULES)) -> DataFrame:
         (F.length(F.regexp_replace("url", "[^0-9]", "")) / chars).alias("digit_ratio"), entropy.alias("entropy"),
         F.when(query == "", 0.0).otherwise((F.length(query) - F.length(F.replace(query, F.lit("&"))) + 1).cast("double")).alias("n_params"),
         (F.size(labels) - 1).cast("double").alias("host_dots"), F.length("path").cast("double").alias("path_chars"),
-        F.element_at(labels, -1).alias("end1"), F.array_join(F.slice(labels, -F.least(F.size(labels), F.lit(2)), 2), ".").alias("end2"), F.regexp_extract("path", "^/[^/]*/?", 0).alias("seg"),
+        _bucket(F.element_at(labels, -1)).alias("end1"), _bucket(F.array_join(F.slice(labels, -F.least(F.size(labels), F.lit(2)), 2), ".")).alias("end2"),
+        _bucket(F.regexp_extract("path", "^/[^/]*/?", 0)).alias("seg"),
     )
 
 
 @dataclass
 class Model:
-    """Log-odds of text features by value (for the rest 0), and the trees: nested (feature, cut, low, high) or a leaf value."""
+    """Log-odds of text features by bucket, and the trees: nested (feature, cut, low, high) or a leaf value."""
 
-    odds: dict[str, dict[str, float]]
+    odds: dict[str, np.ndarray]
     start: float
     trees: list
 
@@ -90,12 +99,10 @@ class Model:
 _TEXTS = {"ending1": "end1", "ending2": "end2", "segment": "seg"}
 
 
-def _odds(values: list[str], y: np.ndarray) -> dict[str, float]:
-    seen: dict[str, list[int]] = {}
-    for v, t in zip(values, y.tolist(), strict=True):
-        seen.setdefault(v, [0, 0])[int(t)] += 1
-    top = sorted(seen.items(), key=lambda x: (-sum(x[1]), x[0]))[:ENDINGS]
-    return {v: float(np.log((b + 1) / (a + 1))) for v, (a, b) in top}
+def _odds(buckets: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log-odds of block in each bucket; 0 where nothing fell."""
+    block, every = np.bincount(buckets, y, BUCKETS), np.bincount(buckets, minlength=BUCKETS)
+    return np.log((block + 1) / (every - block + 1))
 
 
 def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray], binned: np.ndarray, depth: int):
@@ -125,9 +132,15 @@ def fit(rows: list) -> Model:
     """Boost trees on logistic loss; rows have the features of ``lexical`` and ``ruled``."""
     y = np.array([r["ruled"] == "block" for r in rows], float)
     if not len(y) or y.min() == y.max():
-        return Model({k: {} for k in _TEXTS}, 1.0 if len(y) and y[0] else -1.0, [])
-    odds = {k: _odds([r[c] for r in rows], y) for k, c in _TEXTS.items()}
-    x = np.array([[odds[f].get(r[_TEXTS[f]], 0.0) if f in _TEXTS else r[f] for f in FEATURES] for r in rows], float)
+        return Model({k: np.zeros(BUCKETS) for k in _TEXTS}, 1.0 if len(y) and y[0] else -1.0, [])
+    x = np.array([[r[_TEXTS.get(f, f)] for f in FEATURES] for r in rows], float)
+    fold, odds = np.arange(len(y)) % FOLDS, {}
+    for f in _TEXTS:
+        j = FEATURES.index(f)
+        buckets = x[:, j].astype(np.int64)
+        odds[f] = _odds(buckets, y)
+        for k in range(FOLDS):
+            x[fold == k, j] = _odds(buckets[fold != k], y[fold != k])[buckets[fold == k]]
     cuts = []
     for j in range(x.shape[1]):
         values = np.unique(x[:, j])
@@ -155,10 +168,17 @@ def fit(rows: list) -> Model:
 
 
 def train(rows: DataFrame) -> Model:
-    """Fit on the SAMPLE labelled rows of ``lexical`` whose URLs hash lowest."""
-    wanted = ["ruled", *[_TEXTS.get(f, f) for f in FEATURES]]
-    chosen = rows.where("ruled IS NOT NULL").select(F.md5("url").alias("_order"), *wanted).orderBy("_order").limit(SAMPLE)
-    return fit(chosen.collect())
+    """Fit on a sample of the labelled rows of ``lexical``: distinct URLs that hash lowest, of either label at least half where it has so many."""
+    # a URL is counted once: equal ones meet before the shuffle
+    distinct = rows.where("ruled IS NOT NULL").select("url", "ruled").distinct().withColumn("_order", F.md5("url"))
+    allow, block = (distinct.where(F.col("ruled") == label).orderBy("_order").limit(SAMPLE).collect() for label in ("allow", "block"))
+    half = SAMPLE // 2
+    chosen = sorted([*allow[: max(half, SAMPLE - len(block))], *block[: max(half, SAMPLE - len(allow))]], key=lambda r: r["_order"])
+    if not chosen:
+        return fit([])
+    table = rows.sparkSession.createDataFrame([(i, r["url"]) for i, r in enumerate(chosen)], "page_id int, url string")
+    made = lexical(table).select("page_id", *[_TEXTS.get(f, f) for f in FEATURES]).orderBy("page_id").collect()
+    return fit([{**r.asDict(), "ruled": c["ruled"]} for r, c in zip(made, chosen, strict=True)])
 
 
 def judge(pages: DataFrame, rules=tuple(RULES), model: Model | None = None) -> DataFrame:
@@ -166,9 +186,7 @@ def judge(pages: DataFrame, rules=tuple(RULES), model: Model | None = None) -> D
     rows = lexical(pages, rules)
     model = model or train(rows)
     for name, c in _TEXTS.items():
-        table = [x for v, o in sorted(model.odds[name].items()) for x in (F.lit(v), F.lit(o))]
-        value = F.coalesce(F.try_element_at(F.create_map(*table), F.col(c)), F.lit(0.0)) if table else F.lit(0.0)
-        rows = rows.withColumn(name, value)
+        rows = rows.withColumn(name, F.get(F.from_json(F.lit(json.dumps(model.odds[name].tolist())), "array<double>"), F.col(c)))
     rows = rows.withColumn("score", model.score(F.col))
     verdict = F.coalesce("ruled", F.when(F.col("score") > 0, "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

@@ -357,6 +357,22 @@ def test_urls(spark):
     assert {r["verdict"] for r in urls.judge(pages.where("page_id IN (4, 7)")).collect()} <= {"block", "allow"}
 
 
+def test_urls_hot_url_and_held_out(spark, monkeypatch):
+    """A URL repeated many times takes no more of the sample than another; trees fitted on half agree with the rest's labels."""
+    monkeypatch.setattr(urls, "SAMPLE", 200)
+    r = random.Random(7)
+    made = [f"http://{r.choice('abc')}{r.randrange(50)}.{h}/{p}/{r.randrange(999)}" for _ in range(300) for h, p in (("evil.net", "x"), ("example.net", "en"), ("example.org", "fr"), ("example.com", "de"), ("example.com", "en"))]
+    pages = lambda us: spark.createDataFrame(list(enumerate(us)), "page_id long, url string")
+    once = {x["page_id"]: x["verdict"] for x in urls.judge(pages(made)).collect()}
+    hot = {x["page_id"]: x["verdict"] for x in urls.judge(pages(made + [made[0]] * 3000)).collect()}
+    assert all(hot[i] == v for i, v in once.items()) and set(once.values()) == {"allow", "block"}
+    rows = urls.lexical(pages(made)).where("ruled IS NOT NULL")
+    model = urls.train(rows.where("page_id % 2 = 0"))
+    assert model.trees
+    held = urls.judge(pages(made), model=model).where("rule IS NOT NULL AND page_id % 2 = 1").collect()
+    assert sum((x["score"] > 0) == (x["verdict"] == "block") for x in held) >= 0.9 * len(held)
+
+
 def _vector_rows():
     r = random.Random(4)
     base = [[r.gauss(0, 1) for _ in range(16)] for _ in range(40)]
