@@ -1,18 +1,21 @@
 """Near-duplicate vectors by product quantisation over inverted lists.
 
-Vectors of a label are compared by cosine. Equal vectors are one class. Coarse centroids and, on the residuals,
-codebooks of PARTS subspaces are fitted on a bounded sample on the driver; every class is indexed. A class probes
-each list whose bisector with its own list is near enough that a vector within the link's distance could lie
-beyond it (DEVIATIONS of a random direction's share of that distance; more lists where centroids are close).
+Vectors of a label are compared by cosine. Equal vectors are one class. A label of n classes has about n / LIST inverted
+lists, so lists grow with it: coarse centroids, from WIDE lists on with more levels of centroids on the residuals, so
+that a sample of fixed size serves any number of lists. Centroids, and codebooks of PARTS subspaces on the last
+residuals, are fitted on that sample on the driver, for each class of label sizes (powers of four); every class is
+indexed. A class probes each list whose bisector with its own is near enough that a vector within the link's distance
+could lie beyond it (DEVIATIONS of a random direction's share of that distance), level by level.
 In a list, asymmetric distances are sums of table lookups; candidates within the same number of deviations of the
 quantisation error are ranked by exact cosine in double precision, so no link below the threshold is returned.
 Hot lists are dealt to blocks of members and of queries; a block pair returns counts and a spanning forest of
-its links, never the links themselves.
+its links, never the links themselves. Vectors of a length that is rare, or not among the LENGTHS most common, have
+no index: those of a label are one list, compared exactly.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and those of a null
-label, link with nothing; vectors of unequal length don't link; repeated rows link with one another (n_links
-counts rows); a null id never names a component with other ids; an empty table gives no rows. Only vec_id,
-embedding and label are read.
+label, link with nothing; vectors of unequal length don't link; components of any finite size are compared; repeated
+rows link with one another (n_links counts rows); a null id never names a component with other ids; an empty table
+gives no rows. Only vec_id, embedding and label are read.
 """
 
 from __future__ import annotations
@@ -25,16 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import materialize
+from .store import join_params, materialize
 
 #: Classes (those of the lowest hashes) that centroids and codebooks are fitted on; rounds of k-means.
 SAMPLE, ROUNDS = 16_384, 8
-#: Members a list should have, and the most lists.
-LIST, MOST_LISTS = 512, 1024
+#: Members a list should have (up to four times as many), and the most centroids of a level.
+LIST, WIDE = 512, 1024
+#: Lengths of vectors that get an index.
+LENGTHS = 8
 PARTS, CODES = 8, 64
 DEVIATIONS = 3.5
-#: Members, and queries, of a block.
-BLOCK = 1024
+#: Members, and queries, of a block; queries that are compared at once.
+BLOCK, AT_ONCE = 4096, 1024
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -54,36 +59,60 @@ def _kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 
 class Index:
-    """Coarse centroids, and codebooks for residuals, of unit vectors of one length."""
+    """Coarse centroids, in levels, and codebooks for the last residuals, of unit vectors of one length.
+
+    A list is numbered by its centroids, the first level's the highest digit.
+    """
 
     def __init__(self, sample: np.ndarray, lists: int):
         d = sample.shape[1]
-        self.centroids = _kmeans(sample, min(lists, len(sample)), 1)
-        rest = sample - self.centroids[_nearest(sample, self.centroids)]
+        self.levels: list[np.ndarray] = []
+        rest = sample
+        while lists > 1 or not self.levels:
+            k = min(lists, WIDE, len(sample))
+            self.levels.append(_kmeans(rest, k, 1 + len(self.levels)))
+            rest = rest - self.levels[-1][_nearest(rest, self.levels[-1])]
+            lists = -(-lists // k) if k > 1 else 1
+        self.between = [np.sqrt(np.maximum((c**2).sum(1)[:, None] + (c**2).sum(1) - 2 * c @ c.T, 0)) for c in self.levels]
         self.cuts = np.linspace(0, d, min(PARTS, d) + 1).astype(int)
         self.books = [_kmeans(rest[:, a:b], min(CODES, len(rest)), 2) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
-        between = ((self.centroids[:, None] - self.centroids[None]) ** 2).sum(2) if len(self.centroids) <= 256 else np.stack([((self.centroids - c) ** 2).sum(1) for c in self.centroids])
-        self.between = np.sqrt(between)
 
-    def code(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The list of each vector, and its residual."""
+        own, rest = np.zeros(len(x), np.int64), x
+        for c in self.levels:
+            at = _nearest(rest, c)
+            own, rest = own * len(c) + at, rest - c[at]
+        return own, rest
+
+    def centroid(self, at: int) -> np.ndarray:
+        out = 0.0
+        for c in reversed(self.levels):
+            out = out + c[at % len(c)]
+            at //= len(c)
+        return out
+
+    def code(self, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals, and the squared error of each."""
-        rest = x - self.centroids[own]
         codes = np.stack([_nearest(rest[:, a:b], book) for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)], 1).astype(np.uint8)
         back = np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], 1)
         return codes, ((rest - back) ** 2).sum(1)
 
-    def probes(self, x: np.ndarray, own: np.ndarray, reach: float) -> list[np.ndarray]:
-        """For each vector the lists whose bisector with its own list is no further than reach."""
-        far = ((self.centroids**2).sum(1) - 2 * x @ self.centroids.T) + 1.0
-        mine = far[np.arange(len(x)), own]
-        apart = np.maximum(self.between[own], 1e-12)
-        near = (far - mine[:, None]) <= 2 * apart * reach
-        near[np.arange(len(x)), own] = True
-        return [np.flatnonzero(row) for row in near]
+    def probes(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, list) of all lists to probe: at each level those whose bisector with the nearest is no further than reach."""
+        which, at, rest = np.arange(len(x)), np.zeros(len(x), np.int64), x
+        for c, between in zip(self.levels, self.between, strict=True):
+            far = (c**2).sum(1) - 2 * rest @ c.T
+            own = far.argmin(1)
+            near = far - far[np.arange(len(rest)), own][:, None] <= 2 * np.maximum(between[own], 1e-12) * reach
+            near[np.arange(len(rest)), own] = True
+            i, j = np.nonzero(near)
+            which, at, rest = which[i], at[i] * len(c) + j, rest[i] - c[j]
+        return which, at
 
     def distances(self, x: np.ndarray, codes: np.ndarray, at: int) -> np.ndarray:
         """Squared asymmetric distances of queries to the coded members of a list."""
-        rest = x - self.centroids[at]
+        rest = x - self.centroid(at)
         out = np.zeros((len(x), len(codes)))
         for j, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True)):
             table = (rest[:, a:b] ** 2).sum(1)[:, None] - 2 * rest[:, a:b] @ self.books[j].T + (self.books[j] ** 2).sum(1)
@@ -94,6 +123,7 @@ class Index:
 def _unit(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -117,8 +147,17 @@ def _forest(q: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[
     return list(zip(nodes[far].tolist(), nodes[root[far]].tolist(), strict=True))
 
 
-def links_between(index: Index, at: int, x: np.ndarray, q: np.ndarray, y: np.ndarray, m: np.ndarray, codes: np.ndarray, error: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+def links_between(index: Index | None, at: int, x: np.ndarray, q: np.ndarray, y: np.ndarray, m: np.ndarray, codes: np.ndarray, error: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Places (query, member) of all links found between queries x and the members y of a list."""
+    if len(x) > AT_ONCE:
+        parts = [links_between(index, at, x[a : a + AT_ONCE], q[a : a + AT_ONCE], y, m, codes, error, cosine) for a in range(0, len(x), AT_ONCE)]
+        return np.concatenate([i + a * AT_ONCE for a, (i, _) in enumerate(parts)]), np.concatenate([j for _, j in parts])
+    if index is None:
+        i, j = np.nonzero(x @ y.T >= cosine - 1e-9)
+        keep = q[i] != m[j]
+        i, j = i[keep], j[keep]
+        hit = np.einsum("nd,nd->n", x[i], y[j]) >= cosine
+        return i[hit], j[hit]
     limit = 2 - 2 * cosine
     # the distance is the asymmetric one less the member's error, but for their product in a random direction
     slack = 2 * DEVIATIONS * np.sqrt(limit * error / x.shape[1])
@@ -144,27 +183,19 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     rows = _classes(vectors)
     grouped = rows.where("fine").groupBy("label", "x").agg(F.count(F.lit(1)).alias("times"), F.min("vec_id").alias("first_id"))
     classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()).withColumn("d", F.size("x")), "classes")
-    lengths = [r["d"] for r in classes.groupBy("d").count().orderBy(F.desc("count"), "d").collect()]
-    reach_of = lambda d: DEVIATIONS * np.sqrt((2 - 2 * cosine) / d)
-
-    counts, forests = [], []
-    for d in lengths:
-        own = classes.where(F.col("d") == d)
-        n = own.count()
-        chosen = own.select(F.xxhash64("x").alias("h"), "x").orderBy("h").limit(SAMPLE).select("x").toArrow()
-        index = Index(_unit(chosen["x"], d), max(1, min(MOST_LISTS, n // LIST)))
-        shared = spark.sparkContext.broadcast(index)
-        count, forest = _links(own, shared, d, cosine, reach_of(d))
-        counts.append(count)
-        forests.append(forest)
-    linked = None
-    for count in counts:
-        linked = count if linked is None else linked.union(count)
-    if linked is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    forest = forests[0]
-    for f in forests[1:]:
-        forest = forest.union(f)
+    held = classes.groupBy("label", "d").agg(F.count(F.lit(1)).alias("n"))
+    held = materialize(held.select(F.xxhash64("label", "d").alias("g"), "d", "n"), "labels")
+    common = held.groupBy("d").agg(F.sum("n").alias("all")).where(F.col("all") >= LIST).orderBy(F.desc("all"), "d").limit(LENGTHS)
+    models: dict[tuple[int, int], Index] = {}
+    power = F.floor(F.log(4.0, F.greatest(F.col("n") / F.lit(float(LIST)), F.lit(1.0))) + 1e-9).cast("int")
+    for d in [r["d"] for r in common.collect()]:
+        chosen = classes.where(F.col("d") == d).select(F.xxhash64("x").alias("h"), "x").orderBy("h").limit(SAMPLE).select("x").toArrow()
+        sample = _unit(chosen["x"], d)
+        for r in held.where(F.col("d") == d).select(power.alias("k")).distinct().collect():
+            models[d, r["k"]] = Index(sample, 4 ** r["k"])
+    shared = spark.sparkContext.broadcast(models)
+    sized = join_params(classes.withColumn("g", F.xxhash64("label", "d")), held.select("g", power.alias("k")), "g", F.col("cid"))
+    linked, forest = _links(sized, shared, cosine)
     found = materialize(components(forest), "roots")
     counted = linked.groupBy("cid").agg(F.sum("n").alias("n")).withColumnRenamed("cid", "_cid")
     owned = classes.join(materialize(counted, "counts"), F.col("cid") == F.col("_cid"), "left").join(found, F.col("cid") == F.col("node"), "left")
@@ -177,41 +208,52 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     return fine.union(rest).select("vec_id", "n_links", F.col("component_id").cast("long").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _links(classes: DataFrame, shared, d: int, cosine: float, reach: float) -> tuple[DataFrame, DataFrame]:
+def _links(classes: DataFrame, shared, cosine: float) -> tuple[DataFrame, DataFrame]:
     """(cid, n): rows linked with each class, in parts; and a forest (u, v) of the links."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        models = shared.value
         for whole in batches:
             for a in range(0, len(whole), 4096):
                 batch = whole.slice(a, 4096)
-                x = _unit(batch.column(batch.schema.get_field_index("x")), d)
-                own = _nearest(x, index.centroids)
-                codes, error = index.code(x, own)
-                probes = index.probes(x, own, reach)
-                cid, label, times = (batch.column(batch.schema.get_field_index(c)) for c in ("cid", "label", "times"))
-                yield pa.RecordBatch.from_arrays(
-                    [cid, label, times, pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array([p.tolist() for p in probes], pa.list_(pa.int32())), pa.array([v.tobytes() for v in x], pa.binary())],
-                    ["cid", "label", "times", "list", "codes", "error", "probes", "unit"],
-                )
+                kind = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("d", "k")], 1)
+                for d, k in np.unique(kind, axis=0).tolist():
+                    part = batch.filter(pa.array((kind == (d, k)).all(1)))
+                    cid, label, times, xs = (part.column(part.schema.get_field_index(c)) for c in ("cid", "label", "times", "x"))
+                    x, index = _unit(xs, d), models.get((d, k))
+                    if index is None:
+                        own, codes, error, which, at = np.zeros(len(x), np.int64), np.zeros((len(x), 0), np.uint8), np.zeros(len(x)), np.arange(len(x)), np.zeros(len(x), np.int64)
+                    else:
+                        own, rest = index.assign(x)
+                        codes, error = index.code(rest)
+                        which, at = index.probes(x, DEVIATIONS * np.sqrt((2 - 2 * cosine) / d))
+                    order = np.argsort(which, kind="stable")
+                    cuts = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(x)))])
+                    probes = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(at[order], pa.int64()))
+                    yield pa.RecordBatch.from_arrays(
+                        [cid, label, times, pa.array([d] * len(x), pa.int32()), pa.array([k] * len(x), pa.int32()), pa.array(own, pa.int64()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), probes, pa.array([v.tobytes() for v in x], pa.binary())],
+                        ["cid", "label", "times", "d", "k", "list", "codes", "error", "probes", "unit"],
+                    )
 
     kind = classes.schema["label"].dataType.simpleString()
-    indexed = classes.select("cid", "label", "times", "x").mapInArrow(assign, f"cid long, label {kind}, times long, list int, codes binary, error double, probes array<int>, unit binary")
+    indexed = classes.select("cid", "label", "times", "d", "k", "x").mapInArrow(assign, f"cid long, label {kind}, times long, d int, k int, list long, codes binary, error double, probes array<long>, unit binary")
     indexed = materialize(indexed, "indexed")
-    probed = indexed.select("cid", "label", F.explode("probes").alias("list"))
-    sizes = indexed.groupBy("label", "list").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("mb"))
-    asked = probed.groupBy(F.col("label").alias("_l"), F.col("list").alias("_i")).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("qb"))
-    blocks = materialize(sizes.join(asked, (F.col("label") == F.col("_l")) & (F.col("list") == F.col("_i"))).select(F.col("label").alias("_l"), F.col("list").alias("_i"), "mb", "qb"), "blocks")
-    on = (F.col("label") == F.col("_l")) & (F.col("list") == F.col("_i"))
+    group = ["label", "d", "list"]
+    probed = indexed.select("cid", "label", "d", F.explode("probes").alias("list"))
+    counted = lambda df, n: df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias(n))
+    renamed = {c: f"_{c}" for c in group}
+    blocks = materialize(counted(indexed, "mb").join(counted(probed, "qb"), group).withColumnsRenamed(renamed), "blocks")
+    on = (F.col("label") == F.col("_label")) & (F.col("d") == F.col("_d")) & (F.col("list") == F.col("_list"))
     deal = lambda n, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     members = indexed.join(blocks, on).withColumn("m", deal("mb", 1)).withColumn("q", every("qb"))
-    members = members.select("label", "list", "m", "q", "cid", "times", "codes", "error", "unit")
-    queries = indexed.select("cid", "label", F.explode("probes").alias("list"), "unit").join(blocks, on).withColumn("q", deal("qb", 2)).withColumn("m", every("mb"))
-    queries = queries.select("label", "list", "m", "q", "cid", F.lit(None).cast("long").alias("times"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"), "unit")
+    members = members.select(*group, "m", "q", "k", "cid", "times", "codes", "error", "unit")
+    queries = indexed.select("cid", "label", "d", "k", F.explode("probes").alias("list"), "unit").join(blocks, on).withColumn("q", deal("qb", 2)).withColumn("m", every("mb"))
+    queries = queries.select(*group, "m", "q", "k", "cid", F.lit(None).cast("long").alias("times"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"), "unit")
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        index, at = shared.value, key[1].as_py()
+        d, at = key[1].as_py(), key[2].as_py()
+        index = shared.value.get((d, table["k"][0].as_py()))
         cid = table["cid"].to_numpy()
         unit = np.frombuffer(b"".join(v.as_py() for v in table["unit"]), np.float64).reshape(-1, d)
         mine = np.flatnonzero(~np.isnan(table["error"].to_numpy()))
@@ -220,7 +262,7 @@ def _links(classes: DataFrame, shared, d: int, cosine: float, reach: float) -> t
         edges: list[tuple[int, int]] = []
         if len(mine) and len(asks):
             some = table.take(pa.array(mine))
-            codes = np.frombuffer(b"".join(v.as_py() for v in some["codes"]), np.uint8).reshape(len(mine), -1)
+            codes = np.frombuffer(b"".join(v.as_py() for v in some["codes"]), np.uint8).reshape(len(mine), -1) if index else np.zeros((len(mine), 0), np.uint8)
             i, j = links_between(index, at, unit[asks], cid[asks], unit[mine], cid[mine], codes, some["error"].to_numpy(), cosine)
             if len(i):
                 n = np.zeros(len(asks), np.int64)
@@ -235,7 +277,7 @@ def _links(classes: DataFrame, shared, d: int, cosine: float, reach: float) -> t
             "n": pa.array([*out_n.values(), *[None] * len(edges)], pa.int64()),
         })
 
-    compared = members.union(queries).groupBy("label", "list", "m", "q").applyInArrow(compare, "u long, v long, n long")
+    compared = members.union(queries).groupBy(*group, "m", "q").applyInArrow(compare, "u long, v long, n long")
     compared = materialize(compared, "compared")
     return compared.where("n IS NOT NULL").select(F.col("u").alias("cid"), "n"), compared.where("v IS NOT NULL").select("u", "v")
 

@@ -373,6 +373,34 @@ def test_urls_hot_url_and_held_out(spark, monkeypatch):
     assert sum((x["score"] > 0) == (x["verdict"] == "block") for x in held) >= 0.9 * len(held)
 
 
+def test_vectors_recall_over_many_lists(spark, monkeypatch):
+    """Links found, of the true ones, over sixteen lists a label and over two levels of centroids; none is false."""
+    import numpy as np
+
+    r = np.random.default_rng(9)
+    base = r.normal(size=(900, 32))
+    x = np.concatenate([base, base[:500] + r.normal(size=(500, 32)) * 0.2, base[:200] + r.normal(size=(200, 32)) * 0.27]).astype(np.float32)
+    x[:40] *= np.float32(1e18)
+    x[40:80] *= np.float32(1e-18)
+    unit = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1, keepdims=True))
+    label = np.arange(len(x)) % 100 // 50
+    same = (unit @ unit.T >= 0.93) & (label[:, None] == label)
+    np.fill_diagonal(same, False)
+    df = spark.createDataFrame([(i, v.tolist(), int(b)) for i, (v, b) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<float>, label int")
+    monkeypatch.setattr(vectors, "LIST", 50)
+    for wide in (1024, 4):
+        monkeypatch.setattr(vectors, "WIDE", wide)
+        got = {v["vec_id"]: v["n_links"] for v in vectors.near_vectors(df).collect()}
+        assert all(got[i] <= n for i, n in enumerate(same.sum(1)))
+        assert sum(got.values()) >= 0.9 * same.sum() > 300
+
+
+def test_vectors_of_extreme_size(spark):
+    rows = [(i, [float(f"1e{e}") * c for c in (1.0, 2.0)], 0) for i, e in enumerate((200, 300, -200, -300, 0))]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r["n_links"], r["component_id"]) for r in got} == {(4, 0)}
+
+
 def _vector_rows():
     r = random.Random(4)
     base = [[r.gauss(0, 1) for _ in range(16)] for _ in range(40)]
