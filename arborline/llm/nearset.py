@@ -9,9 +9,10 @@
    compared with the bucket's most central one (it shares most buckets with others), so a group of copies costs a
    pair each. Links are confirmed on full sets.
 4. Components of the links are formed. In buckets that still hold several, members of different components are
-   compared in blocks, by signature and, where its estimate is within seven deviations of the threshold, on the full
-   sets. So no link that shares a bucket is left unseen, though pairs are never listed: a pair of blocks returns a
-   spanning forest of its links.
+   compared in blocks by signature, and a pair of blocks returns the members that have a partner whose estimate is
+   within seven deviations of the threshold. Only those meet again, with their full sets. So no link that shares a
+   bucket is left unseen, though pairs are never listed (a pair of blocks returns a spanning forest of its links), and
+   full sets travel only where signatures leave the question open.
 
 With 32 bands of 4 a pair at the threshold shares no bucket with probability 5e-8.
 
@@ -171,6 +172,47 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "x").join(two, "y").select("x", "y", "xs", "ys").mapInArrow(run, "u long, v long")
 
 
+class _Block:
+    """Members of a pair of blocks: which pairs their signatures allow to be linked."""
+
+    def __init__(self, key: tuple[pa.Scalar, ...], table: pa.Table, percent: int):
+        self.band, self.percent = key[0].as_py(), percent
+        self.sig = np.frombuffer(b"".join(x.as_py() for x in table["sig"]), "<u2").reshape(-1, PLACES)
+        self.cid, comp, side, self.n = (table[c].to_numpy() for c in ("cid", "comp", "side", "n"))
+        self.left = np.flatnonzero(side <= 0)
+        self.right = self.left if key[2] == key[3] else np.flatnonzero(side > 0)
+        _, self.root = np.unique(comp, return_inverse=True)
+
+    def near(self, i: int) -> np.ndarray:
+        """Members of the other side, in another component, that may be linked with member i and share no earlier band with it."""
+        n, right = self.n, self.right
+        others = right[(self.root[right] != self.root[i]) & (np.minimum(n[right], n[i]) * 100 >= self.percent * np.maximum(n[right], n[i]))]
+        same = self.sig[others] == self.sig[i]
+        fit = same.mean(1) >= LOWEST
+        if self.band:
+            fit &= ~same[:, : self.band * ROWS].reshape(len(others), self.band, ROWS).all(2).any(1)
+        return others[fit]
+
+
+_BLOCK_KEY = ["band", "key", "one", "two"]
+
+
+def _open(blocks: DataFrame, percent: int) -> DataFrame:
+    """(_cid and the key of the pair of blocks): members that have a possible partner there, by signatures."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        block = _Block(key, table, percent)
+        hit = np.zeros(len(block.cid), bool)
+        for i in block.left.tolist():
+            others = block.near(i)
+            hit[others] = True
+            hit[i] |= len(others) > 0
+        found = block.cid[hit]
+        return pa.table({**{f"_{c}": pa.array([k.as_py()] * len(found), k.type) for c, k in zip(_BLOCK_KEY, key, strict=True)}, "_cid": pa.array(found, pa.int64())})
+
+    return blocks.groupBy(*_BLOCK_KEY).applyInArrow(run, "_band int, _key long, _one int, _two int, _cid long")
+
+
 def _apart(blocks: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between members of different components in the same pair of blocks, as a spanning forest.
 
@@ -179,24 +221,14 @@ def _apart(blocks: DataFrame, percent: int) -> DataFrame:
     """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        band = key[0].as_py()
-        sig = np.frombuffer(b"".join(x.as_py() for x in table["sig"]), "<u2").reshape(-1, PLACES)
-        cid, comp, side, n = (table[c].to_numpy() for c in ("cid", "comp", "side", "n"))
-        left = np.flatnonzero(side <= 0)
-        right = left if key[2] == key[3] else np.flatnonzero(side > 0)
+        block = _Block(key, table, percent)
+        cid, n, root = block.cid, block.n, block.root
         ends = np.cumsum(n)
         _, element = np.unique(np.frombuffer(b"".join(x.as_py() for x in table["members"]), np.uint64), return_inverse=True)
         mark = np.zeros(len(element) + 1, bool)
-        _, root = np.unique(comp, return_inverse=True)
         out = []
-        for i in left.tolist():
-            fit = (root[right] != root[i]) & (np.minimum(n[right], n[i]) * 100 >= percent * np.maximum(n[right], n[i]))
-            others = right[fit]
-            same = sig[others] == sig[i]
-            near = same.mean(1) >= LOWEST
-            if band:
-                near &= ~same[:, : band * ROWS].reshape(len(others), band, ROWS).all(2).any(1)
-            others = others[near]
+        for i in block.left.tolist():
+            others = block.near(i)
             if not len(others):
                 continue
             mark[element[ends[i] - n[i] : ends[i]]] = True
@@ -211,7 +243,7 @@ def _apart(blocks: DataFrame, percent: int) -> DataFrame:
             root[np.isin(root, roots)] = root[i]
         return pa.table({"u": pa.array([a for a, _ in out], pa.int64()), "v": pa.array([b for _, b in out], pa.int64())})
 
-    return blocks.groupBy("band", "key", "one", "two").applyInArrow(run, "u long, v long")
+    return blocks.groupBy(*_BLOCK_KEY).applyInArrow(run, "u long, v long")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -219,7 +251,7 @@ def _blocks(members: DataFrame) -> DataFrame:
     spread = F.pmod(F.xxhash64("cid"), F.col("n_blocks")).cast("int")
     m = members.withColumn("own", spread).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1)
-    return m.select("band", "key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "cid", "comp", "n", "sig", "members", side.alias("side"))
+    return m.select("band", "key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "cid", "comp", "n", "sig", side.alias("side"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
@@ -258,8 +290,14 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     n_blocks = F.ceil(F.greatest(F.col("size") / F.lit(BLOCK), F.col("hashes") / F.lit(BLOCK_HASHES))).cast("int")
     several = materialize(several.select(F.col("band").alias("_band"), F.col("key").alias("_key"), n_blocks.alias("n_blocks")), "several")
     members = parted.join(several, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key"))).select("band", "key", "cid", "comp", "n", "n_blocks")
-    signed = classes.select(F.col("cid").alias("_cid"), "sig").join(sets.withColumnRenamed("cid", "_set"), F.col("_cid") == F.col("_set"))
-    more = materialize(_apart(_blocks(members.join(signed, F.col("cid") == F.col("_cid"))), percent), "more")
+    signed = classes.select(F.col("cid").alias("_cid"), "sig")
+    blocks = _blocks(members.join(signed, F.col("cid") == F.col("_cid")))
+    open_ = materialize(_open(blocks, percent), "open")
+    still = F.col("cid") == F.col("_cid")
+    for c in _BLOCK_KEY:
+        still &= F.col(c) == F.col(f"_{c}")
+    whole = blocks.join(open_, still).drop("_cid", *[f"_{c}" for c in _BLOCK_KEY]).join(sets.withColumnRenamed("cid", "_set"), F.col("cid") == F.col("_set")).drop("_set")
+    more = materialize(_apart(whole, percent), "more")
     if more.limit(1).count():
         found = materialize(components(links.union(more)), "roots")
 
