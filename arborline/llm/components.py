@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import forget, materialize, scratch
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -27,12 +27,16 @@ def _small(e: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(u, v) longs -> (node, root): the smallest node of each linked node's component."""
+    spark = links.sparkSession
     e = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    e = materialize(e, "links")
+    with scratch(spark) as keep:
+        e = keep(materialize(e, "links"))
     state = None
     while True:
         now = e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if now == state or now[0] == 0:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        state = now
-        e = materialize(_small(materialize(_large(e), "stars")), "links")
+        state, before = now, e
+        with scratch(spark) as keep:
+            e = keep(materialize(_small(materialize(_large(e), "stars")), "links"))
+        forget(before)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import join_params, materialize
+from .store import join_params, materialize, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 DRAW_BITS, STEP_BITS = 52, 12
@@ -127,7 +127,7 @@ def mix_params(rows: DataFrame) -> DataFrame:
     params = materialize(params.withColumn("room", F.col("target") - F.col("copies") * F.col("source_size")), "targets")
     for shift in (DRAW_BITS - STEP_BITS, DRAW_BITS - 2 * STEP_BITS, 0):
         params = _refine(rows, params, shift)
-    return params.select("source", "source_size", "target", "copies", F.col("low").alias("below"), "room")
+    return materialize(params.select("source", "source_size", "target", "copies", F.col("low").alias("below"), "room"), "params")
 
 
 def _place() -> list[Column]:
@@ -151,14 +151,17 @@ def _copies(joined: DataFrame) -> DataFrame:
 
 def mix_plan(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and the words taken of every document."""
-    rows = _rows(docs)
-    taken = _copies(join_params(rows, mix_params(rows), "source", F.col("draw")))
+    with scratch(docs.sparkSession) as keep:
+        rows = keep(_rows(docs))
+        params = keep(mix_params(rows))
+    taken = _copies(join_params(rows, params, "source", F.col("draw")))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("n") * F.col("size")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: the documents' own columns, each document as many times as it is taken; wordless ones go."""
-    params = mix_params(_rows(docs))
+    with scratch(docs.sparkSession) as keep:
+        params = keep(mix_params(_rows(docs)))
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", size_of().alias("size"), draw().alias("draw"), *_place())
     taken = _copies(join_params(inner.where("size > 0"), params, "source", F.col("draw"))).where("n > 0")
     repeated = taken.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))

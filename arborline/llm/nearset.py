@@ -23,7 +23,7 @@ all ids in it are null; repeated rows are linked; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import materialize
+from .store import materialize, scratch
 from .textbytes import mix, slices, spans_hash, words
 
 PLACES, BANDS = 128, 32
@@ -256,7 +256,12 @@ def _blocks(members: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, th (the text's hash), n_shingles, component_id and kept of every document."""
-    rows = materialize(_signed(docs, k), "signed")
+    with scratch(docs.sparkSession) as keep:
+        return _grouped(docs, k, percent, keep)
+
+
+def _grouped(docs: DataFrame, k: int, percent: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    rows = keep(materialize(_signed(docs, k), "signed"))
     grouped = rows.where("n > 0").groupBy("a", "b").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "th")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
@@ -304,7 +309,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     owned = classes.select("a", "b", "rep", "cid").join(found, F.col("cid") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cid"))
     owned = materialize(owned.select("a", "b", "rep", "comp"), "owned")
     names = materialize(owned.groupBy("comp").agg(F.min("rep").alias("first")).withColumnRenamed("comp", "_comp"), "names")
-    named = materialize(owned.join(names, F.col("comp") == F.col("_comp")).select(F.col("a").alias("_a"), F.col("b").alias("_b"), "first"), "named")
+    named = keep(materialize(owned.join(names, F.col("comp") == F.col("_comp")).select(F.col("a").alias("_a"), F.col("b").alias("_b"), "first"), "named"))
     full = rows.where("n > 0").select("doc_id", "th", "n", "a", "b").join(named, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
     first = (F.col("first.th") == F.col("th")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id"))
     full = full.select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), first.alias("first"))

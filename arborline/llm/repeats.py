@@ -25,7 +25,7 @@ doc_id and text are read (a text is told apart by its id and a 64-bit hash of it
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, scratch
 from .suffixes import intervals
 from .textbytes import SLICE_BYTES, mix, slices
 
@@ -317,9 +317,14 @@ def _crowded(cut: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(_id, _th, spans): for each text with repeats, the (start, size) of their spans, in bytes, overlapping or not."""
+    with scratch(docs.sparkSession) as keep:
+        return _spans(docs, keep)
+
+
+def _spans(docs: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     runs = materialize(_runs(docs), "runs")
     seen = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("anchor").alias("_anchor"))
-    shared = materialize(runs.join(materialize(seen, "anchors"), F.col("anchor") == F.col("_anchor")).drop("_anchor"), "shared")
+    shared = keep(materialize(runs.join(materialize(seen, "anchors"), F.col("anchor") == F.col("_anchor")).drop("_anchor"), "shared"))
     classes = shared.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "at")).alias("rep"))
     classes = materialize(classes, "classes")
     crowds = materialize(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > CROWD).withColumnRenamed("anchor", "_anchor"), "crowds")
@@ -335,7 +340,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     found = calm.select("bucket", "anchor", "whole", "n", "bytes").groupBy("bucket").applyInArrow(edges, "anchor long, whole long, start long, size long")
     found = found.union(_crowded(cut))
-    found = materialize(found.withColumnsRenamed({"anchor": "_anchor", "whole": "_whole"}), "edges")
+    found = keep(materialize(found.withColumnsRenamed({"anchor": "_anchor", "whole": "_whole"}), "edges"))
 
     spans = shared.join(found, (F.col("anchor") == F.col("_anchor")) & (F.col("whole") == F.col("_whole")))
     spans = spans.select("doc_id", "th", (F.shiftright("at", 20) + F.col("start")).alias("start"), "size").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,17 +36,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/arborline-{uuid.uuid4().hex}-{name}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
 
 
 @contextlib.contextmanager
 def recording() -> Iterator[list[str]]:
-    """Collects the paths of the tables that are written inside."""
+    """Collects the paths of the tables that are written inside and still there."""
     first, paths = len(_written), []
     yield paths
     paths += _written[first:]
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are deleted at the end, but for those that the function it gives was called with: what the result reads."""
+    first, kept = len(_written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._table)
+        return df
+
+    yield keep
+    done = [path for path in _written[first:] if path not in kept]
+    _written[first:] = [path for path in _written[first:] if path in kept]
+    delete(spark, done)
+
+
 def delete(spark: SparkSession, paths: list[str]) -> None:
     """Delete tables once no result that reads them is needed."""
     conf = spark._jsc.hadoopConfiguration()
@@ -55,6 +72,17 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def forget_all(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables by their paths."""
+    _written[:] = [path for path in _written if path not in paths]
+    delete(spark, list(paths))
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a materialised table."""
+    forget_all(df.sparkSession, [df._table])
+
+
 def is_small(df: DataFrame) -> bool:
     """Whether a written table is within the broadcast bounds; it is counted, not estimated."""
     widths = [F.octet_length(F.col(f"`{c}`").cast("string")) for c in df.columns]

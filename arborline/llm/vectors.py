@@ -20,7 +20,7 @@ gives no rows. Only vec_id, embedding and label are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import join_params, materialize
+from .store import join_params, materialize, scratch
 
 #: Classes (those of the lowest hashes) that centroids and codebooks are fitted on; rounds of k-means.
 SAMPLE, ROUNDS = 16_384, 8
@@ -179,6 +179,11 @@ def _classes(vectors: DataFrame) -> DataFrame:
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
+    with scratch(vectors.sparkSession) as keep:
+        return _linked(vectors, cosine, keep)
+
+
+def _linked(vectors: DataFrame, cosine: float, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     spark = vectors.sparkSession
     rows = _classes(vectors)
     grouped = rows.where("fine").groupBy("label", "x").agg(F.count(F.lit(1)).alias("times"), F.min("vec_id").alias("first_id"))
@@ -202,7 +207,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     owned = materialize(owned.select("label", "x", "first_id", F.coalesce("root", "cid").alias("comp"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links")), "owned")
     names = materialize(owned.groupBy("comp").agg(F.min("first_id").alias("component_id")).withColumnRenamed("comp", "_comp"), "names")
     named = owned.join(names, F.col("comp") == F.col("_comp")).select(F.col("label").alias("_label"), F.col("x").alias("_x"), "n_links", "component_id")
-    named = materialize(named, "named")
+    named = keep(materialize(named, "named"))
     fine = rows.where("fine").join(named, (F.col("label") == F.col("_label")) & (F.col("x") == F.col("_x"))).select("vec_id", "n_links", "component_id")
     rest = rows.where("NOT fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return fine.union(rest).select("vec_id", "n_links", F.col("component_id").cast("long").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

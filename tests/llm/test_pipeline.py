@@ -39,3 +39,21 @@ def test_entry_lists_all():
     names = [x for x in __spark_entry__.queries() if x.startswith("op") or x == "pipeline"]
     assert sorted({int(x[2:].split("_")[0]) for x in names if x != "pipeline"}) == list(range(1, 11)) and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_run_leaves_its_result_alone(spark, tmp_path):
+    """Tables on the way are deleted, so are stages that were read; a second run doesn't touch the first one's result."""
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 400}x{i}" for j in range(30)), "en", "a", 1) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    from arborline.llm import store
+
+    before = list(store._written)
+    one = corpus_pipeline.run(spark, str(tmp_path))
+    two = corpus_pipeline.run(spark, str(tmp_path))
+    assert one.count() == two.count() > 0 and store._written == before
