@@ -48,9 +48,7 @@ def main(args: list[str] | None = None) -> int:
             print(_array_text(row))
     elif a.command == "to_newick":
         text = a.tree.replace("\\n", "\n")
-        # a vector in one line is a number a line in a file
-        lines = text.replace(",", "\n") if "\n" not in text and text.count(",") != 2 or "." not in text else text
-        t = files.read_array(spark.createDataFrame([(0, lines)], "tree_id int, value string"))
+        t = files.read_array(spark.createDataFrame([(0, text)], "tree_id int, value string"))
         row = t.select("tree_id", "v", "bls").first()
         print(kernels.newick(row["v"], None if row["bls"] is None else [(b["b1"], b["b2"]) for b in row["bls"]]))
     else:

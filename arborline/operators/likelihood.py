@@ -17,21 +17,76 @@ def state(base: Column) -> Column:
     return out
 
 
-def distances(alignment: DataFrame, model: str = "JC69") -> DataFrame:
-    """(a, b, distance) for a < b: differing sites of the sites both have, as they are ("raw") or corrected ("JC69").
-
-    Sites are compared in the row of a pair, from the sequences as arrays; the output is a row a pair of taxa.
+#: Tasks on either side that the pairs of one alignment are dealt to.
+DEAL = 16
+
+
+def _kept_sites(alignment: DataFrame, key: str, pairwise: bool) -> DataFrame:
+    """(key, taxon, s): the bases as an array; without ``pairwise``, only sites where no taxon of the alignment has a gap or a code."""
+    rows = alignment.select(key, "taxon", F.split(F.lower("seq"), "").alias("s"))
+    if pairwise:
+        return rows
+    gaps = rows.select(key, F.posexplode("s").alias("site", "base")).where("base <> '' AND base NOT IN ('a', 'c', 'g', 't')")
+    gaps = gaps.groupBy(F.col(key).alias("_key")).agg(F.collect_set("site").alias("_gaps"))
+    kept = F.transform(F.filter(F.transform("s", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: ~F.array_contains("_gaps", e["i"])), lambda e: e["x"])
+    joined = rows.join(gaps, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return joined.select(key, "taxon", F.when(F.col("_gaps").isNull(), F.col("s")).otherwise(kept).alias("s"))
+
+
+def _corrected(model: str, alpha: float | None) -> Column:
+    """A distance from the shares p of differing sites, pr and py of transitions among purines and pyrimidines, and the frequencies a, c, g, t."""
+    c = F.col
+    if model == "raw":
+        return c("p")
+    # -k ln w, or with rates drawn from a gamma distribution, k alpha w^(-1/alpha) less its value at w = 1
+    grown = (lambda k, w: -k * F.ln(w)) if alpha is None else (lambda k, w: k * F.lit(float(alpha)) * (F.pow(w, F.lit(-1.0 / alpha)) - 1))
+    one, tv = F.lit(1.0), c("p") - c("pr") - c("py")
+    if model == "JC69":
+        return grown(F.lit(0.75), one - c("p") * F.lit(4.0 / 3))
+    if model == "K80":
+        return grown(F.lit(0.5), one - 2 * (c("pr") + c("py")) - tv) + grown(F.lit(0.25), one - 2 * tv)
+    if model == "F81":
+        e = one - c("a") * c("a") - c("c") * c("c") - c("g") * c("g") - c("t") * c("t")
+        return grown(e, one - c("p") / e)
+    r, y = c("a") + c("g"), c("c") + c("t")
+    kr, ky = 2 * c("a") * c("g") / r, 2 * c("c") * c("t") / y
+    kv = 2 * (r * y - c("a") * c("g") * y / r - c("c") * c("t") * r / y)
+    return grown(kr, one - c("pr") / kr - tv / (2 * r)) + grown(ky, one - c("py") / ky - tv / (2 * y)) + grown(kv, one - tv / (2 * r * y))
+
+
+MODELS = ("raw", "JC69", "K80", "F81", "TN93")
+
+
+def distances(alignment: DataFrame, model: str = "JC69", gamma: float | bool = False, key: str | None = None, pairwise_deletion: bool = False) -> DataFrame:
+    """([key,] a, b, distance) for a < b of the taxa of an alignment, or of each alignment of a table by its ``key``.
+
+    ``gamma`` is the shape of the rates' distribution (True: 1). Sites with a gap or an ambiguity code anywhere in an
+    alignment are left out, or with ``pairwise_deletion`` those where the pair has one. Bases are compared in the row of
+    a pair; pairs are an equi-join, of which a hot alignment is dealt to DEAL by DEAL keys.
     """
-    s = alignment.select("taxon", F.split(F.lower("seq"), "").alias("s"))
-    other = s.withColumnsRenamed({"taxon": "b", "s": "t"})
-    known = lambda e: e["x"].isin("a", "c", "g", "t") & e["y"].isin("a", "c", "g", "t")
-    both = F.filter(F.zip_with("s", "t", lambda x, y: F.struct(x.alias("x"), y.alias("y"))), known)
-    pairs = s.join(other, F.col("taxon") < F.col("b")).withColumn("both", both)
-    p = F.size(F.filter("both", lambda e: e["x"] != e["y"])) / F.size("both")
-    d = p if model == "raw" else F.lit(-0.75) * F.ln(F.lit(1.0) - F.lit(4.0) / 3 * F.col("p"))
-    if model not in ("raw", "JC69"):
+    if model not in MODELS:
         raise ValueError(f"unknown model: {model}")
-    return pairs.withColumn("p", F.when(F.size("both") > 0, p)).select(F.col("taxon").alias("a"), "b", (F.col("p") if model == "raw" else d).alias("distance"))
+    table = alignment if key else alignment.withColumn("alignment_id", F.lit(0))
+    key_ = key or "alignment_id"
+    s = _kept_sites(table, key_, pairwise_deletion).where(F.col(key_).isNotNull())
+    own = F.pmod(F.xxhash64("taxon"), F.lit(DEAL)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1)))
+    left = s.select(key_, F.col("taxon").alias("x"), "s", own.alias("i"), every.alias("j"))
+    right = s.select(F.col(key_).alias("_key"), F.col("taxon").alias("y"), F.col("s").alias("u"), every.alias("_i"), own.alias("_j"))
+    pairs = left.join(right, (F.col(key_) == F.col("_key")) & (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")) & (F.col("x") < F.col("y")))
+    known = lambda e: e["x"].isin("a", "c", "g", "t") & e["y"].isin("a", "c", "g", "t")
+    both = F.filter(F.zip_with("s", "u", lambda x, y: F.struct(x.alias("x"), y.alias("y"))), known)
+    pairs = pairs.withColumn("both", both).withColumn("n", F.size("both"))
+    share = lambda f: F.when(F.col("n") > 0, F.size(F.filter("both", f)) / F.col("n"))
+    among = lambda e, letters: e["x"].isin(*letters) & e["y"].isin(*letters) & (e["x"] != e["y"])
+    pairs = pairs.select(key_, "x", "y", share(lambda e: e["x"] != e["y"]).alias("p"), share(lambda e: among(e, "ag")).alias("pr"), share(lambda e: among(e, "ct")).alias("py"))
+    if model in ("F81", "TN93"):
+        count = lambda b: F.sum(F.size(F.filter("s", lambda x: x == b)))
+        sums = s.groupBy(F.col(key_).alias("_key")).agg(*[count(b).alias(b) for b in "acgt"])
+        total = sum((F.col(b) for b in "acgt"), F.lit(0))
+        pairs = pairs.join(sums.select("_key", *[(F.col(b) / total).alias(b) for b in "acgt"]), F.col(key_) == F.col("_key"))
+    alpha = None if gamma is False or gamma is None else float(gamma)
+    return pairs.select(*([key_] if key else []), F.col("x").alias("a"), F.col("y").alias("b"), _corrected(model, alpha).alias("distance"))
 
 
 def patterns(alignment: DataFrame, key: str = "alignment_id") -> DataFrame:

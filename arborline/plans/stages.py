@@ -83,6 +83,15 @@ def vector_of_newick(trees: DataFrame, lengths: bool = False, column: str = "new
     return t.drop("_tokens", "_parsed", "_named", "_sorted", "_least", "_order", "_pairs")
 
 
+def from_newick(trees: DataFrame, column: str = "newick") -> DataFrame:
+    """v, and bls where a tree's string has branch lengths (else null): each row takes the parser that fits it."""
+    text = F.col(column)
+    has = nw.has_branch_lengths(text)
+    # the other kind's rows are emptied, wherever the optimiser puts the filter
+    kind = lambda keep, lengths: vector_of_newick(trees.where(keep).withColumn("_text", F.when(keep, text)), lengths, "_text").drop("_text")
+    return kind(has, True).unionByName(kind(~has, False).withColumn("bls", F.lit(None).cast("array<struct<b1:double,b2:double>>")))
+
+
 def without_leaf(trees: DataFrame, leaf: str = "leaf") -> DataFrame:
     """``v`` without the leaf in column ``leaf``, and ``sister``."""
     t = ancestry(trees).withColumn("_cut", tr.without_leaf(F.col("rows"), F.col(leaf)))

@@ -11,7 +11,7 @@ from arborline import cli
 from arborline.functions import catalog
 from arborline.functions import newick as nw
 from arborline.functions import trees as tr
-from arborline.operators import collection, compare, kernels, likelihood, optimize, relations
+from arborline.operators import collection, compare, facade, kernels, likelihood, optimize, relations
 from arborline.plans import stages
 from arborline.sources import files
 from arborline.streaming import events
@@ -234,13 +234,33 @@ def test_files(spark, tmp_path):
     assert files.load_newick(spark, f"{tmp_path}/t.nwk").first()["v"] == [0, 0, 1]
     assert files.load_newick(spark, "(0,1)2;").first()["v"] == [0]
     assert [tuple(r) for r in files.read_fasta(spark, f"{tmp_path}/a.fasta").orderBy("taxon").collect()] == [("one", "ACGT"), ("two", "AC-A")]
-    for call in (lambda: files.load(spark, "x.nwk"), lambda: files.load_newick(spark, "x.csv"), lambda: files.load_alignment(spark, "x", "rdata")):
+    for call in (lambda: files.load(spark, "x.nwk"), lambda: files.load_newick(spark, "x.csv"), lambda: files.load_alignment(spark, "x", "rdata"), lambda: files.load_alignment(spark, "yeast"), lambda: files.load_descr("x")):
         with pytest.raises(ValueError):
             call()
     bad = tmp_path / "bad.csv"
     bad.write_text("0,1\n0,2\n")
     with pytest.raises(Exception, match="neither a vector nor a matrix"):
         files.load(spark, str(bad)).collect()
+    texts = {"0.5\n1.7": None, "0,1,2\n0,3,4": None, "0.0\n0.0": None, "0.5,1.0,2.0\n0.0,1.0,2.0": None, "": None, "0,0,1": [0, 0, 1], "0,1.0,2.0\n0,3.0,4.0": [0, 0]}
+    for text, want in texts.items():
+        call = lambda: files.read_array(spark.createDataFrame([(text,)], "value string")).first()["v"]  # noqa: B023, E731
+        if want is None:
+            with pytest.raises(Exception, match="neither a vector nor a matrix"):
+                call()
+        else:
+            assert call() == want
+    (tmp_path / "odd.fasta").write_text(">a x>y\nAC\nGT\n>b\nTT\n")
+    assert [tuple(r) for r in files.load_fasta(spark, "odd.fasta", str(tmp_path)).orderBy("taxon").collect()] == [("a", "ACGT"), ("b", "TT")]
+    (tmp_path / "zika.fa").write_text(">z\nACG\n")
+    known, descr = files.load_alignment(spark, "zika", folder=str(tmp_path))
+    assert known.first()["seq"] == "ACG" and descr["Number of Taxa"] == 86 and descr["Link"].endswith("zika.fasta")
+    assert files.load_alignment(spark, f"{tmp_path}/odd.fasta", "fasta")[1] is None
+    both = spark.createDataFrame([(0, "((0:0.1,2:0.2):0.3,(1:0.5,3:0.7):0.4);"), (1, "((0,2)5,(1,3)4)6;")], "tree_id int, newick string")
+    got = {r["tree_id"]: r for r in stages.from_newick(both).collect()}
+    assert got[0]["v"] == got[1]["v"] == [0, 0, 1] and got[1]["bls"] is None and [tuple(x) for x in got[0]["bls"]] == [(0.5, 0.7), (0.1, 0.2), (0.3, 0.4)]
+    assert files.load_newick(spark, "(0:0.5,1:0.25);").first()["bls"][0]["b2"] == 0.25
+    files.save_newick(table(spark, [[0, 0]]), f"{tmp_path}/named", labels={"0": "ann", "1": "bob", 2: "cy"})
+    assert spark.read.text(f"{tmp_path}/named").first()[0] == "((ann,cy),bob);"
     t = table(spark, [[0, 2, 2]], [[(0.1, 0.2), (1.0, 2.0), (3.0, 4.5)]])
     files.save(t.coalesce(1), f"{tmp_path}/out")
     again = files.load(spark, f"{tmp_path}/out").first()
@@ -280,7 +300,7 @@ def test_likelihood_and_search(spark):
     assert optimize.list_methods() == ["GradME", "HillClimbing"]
     with pytest.raises(ValueError):
         optimize.register_method("GradME")(object)
-    found = optimize.HillClimbing(rounds=1, patience=1).fit(alignment.where("leaf < 4").select("taxon", "seq"))
+    found = optimize.HillClimbing(patience=1, steps=1).fit(alignment.where("leaf < 4").select("taxon", "seq"))
     assert found.scores == sorted(found.scores, reverse=True) and sorted(found.label_mapping.values()) == ["t.0", "t.1", "t.2", "t.3"]
 
 
@@ -301,7 +321,21 @@ def test_balanced_evolution(spark):
     true = [0, 1, 1, 0, 2]
     ups = _ups(true)
     d = np.array([[0.0 if i == j else ups[i].index(min(set(ups[i]) & set(ups[j]))) + ups[j].index(min(set(ups[i]) & set(ups[j]))) for j in range(6)] for i in range(6)])
-    got = optimize.GradME(n_shuffles=3, n_iter_per_step=25).search(spark, d, list("abcdef"))
+    params = np.random.default_rng(1).normal(size=(5, 5))
+    for rooted in (False, True):
+        loss, gradient = optimize.bme_gradient(params, d, rooted)
+        assert math.isclose(loss, optimize.bme_loss(optimize.row_weights(params), d, rooted))
+        for i, j in zip(*np.tril_indices(5), strict=True):
+            up, down = params.copy(), params.copy()
+            up[i, j] += 1e-5
+            down[i, j] -= 1e-5
+            slope = (optimize.bme_loss(optimize.row_weights(up), d, rooted) - optimize.bme_loss(optimize.row_weights(down), d, rooted)) / 2e-5
+            assert math.isclose(gradient[i, j], slope, abs_tol=1e-7)
+    for solver in ("adam", "sgd"):
+        assert optimize.GradME(solver=solver, learning_rate=0.3, n_shuffles=2, n_iter_per_step=20).search(spark, d, list("abcdef")).best
+    with pytest.raises(ValueError):
+        optimize.GradME(solver="other")
+    got = optimize.GradME(n_shuffles=8, n_iter_per_step=200).search(spark, d, list("abcdef"))
     assert got.best_score <= np.log(d.sum() * 0.2) and len(got.label_mapping) == 6
 
 
@@ -339,3 +373,53 @@ def test_large_kernels(spark):
     assert back == {0: v, 1: [0, 0, 1]}
     with pytest.raises(ValueError, match="out of bounds"):
         kernels.pairs([0, 3])
+
+
+def test_distance_models(spark):
+    """The models against plain arithmetic; two alignments in one table; sites with gaps go everywhere, or for the pair."""
+    r = random.Random(12)
+    base = [r.choice("acgt") for _ in range(300)]
+    change = {"a": "ggct", "g": "aact", "c": "ttag", "t": "ccag"}
+    seqs = {n: "".join(r.choice(change[b]) if r.random() < 0.15 else b for b in base) for n in "wxyz"}
+    seqs["w"] = "-" * 10 + seqs["w"][10:]
+    rows = [(k, n, s) for k in (1, 2) for n, s in seqs.items()]
+    t = spark.createDataFrame(rows, "k int, taxon string, seq string")
+    clean = {n: s[10:] for n, s in seqs.items()}
+    f = {b: sum(s.count(b) for s in clean.values()) / sum(map(len, clean.values())) for b in "acgt"}
+
+    def want(model, a, b, al):
+        n = len(a)
+        p, pr, py = (sum(test(x, y) for x, y in zip(a, b, strict=True)) / n for test in (lambda x, y: x != y, lambda x, y: {x, y} == {"a", "g"}, lambda x, y: {x, y} == {"c", "t"}))
+        q = p - pr - py
+        g = (lambda k, w: -k * math.log(w)) if al is None else (lambda k, w: k * al * (w ** (-1 / al) - 1))
+        R, Y = f["a"] + f["g"], f["c"] + f["t"]
+        e = 1 - sum(x * x for x in f.values())
+        kr, ky = 2 * f["a"] * f["g"] / R, 2 * f["c"] * f["t"] / Y
+        kv = 2 * (R * Y - f["a"] * f["g"] * Y / R - f["c"] * f["t"] * R / Y)
+        return {"raw": p, "JC69": g(0.75, 1 - 4 * p / 3), "K80": g(0.5, 1 - 2 * (pr + py) - q) + g(0.25, 1 - 2 * q), "F81": g(e, 1 - p / e), "TN93": g(kr, 1 - pr / kr - q / (2 * R)) + g(ky, 1 - py / ky - q / (2 * Y)) + g(kv, 1 - q / (2 * R * Y))}[model]
+
+    for model in likelihood.MODELS:
+        for gamma in (False, 0.7):
+            got = {(x["k"], x["a"], x["b"]): x["distance"] for x in likelihood.distances(t, model, gamma, key="k").collect()}
+            assert len(got) == 12
+            for (_, a, b), d in got.items():
+                assert math.isclose(d, want(model, clean[a], clean[b], gamma or None), rel_tol=1e-9), (model, gamma)
+    pairwise = {(x["a"], x["b"]): x["distance"] for x in likelihood.distances(t.where("k = 1"), "raw", pairwise_deletion=True).collect()}
+    assert math.isclose(pairwise["x", "y"], sum(a != b for a, b in zip(seqs["x"], seqs["y"], strict=True)) / 300)
+    with pytest.raises(ValueError):
+        likelihood.distances(t, "other")
+
+
+def test_facade(spark):
+    tree = facade.TreeVec([0, 1, 2, 5, 4, 2], taxa=list("abcdefg"))
+    assert tree.n_leaf == 6 and tree.is_rooted and tree.get_ancestry()[-1][2] == 12 and len(tree.get_edges()) == 12
+    tree.add_leaf(spark, 5, 3)
+    assert tree.data == [0, 1, 2, 5, 3, 4, 2]
+    tree = facade.TreeVec([0, 1, 2, 5, 4, 2])
+    assert tree.remove_leaf(spark, 5) == 4 and tree.data == [0, 1, 2, 5, 2]
+    assert facade.TreeVec([0, 0, 1]).to_newick() == "((0,2)5,(1,3)4)6;"
+    assert all(x <= i for i, x in enumerate(facade.TreeVec.from_sample(9, True, 3).data))
+    assert facade.reorder_v("birth_death", [0, 2, 1, 3], dict(enumerate("abcde"))) == ([0, 1, 1, 1], dict(enumerate("ceabd")))
+    for method in ("bfs", "other"):
+        with pytest.raises(ValueError):
+            facade.reorder_v(method, [0], {0: "a", 1: "b"})
