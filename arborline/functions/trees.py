@@ -5,8 +5,9 @@ merge order makes the internal node k + 1 + r, so labels grow towards the root 2
 ``ARRAY<STRUCT<b1 DOUBLE, b2 DOUBLE>>``, a pair for each row of the ancestry (not for each place of v).
 
 Functions take columns, not long expressions: ``arborline.plans.stages`` adds pairs, ancestry and so on as columns
-of their own, so that each is analysed and computed once. Folds over a tree copy an array a step, so they cost k^2; ``arborline.operators.kernels`` has the same conversions
-as Arrow kernels for trees of more than a few hundred leaves.
+of their own, so that each is analysed and computed once. Ancestry, depths, lengths and common ancestors cost k log k or
+less; conversions that fold a tree (pairs, Newick) copy an array a step, which is k^2: ``arborline.operators.kernels``
+has those as Arrow kernels for trees of more than a few hundred leaves.
 """
 
 from __future__ import annotations
@@ -43,6 +44,11 @@ def _once(f: Callable[..., Column]) -> Callable[..., Column]:
     return bound
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.transform(F.array(x), f).getItem(0)
+
+
 # -- validity
 
 
@@ -112,17 +118,23 @@ def from_pairs(pairs: Column) -> Column:
 
 @_once
 def ancestry_of_pairs(pairs: Column) -> Column:
-    """(c1, c2, p) of each row: a label stands for the last node that was made of it."""
+    """(c1, c2, p) of each row: a label stands for the last node that was made of it.
+
+    Sorted by label and row, a label's earlier use is the entry before, so no step copies the tree.
+    """
     k = F.size(pairs)
+    side = lambda c, n: F.transform(pairs, lambda e, r: F.struct(e[c].alias("l"), r.alias("r"), F.lit(n).alias("s")))
+    uses = F.array_sort(F.concat(side("c1", 0), side("c2", 1)))
 
-    def step(acc, e):
-        now, rows = acc["now"], acc["rows"]
-        p = k + 1 + F.size(rows)
-        row = F.struct(F.get(now, e["c1"]).alias("c1"), F.get(now, e["c2"]).alias("c2"), p.alias("p"))
-        return F.struct(F.transform(now, lambda n, j: F.when(j == e["c1"], p).otherwise(n)).alias("now"), F.array_append(rows, row).alias("rows"))
+    def node(sorted_uses):
+        def made(u, j):
+            before = F.get(sorted_uses, j - 1)
+            return F.struct(u["r"].alias("r"), u["s"].alias("s"), F.when((j > 0) & (before["l"] == u["l"]), k + 1 + before["r"]).otherwise(u["l"]).alias("n"))
 
-    start = F.struct(F.sequence(F.lit(0), k).alias("now"), _empty(ROWS).alias("rows"))
-    return F.aggregate(pairs, start, step, lambda acc: acc["rows"])
+        return F.array_sort(F.transform(sorted_uses, made))
+
+    rows = _let(uses, lambda u: _let(node(u), lambda n: F.transform(pairs, lambda e, r: F.struct(F.get(n, 2 * r)["n"].alias("c1"), F.get(n, 2 * r + 1)["n"].alias("c2"), (k + 1 + r).alias("p")))))
+    return F.when(k == 0, _empty(ROWS)).otherwise(rows)
 
 
 def edges_of_ancestry(rows: Column) -> Column:
@@ -190,43 +202,41 @@ def number(x: Column) -> Column:
 # -- statistics
 
 
-def _top_down(rows: Column, k: Column, root: Column, child) -> Column:
-    """An array over all 2k + 1 nodes: ``root`` at the root, ``child(parent's value, row, side)`` below."""
-    at = F.transform(rows, lambda r, i: F.struct(r.alias("r"), i.alias("i")))
+def _by_child(rows: Column, value: Callable[[Column, Column, str], Column], root: Column) -> Column:
+    """An array over all 2k + 1 nodes: ``value(row, place, side)`` for a child, ``root`` for the root."""
 
-    def step(acc, s):
-        r = s["r"]
-        mine = F.get(acc, r["p"])
-        return F.transform(acc, lambda x, n: F.when(n == r["c1"], child(mine, s, "b1", r["c1"])).when(n == r["c2"], child(mine, s, "b2", r["c2"])).otherwise(x))
+    def both(r, i):
+        return F.array(*[F.struct(r[c].alias("n"), value(r, i, b).alias("x")) for c, b in (("c1", "b1"), ("c2", "b2"))])
 
-    return F.aggregate(F.reverse(at), F.transform(F.sequence(F.lit(0), 2 * k), lambda n: root), step)
+    below = F.array_sort(F.flatten(F.transform(rows, both)))
+    return F.concat(F.transform(below, lambda e: e["x"]), F.array(root))
 
 
 @_once
-def node_depths(rows: Column, bls: Column | None = None) -> Column:
-    """The depth of every node as a double; a branch counts 1 without lengths. No rows: one node of depth 0."""
-
-    def child(mine, s, side, node):
-        return mine + (F.lit(1.0) if bls is None else F.get(bls, s["i"])[side])
-
-    return _top_down(rows, F.size(rows), F.lit(0.0), child)
+def parents(rows: Column) -> Column:
+    """The parent of every node; the root is its own."""
+    return _by_child(rows, lambda r, i, side: r["p"], 2 * F.size(rows))
 
 
 @_once
 def node_lengths(rows: Column, bls: Column | None = None) -> Column:
     """The length of the branch above every node; 0 at the root."""
+    return _by_child(rows, lambda r, i, side: F.lit(1.0) if bls is None else F.get(bls, i)[side], F.lit(0.0))
 
-    def child(mine, s, side, node):
-        return F.lit(1.0) if bls is None else F.get(bls, s["i"])[side]
 
-    return _top_down(rows, F.size(rows), F.lit(0.0), child)
+@_once
+def node_depths(rows: Column, bls: Column | None = None) -> Column:
+    """The depth of every node as a double; a branch counts 1 without lengths. No rows: one node of depth 0.
 
+    Every node jumps to its parent, then as far again in each round, and adds up what it passes: k log k.
+    """
+    state = F.zip_with(parents(rows), node_lengths(rows, bls), lambda p, d: F.struct(p.alias("to"), d.alias("d")))
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(2 * F.size(rows) + F.lit(1))).cast("int"))
 
-@_once
-def ancestors(rows: Column) -> Column:
-    """For every node the labels from itself to the root."""
-    k = F.size(rows)
-    return _top_down(rows, k, F.array(2 * k), lambda mine, s, side, node: F.array_append(mine, node))
+    def jump(s, _):
+        return F.transform(s, lambda x: _let(F.get(s, x["to"]), lambda y: F.struct(y["to"].alias("to"), (x["d"] + y["d"]).alias("d"))))
+
+    return F.transform(F.aggregate(rounds, state, jump), lambda x: x["d"])
 
 
 def leaf_depths(depths: Column) -> Column:
@@ -252,9 +262,15 @@ def b2(depths: Column) -> Column:
     return F.aggregate(leaf_depths(depths), F.lit(0.0), lambda a, d: a + d * F.pow(F.lit(2.0), -d))
 
 
-def common_ancestor(up: Column, a: Column, b: Column) -> Column:
-    """The lowest node above both: labels grow upwards, so the smallest label in both lists of ancestors."""
-    return F.array_min(F.array_intersect(F.get(up, a), F.get(up, b)))
+def common_ancestor(up: Column, a: Column, b: Column, steps: Column) -> Column:
+    """The lowest node above both: labels grow upwards, so of two nodes the smaller goes to its parent until they meet, which they do within ``steps``."""
+
+    def climb(s, _):
+        lower, higher = F.least(s["a"], s["b"]), F.greatest(s["a"], s["b"])
+        return F.when(s["a"] == s["b"], s).otherwise(F.struct(F.get(up, lower).alias("a"), higher.alias("b")))
+
+    start = F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+    return F.aggregate(F.sequence(F.lit(0), steps.cast("int")), start, climb, lambda s: s["a"])
 
 
 @_once

@@ -18,43 +18,44 @@ from ..plans import stages
 LARGE = 256
 
 
-class _Blocks:
-    """A list with insertion in the middle, kept as blocks of at most 1024: O(sqrt n) an insertion."""
-
-    def __init__(self):
-        self.blocks: list[list[tuple[int, int]]] = [[]]
-
-    def insert(self, at: int, item: tuple[int, int]) -> None:
-        for i, b in enumerate(self.blocks):
-            if at <= len(b):
-                b.insert(at, item)
-                if len(b) > 1024:
-                    self.blocks[i : i + 1] = [b[:512], b[512:]]
-                return
-            at -= len(b)
-
-    def get(self, at: int) -> tuple[int, int]:
-        for b in self.blocks:
-            if at < len(b):
-                return b[at]
-            at -= len(b)
-        raise IndexError(at)
-
-    def items(self) -> list[tuple[int, int]]:
-        return [x for b in self.blocks for x in b]
-
-
 def pairs(v: list[int]) -> list[tuple[int, int]]:
-    """(branch, new leaf) in merge order."""
-    made = _Blocks()
+    """(branch, new leaf) in merge order, in k log k.
+
+    Pair i is put at a place of a list of i pairs. Backwards, the last one put has its place for good, so each takes
+    the free place of that rank, found in a tree of counts. A pair put after another shares its branch: that is the
+    nearest to its left that was put earlier.
+    """
+    k = len(v)
+    place = []
     for i, x in enumerate(v):
         if not 0 <= x <= 2 * i:
             raise ValueError(f"Validation failed: v[{i}] = {x} is out of bounds (max = {2 * i})")
-        if x <= i:
-            made.insert(0, (x, i + 1))
-        else:
-            made.insert(x - i, (made.get(x - i - 1)[0], i + 1))
-    return made.items()
+        place.append(max(x - i, 0))
+    size = 1 << max(k - 1, 0).bit_length()
+    free = [0] * (size + 1)
+    for i in range(1, size + 1):
+        free[i] = i & -i if i <= k else max(0, k - (i - (i & -i)))
+    order = [0] * k
+    for i in range(k - 1, -1, -1):
+        # the largest prefix with no more free places than the rank
+        at, rest, step = 0, place[i], size
+        while step:
+            if at + step <= size and free[at + step] <= rest:
+                at += step
+                rest -= free[at]
+            step >>= 1
+        order[at] = i
+        at += 1
+        while at <= size:
+            free[at] -= 1
+            at += at & -at
+    branch, stack = [0] * k, []
+    for i in order:
+        while stack and stack[-1] > i:
+            stack.pop()
+        branch[i] = branch[stack[-1]] if place[i] else v[i]
+        stack.append(i)
+    return [(branch[i], i + 1) for i in order]
 
 
 def ancestry(v: list[int]) -> list[tuple[int, int, int]]:

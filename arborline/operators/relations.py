@@ -38,19 +38,21 @@ def node_depth(trees: DataFrame, node: Column, lengths: bool = False) -> DataFra
 
 def common_ancestors(trees: DataFrame, a: Column, b: Column) -> DataFrame:
     """The lowest common ancestor of two nodes a tree."""
-    t = stages.ancestors(trees).withColumn("_a", a.cast("int")).withColumn("_b", b.cast("int"))
+    t = stages.parents(trees).withColumn("_a", a.cast("int")).withColumn("_b", b.cast("int"))
     fits = (F.least("_a", "_b") >= 0) & (F.greatest("_a", "_b") <= 2 * F.size("v"))
-    checked = F.when(fits, tr.common_ancestor(F.col("up"), F.col("_a"), F.col("_b"))).otherwise(F.raise_error(F.lit("no such node")).cast("int"))
+    checked = F.when(fits, tr.common_ancestor(F.col("up"), F.col("_a"), F.col("_b"), 2 * F.size("v"))).otherwise(F.raise_error(F.lit("no such node")).cast("int"))
     return t.select(TREE, F.col("_a").alias("a"), F.col("_b").alias("b"), checked.alias("ancestor"))
 
 
 def _leaf_pairs(trees: DataFrame, lengths: bool) -> DataFrame:
     """(l, r, m) for l <= r with their common ancestor and depths."""
-    t = stages.lengths_above(stages.depths(stages.ancestors(trees), lengths), lengths)
+    t = stages.depths(stages.parents(trees)).withColumn("tops", F.col("depths"))
+    t = stages.lengths_above(stages.depths(t, lengths) if lengths else t, lengths)
     leaves = F.sequence(F.lit(0), F.size("v"))
-    t = t.select(TREE, "up", "depths", "above", F.size("v").alias("k"), F.explode(leaves).alias("l"))
+    t = t.select(TREE, "up", "depths", "tops", "above", F.size("v").alias("k"), F.explode(leaves).alias("l"))
     t = t.withColumn("r", F.explode(F.sequence(F.col("l"), F.col("k"))))
-    return t.withColumn("m", tr.common_ancestor(F.col("up"), F.col("l"), F.col("r")))
+    # they meet within as many steps as both have branches above them
+    return t.withColumn("m", tr.common_ancestor(F.col("up"), F.col("l"), F.col("r"), F.get("tops", F.col("l")) + F.get("tops", F.col("r"))))
 
 
 def _mirrored(half: DataFrame) -> DataFrame:
@@ -91,21 +93,24 @@ def incidence(trees: DataFrame) -> DataFrame:
     return stages.exploded(e, cells, TREE, "edge", F.col("e.child").alias("col"), row="_", item="c").select(TREE, "edge", "c.row", "col", "c.value")
 
 
-def _compressed(trees: DataFrame, by: str, other: str, size: Column) -> DataFrame:
+def _compressed(trees: DataFrame, by: str, other: str, pointers: Column) -> DataFrame:
     """indptr, indices and data of every tree, in the tree's own row: cells sorted by one axis, then the other."""
     cells = F.flatten(F.transform("edges", lambda e: F.array(F.struct(e["parent"].alias("row"), e["child"].alias("col"), F.lit(-1).alias("value")), F.struct(e["child"].alias("row"), e["child"].alias("col"), F.lit(1).alias("value")))))
     sorted_ = F.sort_array(F.transform(cells, lambda c: F.struct(c[by], c[other], c["value"])))
     t = stages.edges(trees).withColumn("cells", sorted_)
-    pointers = F.transform(F.sequence(F.lit(0), size), lambda n: F.size(F.filter("cells", lambda c: c[by] < n)))
     return t.select(TREE, pointers.alias("indptr"), F.col(f"cells.{other}").alias("indices"), F.col("cells.value").alias("data"))
 
 
 def incidence_csr(trees: DataFrame) -> DataFrame:
-    return _compressed(trees, "row", "col", 2 * F.size("v") + 1)
+    """A leaf's row has one cell, an inner node's three, the root's two."""
+    k = F.size("v")
+    pointer = lambda n: F.when(n <= k + 1, n).when(n <= 2 * k, 3 * n - 2 * (k + 1)).otherwise(4 * k)
+    return _compressed(trees, "row", "col", F.transform(F.sequence(F.lit(0), 2 * k + 1), pointer))
 
 
 def incidence_csc(trees: DataFrame) -> DataFrame:
-    return _compressed(trees, "col", "row", 2 * F.size("v"))
+    """Every column has two cells."""
+    return _compressed(trees, "col", "row", F.transform(F.sequence(F.lit(0), 2 * F.size("v")), lambda n: 2 * n))
 
 
 def incidence_dense(trees: DataFrame) -> DataFrame:

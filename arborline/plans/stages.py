@@ -47,8 +47,8 @@ def lengths_above(trees: DataFrame, lengths: bool = False) -> DataFrame:
     return ancestry(trees).withColumn("above", tr.node_lengths(F.col("rows"), F.col("bls") if lengths else None))
 
 
-def ancestors(trees: DataFrame) -> DataFrame:
-    return ancestry(trees).withColumn("up", tr.ancestors(F.col("rows")))
+def parents(trees: DataFrame) -> DataFrame:
+    return ancestry(trees).withColumn("up", tr.parents(F.col("rows")))
 
 
 def splits(trees: DataFrame) -> DataFrame:
