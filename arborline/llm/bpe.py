@@ -171,8 +171,11 @@ def dictionary(docs: DataFrame, t: Tokenizer) -> str:
     top = counts.orderBy(F.desc("count"), "w").limit(DICTIONARY).select("w")
     # a limit leaves one partition
     top = top.repartition(docs.sparkSession.sparkContext.defaultParallelism * 2)
-    folded = top.select("w", F.expr(_let(_ranks(t), "ranks", _ids("w"))).alias("ids")).collect()
-    return _slotted({r["w"]: list(r["ids"]) for r in folded}, WORD_SLOTS)
+    folded = top.select("w", F.expr(_let(_ranks(t), "ranks", _ids("w"))).alias("ids"))
+    # the JSON is put together by Spark, so the driver's Python holds one string
+    held = folded.groupBy(F.xxhash64("w").bitwiseAND(F.lit(WORD_SLOTS - 1)).alias("slot")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("w", "ids")))).alias("j"))
+    every = docs.sparkSession.range(WORD_SLOTS).join(held, F.col("id") == F.col("slot"), "left").select("id", F.coalesce("j", F.lit("{}")).alias("j"))
+    return every.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "j"))), lambda e: e["j"]), ","), F.lit("]"))).first()[0]
 
 
 def _encoded(docs: DataFrame, t: Tokenizer) -> DataFrame:
