@@ -109,7 +109,85 @@ num(tree_id, n, s) AS (SELECT tree_id, 0::BIGINT, marked FROM nam UNION ALL
   SELECT num.tree_id, n+1, replace(s, '<'||leaf||'>', nth::VARCHAR) FROM num JOIN lv ON lv.tree_id=num.tree_id AND nth=n)
 """
 
+# a vector from the clades of a tree: ch has, for each inner node, the smallest leaves below its two children and how many
+# leaves it holds; nodes that share their smallest leaf are nested, and merge in the order of the least leaf met so far
+_FROM_CHERRIES = """co AS (SELECT tree_id, n, least(a, b) AS lo, greatest(a, b) AS hi FROM ch),
+ck AS (SELECT *, min(hi) OVER (PARTITION BY tree_id, lo ORDER BY n) AS s FROM co),
+cp AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY s DESC, n) AS pos FROM ck),
+cb AS (SELECT x.tree_id, x.lo, x.hi, count(y.hi) AS earlier FROM cp x LEFT JOIN cp y ON y.tree_id=x.tree_id AND y.pos<x.pos AND y.hi<x.hi GROUP BY 1,2,3),
+vec AS (SELECT tree_id, string_agg((CASE WHEN earlier=0 THEN lo ELSE hi-1+earlier END)::VARCHAR, ',' ORDER BY hi) AS v FROM cb GROUP BY 1)"""
+
+_ADDED = _with(_KEYS, """v0 AS (SELECT tree_id, i, CAST((ok*7919 + i*104729 + 17) % (2*i+1) AS BIGINT) AS x FROM ord),
+k0 AS (SELECT tree_id, count(*) AS k FROM v0 GROUP BY 1),
+vv AS (SELECT tree_id, i, x, 1.0::DOUBLE AS b1, 1.0::DOUBLE AS b2 FROM v0 UNION ALL SELECT tree_id, k, (tree_id*5+2)%(2*k+1), 1.0::DOUBLE, 1.0::DOUBLE FROM k0)""", _TREE, _CLOSURE, """lv AS (SELECT up.tree_id, anc, min(CASE WHEN node=k THEN leaf WHEN node>=leaf THEN node+1 ELSE node END) AS low, count(*) AS n
+  FROM (SELECT *, (tree_id*7+3)%(k+1) AS leaf FROM up WHERE node<=k) up GROUP BY 1,2),
+ch AS (SELECT an.tree_id, x.low AS a, y.low AS b, x.n+y.n AS n FROM an JOIN lv x ON x.tree_id=an.tree_id AND x.anc=an.c1 JOIN lv y ON y.tree_id=an.tree_id AND y.anc=an.c2)""", _FROM_CHERRIES) + "SELECT tree_id, v FROM vec"
+
+_REMOVED = _DEPTH[:-1] + """,
+cut AS (SELECT kk.tree_id, kk.k, (kk.tree_id*7+3)%(kk.k+1) AS leaf FROM kk),
+gone AS (SELECT cut.*, CASE WHEN an.c1=leaf THEN an.c2 ELSE an.c1 END AS sister, an.p AS parent FROM cut JOIN an ON an.tree_id=cut.tree_id AND (an.c1=leaf OR an.c2=leaf)),
+lv AS (SELECT up.tree_id, anc, min(node - CASE WHEN node>leaf THEN 1 ELSE 0 END) AS low, count(*) AS n FROM up JOIN gone ON gone.tree_id=up.tree_id WHERE node<=up.k AND node<>leaf GROUP BY 1,2),
+ch AS (SELECT an.tree_id, x.low AS a, y.low AS b, x.n+y.n AS n FROM an JOIN gone ON gone.tree_id=an.tree_id AND an.p<>gone.parent JOIN lv x ON x.tree_id=an.tree_id AND x.anc=an.c1 JOIN lv y ON y.tree_id=an.tree_id AND y.anc=an.c2),
+""" + _FROM_CHERRIES + "\nSELECT gone.tree_id, leaf::INT AS leaf, coalesce(v, '') AS v, sister::INT AS sister FROM gone LEFT JOIN vec ON vec.tree_id=gone.tree_id"
+
+# above the new root's node clades turn inside out: a node on the way to the old root holds what was outside of it
+_REROOTED = _DEPTH[:-1] + """,
+tp AS (SELECT tree_id, k, (tree_id*7+3)%(2*k) AS top FROM kk),
+path AS (SELECT up.tree_id, up.anc FROM up JOIN tp ON tp.tree_id=up.tree_id AND up.node=top WHERE up.anc<>top),
+inside AS (SELECT tree_id, anc, min(node) AS low, count(*) AS n FROM up WHERE node<=k GROUP BY 1,2),
+outside AS (SELECT g.tree_id, g.anc, min(leaf) AS low, count(*) AS n FROM (SELECT kk.tree_id, k, unnest(range(2*k)) AS anc FROM kk) g JOIN (SELECT tree_id, unnest(range(k+1)) AS leaf FROM kk) l ON l.tree_id=g.tree_id
+  LEFT JOIN up ON up.tree_id=g.tree_id AND up.anc=g.anc AND up.node=l.leaf WHERE up.node IS NULL GROUP BY 1,2),
+ch AS (SELECT an.tree_id, x.low AS a, y.low AS b, x.n+y.n AS n FROM an JOIN inside x ON x.tree_id=an.tree_id AND x.anc=an.c1 JOIN inside y ON y.tree_id=an.tree_id AND y.anc=an.c2
+    WHERE NOT EXISTS (SELECT 1 FROM path WHERE path.tree_id=an.tree_id AND path.anc=an.p)
+  UNION ALL SELECT an.tree_id, x.low, o.low, x.n+o.n FROM an JOIN path ON path.tree_id=an.tree_id AND path.anc=an.p JOIN tp ON tp.tree_id=an.tree_id
+    JOIN inside x ON x.tree_id=an.tree_id AND x.anc = CASE WHEN an.c1=top OR EXISTS (SELECT 1 FROM path q WHERE q.tree_id=an.tree_id AND q.anc=an.c1) THEN an.c2 ELSE an.c1 END
+    JOIN outside o ON o.tree_id=an.tree_id AND o.anc=an.p WHERE an.p<2*an.k
+  UNION ALL SELECT tp.tree_id, x.low, o.low, x.n+o.n FROM tp JOIN inside x ON x.tree_id=tp.tree_id AND x.anc=top JOIN outside o ON o.tree_id=tp.tree_id AND o.anc=top),
+""" + _FROM_CHERRIES + "\nSELECT tree_id, v FROM vec"
+
+# a walk by levels, one node of the queue a step
+_SHUFFLED = _BASE[:-1] + """,
+sh(tree_id, k, t, nodes, leaves, v, m) AS (SELECT tree_id, k, 1, [2*k], [0::BIGINT], []::BIGINT[], []::STRUCT(l BIGINT, n BIGINT)[] FROM kk
+  UNION ALL SELECT sh.tree_id, sh.k, t+1, CASE WHEN an.p IS NULL THEN nodes ELSE nodes||[an.c2]||[an.c1] END, CASE WHEN an.p IS NULL THEN leaves ELSE leaves||[leaves[t]]||[len(v)+1] END,
+    CASE WHEN an.p IS NULL THEN v ELSE v||[leaves[t]] END, CASE WHEN an.p IS NULL THEN m||[{'l': leaves[t], 'n': nodes[t]}] ELSE m END
+  FROM sh LEFT JOIN an ON an.tree_id=sh.tree_id AND an.p=nodes[t] WHERE t<=2*sh.k+1)
+SELECT tree_id, array_to_string(v, ',') AS v, array_to_string(list_transform(list_sort(m), lambda e: e.n), ',') AS mapping FROM sh WHERE t=2*k+2"""
+
+# the inverse covariance from independent contrasts: each merge adds one, and the root's estimate the last
+_PRECISION = _BASE[:-1] + """,
+pc(tree_id, k, r, w, e, m) AS (SELECT tree_id, k, 0::BIGINT, list_transform(range(k+1), lambda i: list_transform(range(k+1), lambda j: CASE WHEN i=j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)),
+    list_transform(range(k+1), lambda i: 0.0::DOUBLE), list_transform(range((k+1)*(k+1)), lambda i: 0.0::DOUBLE) FROM kk
+  UNION ALL SELECT tree_id, k, r+1, w[:c1]||[list_transform(range(1, k+2), lambda j: (w1[j]*s2+w2[j]*s1)/(s1+s2))]||w[c1+2:], e[:c1]||[s1*s2/(s1+s2)]||e[c1+2:],
+    list_transform(range((k+1)*(k+1)), lambda i: m[i+1] + (w1[i//(k+1)+1]-w2[i//(k+1)+1])*(w1[i%(k+1)+1]-w2[i%(k+1)+1])/(s1+s2))
+  FROM (SELECT pc.*, pr.c1, w[pr.c1+1] AS w1, w[pr.c2+1] AS w2, vv.b1+e[pr.c1+1] AS s1, vv.b2+e[pr.c2+1] AS s2 FROM pc JOIN pr ON pr.tree_id=pc.tree_id AND pr.r=pc.r JOIN vv ON vv.tree_id=pc.tree_id AND vv.i=pc.r))
+SELECT tree_id, (i//(k+1))::INT AS row, (i%(k+1))::INT AS col, round(m[i+1] + w[1][i//(k+1)+1]*w[1][i%(k+1)+1]/e[1], 6)+0.0 AS value FROM (SELECT *, unnest(range((k+1)*(k+1))) AS i FROM pc WHERE r=k)"""
+
+# likelihoods of each site pruned up the merges, unscaled
+_JC69 = _BASE[:-1] + """,
+pl(tree_id, site, r, c) AS (SELECT tree_id, site, 0::BIGINT, list_transform(range(k+1), lambda l: list_transform(range(4), lambda j: CASE WHEN (tree_id*3 + l*(site%4+1) + site*site)%5 IN (j, 4) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END))
+    FROM kk, (SELECT unnest(range(12)) AS site)
+  UNION ALL SELECT tree_id, site, r+1, c[:c1]||[list_transform(range(1, 5), lambda j: (d1*x[j]+(1-d1)*0.25::DOUBLE*list_sum(x))*(d2*y[j]+(1-d2)*0.25::DOUBLE*list_sum(y)))]||c[c1+2:]
+  FROM (SELECT pl.*, pr.c1, c[pr.c1+1] AS x, c[pr.c2+1] AS y, exp(-4.0::DOUBLE/3*b1) AS d1, exp(-4.0::DOUBLE/3*b2) AS d2 FROM pl JOIN pr ON pr.tree_id=pl.tree_id AND pr.r=pl.r JOIN vv ON vv.tree_id=pl.tree_id AND vv.i=pl.r))
+SELECT pl.tree_id, round(sum(ln(0.25::DOUBLE*list_sum(c[1]))), 5) AS loglik FROM pl JOIN kk ON kk.tree_id=pl.tree_id AND pl.r=k GROUP BY 1"""
+
+
+def _written(n: str, shift: int) -> str:
+    """A number of at most two digits, divided by ten to the power of shift, as text with 18 places and an exponent."""
+    zeros = "0" * 17
+    exponent = lambda e: f"e-{-e:02d}" if e < 0 else f"e+{e:02d}"
+    return f"CASE WHEN {n}=0 THEN '0.{zeros}0e+00' WHEN {n}<10 THEN {n}||'.{zeros}0{exponent(-shift)}' ELSE ({n}//10)||'.'||({n}%10)||'{zeros}{exponent(1 - shift)}' END"
+
+
+_SAVED = "WITH " + _KEYS + ", " + _vv() + f" SELECT tree_id, string_agg({_written('x', 0)}||','||{_written('((ok*31+7)%97+1)', 2)}||','||{_written('((ok*17+3)%89+1)', 2)}, chr(10) ORDER BY i) AS value FROM vv GROUP BY 1"
+
 SQL = {
+    "add_leaf": _ADDED,
+    "remove_leaf": _REMOVED,
+    "reroot": _REROOTED,
+    "queue_shuffle": _SHUFFLED,
+    "precision": _PRECISION,
+    "jc69_loglik": _JC69,
+    "save_text": _SAVED,
     "segment_balance": _DEPTH + """, b AS (SELECT tree_id, sum(d) AS s, sum(d*d)/count(*)::DOUBLE - (sum(d)/count(*)::DOUBLE)*(sum(d)/count(*)::DOUBLE) AS v, sum(d*pow(2.0,-d)) AS b2 FROM dep WHERE node<=k GROUP BY 1)
 SELECT coalesce(c_mktsegment, 'all') AS segment, count(*) AS trees, sum(s)::BIGINT AS sackin, round(avg(v),6) AS variance, round(avg(b2),6) AS b2 FROM b JOIN customer ON tree_id=c_custkey GROUP BY ROLLUP(c_mktsegment)""",
     "to_pairs": _BASE + "SELECT tree_id, r::INT AS row, c1::INT AS c1, c2::INT AS c2 FROM pr",
