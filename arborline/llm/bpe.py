@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bpe_kernel import run_kernel
+
 #: Words that are folded once, the most frequent ones; each is of CHUNK bytes at most.
 DICTIONARY = 1 << 17
 #: Bytes of a chunk of a long word; half of it overlaps. No vocabulary entry may be longer than half.
@@ -199,15 +201,21 @@ def decode(ids: str, path: str | None = None, pattern: str | None = None) -> Col
     return packed(ids, _tokenizer(*load(path, pattern)).pieces)
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, ids (array of int) and decoded (binary) of every row."""
-    t = _tokenizer(*load(path, pattern))
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, engine: str = "fold") -> DataFrame:
+    """doc_id, ids (array of int) and decoded (binary) of every row, by higher-order functions ("fold") or the Arrow kernel ("arrow")."""
+    table, pattern = load(path, pattern)
+    if engine == "arrow":
+        return run_kernel(docs, table, pattern, full=True)
+    t = _tokenizer(table, pattern)
     return _encoded(docs, t).select("doc_id", "ids", packed("ids", t.pieces).alias("decoded"))
 
 
-def encode_digest(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 of the ids (little-endian unsigned 32-bit) and of the decoded bytes."""
-    t = _tokenizer(*load(path, pattern))
+def encode_digest(docs: DataFrame, path: str | None = None, pattern: str | None = None, engine: str = "fold") -> DataFrame:
+    """doc_id, n_tokens, and SHA-256 of the ids (little-endian unsigned 32-bit) and of the decoded bytes; engines as above."""
+    table, pattern = load(path, pattern)
+    if engine == "arrow":
+        return run_kernel(docs, table, pattern, full=False)
+    t = _tokenizer(table, pattern)
     little = [i.to_bytes(4, "little").hex() for i in range(len(t.pieces))]
     return _encoded(docs, t).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(packed("ids", little), 256).alias("ids_sha256"), F.sha2(packed("ids", t.pieces), 256).alias("decoded_sha256")

@@ -463,7 +463,36 @@ def test_bpe(docs, empty):
         ids = own.encode_ordinary(r[1] or "")
         packed = b"".join(i.to_bytes(4, "little") for i in ids)
         want[r[0], len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()] += 1
-    assert _counted(bpe.encode_digest(docs), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
-    assert bpe.encode_digest(empty).count() == 0
-    full = bpe.encode(docs).where("doc_id = 8").first()
-    assert bytes(full["decoded"]).decode() == _texts()[8] and full["ids"] == own.encode_ordinary(_texts()[8])
+    for engine in ("fold", "arrow"):
+        assert _counted(bpe.encode_digest(docs, engine=engine), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+        assert bpe.encode_digest(empty, engine=engine).count() == 0
+        full = bpe.encode(docs, engine=engine).where("doc_id = 8").first()
+        assert bytes(full["decoded"]).decode() == _texts()[8] and full["ids"] == own.encode_ordinary(_texts()[8])
+
+
+def test_bpe_long_words(spark):
+    """Words of many chunks: letters, runs, ideographs, base64; by the kernel also of a million bytes, within seconds."""
+    import base64
+    import time
+
+    import numpy as np
+    import tiktoken
+
+    from arborline.llm import bpe_kernel
+
+    table, pattern = bpe.load()
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in table.splitlines() if x)}
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(8)
+    make = lambda n: ["x" * n, "-" * n, "aab" * (n // 3), "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)), base64.b64encode(r.randbytes(n * 3 // 4)).decode(), "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(n // 3)), " " * n]
+    texts = make(1500)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for engine in ("fold", "arrow"):
+        assert {x["doc_id"]: x["ids"] for x in bpe.encode(df, engine=engine).collect()} == {i: own.encode_ordinary(t) for i, t in enumerate(texts)}
+    kernel = bpe_kernel.Vocabulary(table, pattern)
+    for word in make(1_000_000)[:6]:
+        raw = np.frombuffer(word.encode(), np.uint8)
+        began = time.time()
+        ids, _ = kernel.words(raw, np.array([0, len(raw)]))
+        assert time.time() - began < 10
+        assert kernel.decode(ids).tobytes() == word.encode()
