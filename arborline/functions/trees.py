@@ -262,6 +262,7 @@ def b2(depths: Column) -> Column:
     return F.aggregate(leaf_depths(depths), F.lit(0.0), lambda a, d: a + d * F.pow(F.lit(2.0), -d))
 
 
+@_once
 def common_ancestor(up: Column, a: Column, b: Column, steps: Column) -> Column:
     """The lowest node above both: labels grow upwards, so of two nodes the smaller goes to its parent until they meet, which they do within ``steps``."""
 

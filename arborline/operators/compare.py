@@ -23,21 +23,26 @@ def robinson_foulds(trees: DataFrame, a: str = "v", b: str = "w", normalize: boo
     return two.withColumn("rf", tr.robinson_foulds(F.col("_a"), F.col("splits"), normalize)).select(*[c for c in keep if c != a], "rf")
 
 
+#: Blocks of trees on either side of all pairs; a pair of blocks is a key of its own.
+DEAL = 16
+
+
 def rf_all_pairs(trees: DataFrame) -> DataFrame:
-    """(a, b, rf) for all a < b of trees of equal size: an equi-join on splits counts what two trees share.
+    """(a, b, rf) for all a < b of trees of equal size; that output is quadratic by definition.
 
-    A pair that shares no split is not in the join, so pairs are listed from the ids of a size; that output is
-    quadratic by definition. What is shuffled for the count is one row a split.
+    Trees are dealt to blocks, and a pair of blocks of one size is a key of the join, so trees of one size spread over
+    DEAL * DEAL / 2 tasks; a tree travels with its splits DEAL times, and pairs are compared in their row.
     """
-    t = stages.splits(trees).select("tree_id", F.size("v").alias("k"), F.size("splits").alias("n"), F.transform("splits", lambda s: F.array_join(s, ",")).alias("splits"))
-    held = stages.exploded(t, "splits", "tree_id", "k", row="_", item="split").drop("_")
-    other = held.withColumnsRenamed({"tree_id": "b", "k": "k2", "split": "split2"})
-    shared = held.join(other, (F.col("k") == F.col("k2")) & (F.col("split") == F.col("split2")) & (F.col("tree_id") < F.col("b")))
-    shared = shared.groupBy(F.col("tree_id").alias("a2"), F.col("b").alias("b2")).agg(F.count(F.lit(1)).alias("common"))
-    ids = t.select(F.col("tree_id").alias("a"), "k", F.col("n").alias("na"))
-    pairs = ids.join(t.select(F.col("tree_id").alias("b"), F.col("k").alias("k2"), F.col("n").alias("nb")), (F.col("k") == F.col("k2")) & (F.col("a") < F.col("b")))
-    joined = pairs.join(shared, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "left")
-    return joined.select("a", "b", (F.col("na") + F.col("nb") - 2 * F.coalesce("common", F.lit(0))).cast("double").alias("rf"))
+    t = stages.splits(trees).select("tree_id", F.size("v").alias("k"), F.transform("splits", lambda s: F.array_join(s, ",")).alias("splits"))
+    own = F.pmod(F.xxhash64("tree_id"), F.lit(DEAL)).cast("int")
+    dealt = t.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    left = dealt.select("k", "i", "j", F.col("tree_id").alias("a"), "splits", "own")
+    right = dealt.select(F.col("k").alias("_k"), F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("tree_id").alias("b"), F.col("splits").alias("_splits"), F.col("own").alias("_own"))
+    # two trees meet in the one pair of blocks that is theirs
+    meet = (F.col("i") == F.least("own", "_own")) & (F.col("j") == F.greatest("own", "_own"))
+    pairs = left.join(right, (F.col("k") == F.col("_k")) & (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")) & (F.col("a") < F.col("b")) & meet)
+    return pairs.select("a", "b", tr.robinson_foulds(F.col("splits"), F.col("_splits")).alias("rf"))
 
 
 def split_support(trees: DataFrame) -> DataFrame:

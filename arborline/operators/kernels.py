@@ -244,22 +244,21 @@ def reroot(v: list[int], node: int, bls: list[tuple[float, float]] | None = None
     return vector([low[r] for r in order]), None if bls is None else out
 
 
-def precision(v: list[int], bls: list[tuple[float, float]] | None = None) -> np.ndarray:
-    """The inverse of the leaves' covariance, by eliminating the inner nodes of the Laplacian."""
-    k = len(v)
-    full = np.zeros((2 * k + 1, 2 * k + 1))
-    for r, (a, b, p) in enumerate(ancestry(v)):
-        for child, length in zip((a, b), (1.0, 1.0) if bls is None else bls[r], strict=True):
-            w = 1.0 / length
-            full[child, child] += w
-            full[p, p] += w
-            full[child, p] -= w
-            full[p, child] -= w
-    full = full[:-1, :-1]
-    n = k + 1
+def precision(c1: np.ndarray, c2: np.ndarray, p: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> np.ndarray:
+    """The inverses of the leaves' covariances of trees of one size (a row each), by eliminating the inner nodes of their Laplacians together."""
+    m, k = c1.shape
+    full = np.zeros((m, 2 * k + 1, 2 * k + 1))
+    at = np.arange(m)[:, None]
+    for child, length in ((c1, b1), (c2, b2)):
+        w = 1.0 / length
+        full[at, child, child] += w
+        np.add.at(full, (at, p, p), w)
+        full[at, child, p] -= w
+        full[at, p, child] -= w
+    full, n = full[:, :-1, :-1], k + 1
     if k == 1:
         return full
-    return full[:n, :n] - full[:n, n:] @ np.linalg.solve(full[n:, n:], full[n:, :n])
+    return full[:, :n, :n] - full[:, :n, n:] @ np.linalg.solve(full[:, n:, n:], full[:, n:, :n])
 
 
 def mapped(trees: DataFrame, schema: str, f: Callable[[dict], dict]) -> DataFrame:
@@ -342,15 +341,24 @@ def reroot_at_random(trees: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def precisions(trees: DataFrame, lengths: bool = False) -> DataFrame:
-    """(tree_id, row, col, value) of the precision matrix of every tree with a branch."""
+    """(tree_id, row, col, value) of the precision matrix of every tree with a branch; trees of one size in a batch are solved together."""
     kind = trees.schema["tree_id"].dataType.simpleString()
+    one = F.transform("rows", lambda r: F.struct(F.lit(1.0).alias("b1"), F.lit(1.0).alias("b2")))
+    wanted = stages.ancestry(trees.where(F.size("v") > 0)).select("tree_id", "rows", (F.col("bls") if lengths else one).alias("bls"))
 
-    def one(r):
-        return {"tree_id": r["tree_id"], "m": precision(r["v"], _bls(r) if lengths else None).tolist()}
-
-    columns = ["tree_id", "v", *(["bls"] if lengths else [])]
-    wide = mapped(trees.where(F.size("v") > 0).select(*columns), f"tree_id {kind}, m array<array<double>>", one)
-    rows = wide.select("tree_id", F.posexplode("m").alias("row", "cells"))
-    return rows.select("tree_id", "row", F.posexplode("cells").alias("col", "value"))
-
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            sizes = whole.column(1).value_lengths().to_numpy()
+            for k in np.unique(sizes).tolist():
+                every = whole.filter(pa.array(sizes == k))
+                # a few megabytes of matrices at a time
+                step = max(1, (1 << 20) // (2 * k + 1) ** 2)
+                for a in range(0, len(every), step):
+                    part = every.slice(a, step)
+                    flat = lambda c, f: part.column(c).flatten().field(f).to_numpy(zero_copy_only=False).reshape(len(part), k)  # noqa: B023, E731
+                    made = precision(*(flat(1, f) for f in ("c1", "c2", "p")), *(flat(2, f) for f in ("b1", "b2")))
+                    n, cells = len(part), (k + 1) ** 2
+                    place = np.tile(np.arange(cells), n)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(n), cells))), pa.array(place // (k + 1), pa.int32()), pa.array(place % (k + 1), pa.int32()), pa.array(made.ravel())], ["tree_id", "row", "col", "value"])
+
+    return wanted.mapInArrow(run, f"tree_id {kind}, row int, col int, value double")

@@ -212,6 +212,11 @@ def test_sql_functions(spark):
     assert "tree_pairs" in catalog.register(spark)
     row = spark.sql("SELECT tree_pairs(v) AS p, tree_is_ordered(v) AS o, newick_n_leaves('((0,1)5,(2,3)4)6;') AS n FROM VALUES (array(0, 0, 0, 1)) t(v)").first()
     assert [tuple(x) for x in row["p"]] == [(1, 4), (0, 3), (0, 2), (0, 1)] and row["o"] and row["n"] == 4
+    row = spark.sql("SELECT tree_newick(v) AS s, tree_depths(v) AS d, tree_mrca(v, 2, 6) AS m, tree_sackin(v) AS k, tree_b2(array(0, 2, 2, 3)) AS b, tree_edges(array(0, 2, 2)) AS e, newick_has_integer_labels('(a,1)2;') AS i FROM VALUES (array(0, 1, 2, 5, 4, 2)) t(v)").first()
+    assert row["s"] == kernels.newick([0, 1, 2, 5, 4, 2]) and row["m"] == 7 and row["b"] == 2.25 and not row["i"]
+    assert [tuple(x) for x in row["e"]] == [(2, 4), (3, 4), (0, 5), (1, 5), (5, 6), (4, 6)]
+    same = stages.depths(table(spark, [[0, 1, 2, 5, 4, 2]])).first()["depths"]
+    assert row["d"] == same and row["k"] == sum(same[:7])
 
 
 def test_sampling(spark):
@@ -423,3 +428,22 @@ def test_facade(spark):
     for method in ("bfs", "other"):
         with pytest.raises(ValueError):
             facade.reorder_v(method, [0], {0: "a", 1: "b"})
+
+
+def test_large_trees(spark):
+    """Depths, ancestors, incidence and balance of a tree of thousands of leaves, against walks over its kernel's ancestry."""
+    v = random_vectors(1, [4000], 3)[0]
+    t = table(spark, [v])
+    rows = kernels.ancestry(v)
+    depth, parent = {2 * len(v): 0}, {}
+    for a, b, p in reversed(rows):
+        depth[a] = depth[b] = depth[p] + 1
+        parent[a] = parent[b] = p
+    assert stages.depths(t).first()["depths"] == [depth[i] for i in range(2 * len(v) + 1)]
+    ups = lambda n: {n, *ups(parent[n])} if n in parent else {n}
+    assert relations.common_ancestors(t, F.lit(17), F.lit(3001)).first()["ancestor"] == min(ups(17) & ups(3001))
+    csr = relations.incidence_csr(t).first()
+    counts = np.bincount([n for a, b, p in rows for n in (a, b, p, p)], minlength=2 * len(v) + 1)
+    assert csr["indptr"] == [0, *np.cumsum(counts).tolist()] and len(csr["indices"]) == 4 * len(v)
+    assert relations.balance(t).first()["sackin"] == sum(depth[i] for i in range(len(v) + 1))
+    assert kernels.pairs(list(range(0, 40_000, 2))) == [(0, 1), *[(0, i) for i in range(2, 20_001)]]
