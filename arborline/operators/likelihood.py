@@ -130,7 +130,7 @@ def log_likelihood(rows: Column, bls: Column, states: Column) -> Column:
     return F.aggregate(steps, start, step, end)
 
 
-def _pruned(c1, c2, p, b1, b2, states) -> np.ndarray:
+def _pruned(c1, c2, p, b1, b2, states, frequencies: np.ndarray) -> np.ndarray:
     """ln of the likelihoods of rows with trees of one size: a matrix each, with a row for each of them."""
     n, k = c1.shape
     at, tips = np.arange(n), np.concatenate([np.eye(4), np.ones((1, 4))])
@@ -145,16 +145,20 @@ def _pruned(c1, c2, p, b1, b2, states) -> np.ndarray:
         top = up.max(1)
         parts[at, p[:, r]] = up / top[:, None]
         log += np.log(top)
-    return log + np.log(0.25 * parts[:, 2 * k].sum(1))
+    return log + np.log(parts[:, 2 * k] @ frequencies)
 
 
-def jc69(trees: DataFrame, columns: DataFrame, key: str = "alignment_id") -> DataFrame:
+def jc69(trees: DataFrame, columns: DataFrame, key: str = "alignment_id", frequencies=(0.25,) * 4, rates=(1.0,), weights=(1.0,)) -> DataFrame:
     """(tree_id, loglik): trees with ``rows``, ``bls`` and the key of their alignment, joined with its patterns.
 
+    ``frequencies`` are those of the root's states; a site's rate is one of ``rates`` (factors of the lengths) with the
+    probabilities ``weights``.
+
     Trees of one size in an Arrow batch are pruned at once, all their patterns together; ``log_likelihood`` is the same
     for one row as an expression.
     """
     each = trees.select("tree_id", "rows", "bls", key).join(columns, key).select("tree_id", "rows", "bls", "states", "weight")
+    root = np.asarray(frequencies, float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -165,7 +169,8 @@ def jc69(trees: DataFrame, columns: DataFrame, key: str = "alignment_id") -> Dat
                     part = batch.filter(pa.array(sizes == k))
                     flat = lambda c, f: part.column(c).flatten().field(f).to_numpy(zero_copy_only=False).reshape(len(part), k)  # noqa: B023, E731
                     states = part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(part), k + 1)
-                    found = _pruned(*(flat(1, f) for f in ("c1", "c2", "p")), *(flat(2, f) for f in ("b1", "b2")), states)
+                    rows, lengths = [flat(1, f) for f in ("c1", "c2", "p")], [flat(2, f) for f in ("b1", "b2")]
+                    found = np.logaddexp.reduce([np.log(w) + _pruned(*rows, *(r * x for x in lengths), states, root) for r, w in zip(rates, weights, strict=True)], axis=0)
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found * part.column(4).to_numpy(), pa.float64())], ["tree_id", "l"])
 
     scored = each.mapInArrow(run, f"tree_id {trees.schema['tree_id'].dataType.simpleString()}, l double")

@@ -298,6 +298,14 @@ def test_likelihood_and_search(spark):
     got = likelihood.jc69(t, likelihood.patterns(alignment)).first()["loglik"]
     states = [[likelihood.STATES[s[c]] for s in seqs] for c in range(8)]
     assert math.isclose(got, _likelihood(v, bls, states), rel_tol=1e-9)
+    fast = [(3 * x, 3 * y) for x, y in bls]
+    mixed = likelihood.jc69(t, likelihood.patterns(alignment), rates=(1.0, 3.0), weights=(0.25, 0.75)).first()["loglik"]
+    each = [[_likelihood(v, b, [c]) for c in states] for b in (bls, fast)]
+    assert math.isclose(mixed, sum(math.log(0.25 * math.exp(x) + 0.75 * math.exp(y)) for x, y in zip(*each, strict=True)), rel_tol=1e-9)
+    half = stages.ancestry(table(spark, [[0]], [[(0.0, 0.5)]])).withColumn("alignment_id", F.lit(0))
+    tips = likelihood.patterns(alignment.where("leaf < 2").withColumn("seq", F.lit("a")))
+    chance = 0.25 + 0.75 * math.exp(-4 / 3 * 0.5)
+    assert math.isclose(likelihood.jc69(half, tips, frequencies=(0.7, 0.1, 0.1, 0.1)).first()["loglik"], math.log(0.7 * chance), rel_tol=1e-9)
     with pytest.raises(Exception, match="unknown base"):
         likelihood.patterns(alignment.withColumn("seq", F.lit("acgx"))).collect()
     d = {(r["a"], r["b"]): r["distance"] for r in likelihood.distances(alignment.where("leaf < 2"), "raw").collect()}
