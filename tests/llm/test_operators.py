@@ -280,6 +280,31 @@ def test_sharding(docs, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def _placed(key, topology):
+    """The descent in plain Python: a chained 64-bit hash of the key and the child's name, and the largest ln(u) / weight."""
+    import xxhash
+
+    seed = 42 if key is None else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+    rows = [r for r in topology if r[3] > 0]
+    for at, level in enumerate(("region", "rack", "shard")):
+        weight = Counter()
+        for r in rows:
+            weight[r[at]] += r[3]
+        u = lambda c: ((xxhash.xxh64_intdigest(f"{level}{c}".encode(), seed) >> 11) + 0.5) / (1 << 53)  # noqa: B023, E731
+        best = max(weight, key=lambda c: (math.log(u(c)) / weight[c], c)) if len(weight) > 1 else next(iter(weight))
+        rows = [r for r in rows if r[at] == best]
+    return rows[0][2]
+
+
+def test_sharding_places(spark):
+    ids = [None, 0, 1, -5, 1 << 40, *range(100, 400)]
+    uneven = [(0, 0, 0, 2.0), (0, 1, 1, 0.5), (1, 2, 2, 1.0), (1, 2, 3, 3.0), (1, 3, 4, 0.0)]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    for topology in (sharding.TOPOLOGY, sharding.GROWN, uneven):
+        got = [r["s"] for r in df.select(sharding.place(F.col("doc_id"), topology).alias("s")).collect()]
+        assert got == [_placed(i, topology) for i in ids]
+
+
 def test_sharding_weights(spark):
     ids = spark.range(20_000).withColumnRenamed("id", "doc_id")
     heavier = [(a, b, s, 3.0 if s == 5 else w) for a, b, s, w in sharding.TOPOLOGY]
@@ -450,14 +475,18 @@ def test_vectors(spark, monkeypatch):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
-def test_bpe(docs, empty):
+def tokenizer():
     import base64
 
     import tiktoken
 
     table, pattern = bpe.load()
     ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in table.splitlines() if x)}
-    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe(docs, empty):
+    own = tokenizer()
     want = Counter()
     for r in _rows():
         ids = own.encode_ordinary(r[1] or "")
@@ -476,13 +505,11 @@ def test_bpe_long_words(spark):
     import time
 
     import numpy as np
-    import tiktoken
 
     from arborline.llm import bpe_kernel
 
     table, pattern = bpe.load()
-    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in table.splitlines() if x)}
-    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    own = tokenizer()
     r = random.Random(8)
     make = lambda n: ["x" * n, "-" * n, "aab" * (n // 3), "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)), base64.b64encode(r.randbytes(n * 3 // 4)).decode(), "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(n // 3)), " " * n]
     texts = make(1500)

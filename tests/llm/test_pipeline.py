@@ -1,6 +1,8 @@
 """The pipeline's stages, each on its own input, against the operators' reports; and the guard of the entry points."""
 
-from collections import Counter
+import hashlib
+import random
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ import __spark_entry__
 import corpus_pipeline
 from arborline.llm import nearset, quality, repeats
 
-from .test_operators import SCHEMA, _rows, _words
+from .test_operators import SCHEMA, _near_truth, _quality_truth, _rows, _words, tokenizer
 
 
 def test_stages(spark, tmp_path):
@@ -41,6 +43,58 @@ def test_entry_lists_all():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def _pipeline_truth(rows):
+    """All stages in plain Python, over rows (doc_id, text, source) with distinct ids."""
+    rows = [r for r in rows if _quality_truth(r[1])[-1]]
+    component = {d: c for d, _, c, _ in _near_truth([(r[0], r[1]) for r in rows], 5)}
+    rows = [r for r in rows if component[r[0]] == r[0]]
+    windows = Counter(r[1][p : p + 200] for r in rows for p in range(len(r[1]) - 199))
+    cut = []
+    for d, text, source in rows:
+        gone = {q for p in range(len(text) - 199) if windows[text[p : p + 200]] > 1 for q in range(p, p + 200)}
+        cut.append((d, "".join(c for i, c in enumerate(text) if i not in gone), source))
+    size, by = {d: len(_words(t)) for d, t, _ in cut}, defaultdict(list)
+    for r in cut:
+        by[r[2]].append(r)
+    names = sorted(by, key=lambda s: (s is None, s))
+    weight, total = {s: i % 3 + 1 for i, s in enumerate(names)}, {s: sum(size[r[0]] for r in by[s]) for s in names}
+    full = {}
+    while True:
+        left = [s for s in names if s not in full]
+        level = (sum(total.values()) - sum(full.values())) / sum(weight[s] for s in left) if left else 0
+        over = [s for s in left if level * weight[s] >= 3 * total[s]]
+        if not over:
+            break
+        full |= {s: 3 * total[s] for s in over}
+    own = tokenizer()
+    out = Counter()
+    for s in names:
+        target = full.get(s, level * weight[s])
+        copies = int(target // total[s]) if total[s] else 0
+        room, seen = target - copies * total[s], 0
+        for _, (d, text, _) in sorted((hashlib.md5(f"{r[0]}\n{r[1]}".encode()).hexdigest()[:13], r) for r in by[s]):
+            n = copies + (seen + size[d] / 2 <= room)
+            seen += size[d]
+            ids = own.encode_ordinary(text)
+            if size[d] and n:
+                out[d, len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest(), hashlib.sha256(text.encode()).hexdigest()] += n
+    return out
+
+
+def test_run_against_plain_python(spark, tmp_path):
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8))) for _ in range(600)]
+    prose = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    passage, base, texts = prose(60), prose(150).split(), ["too short", "junk junk junk junk " * 20]
+    texts += [prose(r.randint(20, 120)) for _ in range(25)] + [f"{prose(30)} {passage} {prose(20)}" for _ in range(5)]
+    texts += [" ".join(f"edit{i}" if i in at else w for i, w in enumerate(base)) for at in ([], [3], [70], [5, 140])] + [texts[5], texts[5].upper()]
+    rows = [(i, t, ["a", "b", "c", None, "a", "a", "b"][i % 7]) for i, t in enumerate(texts)]
+    table = spark.createDataFrame([(d, t, "en", s, len(t)) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter(tuple(x) for x in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())
+    assert got == _pipeline_truth(rows) and len(got) > 15
+
+
 def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
