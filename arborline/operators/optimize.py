@@ -63,7 +63,8 @@ def jc69_scorer(alignment: DataFrame, lengths: tuple[float, ...] = (0.02, 0.05,
     def score(trees: DataFrame) -> DataFrame:
         tried = trees.withColumn("_length", F.explode(F.array(*[F.lit(x) for x in lengths]))).withColumn("_tree", F.col("tree_id")).withColumn("tree_id", F.struct("tree_id", "_length"))
         t = stages.ancestry(tried).withColumn("bls", F.transform("v", lambda x: F.struct(F.col("_length").alias("b1"), F.col("_length").alias("b2")))).withColumn("alignment_id", F.lit(0))
-        found = likelihood.jc69(t, columns)
+        # the trees of a step are a few for each leaf, made on the driver; the patterns stay where they are
+        found = likelihood.jc69(F.broadcast(t), columns)
         return found.groupBy(F.col("tree_id.tree_id").alias("tree_id")).agg((-F.max("loglik")).alias("score"))
 
     score.done = columns.unpersist
