@@ -312,6 +312,29 @@ def vectors(trees: DataFrame, large: int = LARGE) -> DataFrame:
     return small.union(mapped(trees.where(size > large).select("tree_id", "newick"), f"tree_id {kind}, v array<int>", lambda r: {"tree_id": r["tree_id"], "v": from_newick(r["newick"])[0]}))
 
 
+def with_rows(trees: DataFrame, large: int = LARGE) -> DataFrame:
+    """The trees with ``rows`` (their ancestry), by folds or, for more than ``large`` places, by the kernel.
+
+    Stages and relations take ``rows`` as they find them, so depths, ancestors, balance or incidence of large trees cost
+    k log k from here on.
+    """
+    few = F.when(F.size("v") <= large, F.col("v"))
+    small = stages.ancestry(trees.where(F.size("v") <= large).withColumn("v", few)).drop("pairs")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in trees.schema)
+    names = [f.name for f in trees.schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("c1", pa.int32()), ("c2", pa.int32()), ("p", pa.int32())]))
+        for whole in batches:
+            for i in range(len(whole)):
+                batch = whole.slice(i, 1)
+                rows = np.array(ancestry(batch.column(names.index("v"))[0].as_py()), np.int32).T
+                made = pa.StructArray.from_arrays([pa.array(c) for c in rows], ["c1", "c2", "p"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array([0, len(made)], pa.int32()), made).cast(kind)], [*names, "rows"])
+
+    return small.unionByName(trees.where(F.size("v") > large).mapInArrow(run, f"{fields}, rows array<struct<c1:int,c2:int,p:int>>"))
+
+
 def queue_shuffle(trees: DataFrame, shuffle_cherries: bool = False, seed: int = 0) -> DataFrame:
     """(tree_id, v, mapping)."""
     kind = trees.schema["tree_id"].dataType.simpleString()

@@ -454,4 +454,8 @@ def test_large_trees(spark):
     counts = np.bincount([n for a, b, p in rows for n in (a, b, p, p)], minlength=2 * len(v) + 1)
     assert csr["indptr"] == [0, *np.cumsum(counts).tolist()] and len(csr["indices"]) == 4 * len(v)
     assert relations.balance(t).first()["sackin"] == sum(depth[i] for i in range(len(v) + 1))
+    both = kernels.with_rows(table(spark, [v, [0, 0, 1]], [[(1.0, 2.0)] * len(v), [(1.0, 2.0)] * 3]).withColumn("own", F.lit("x")))
+    got = {r["tree_id"]: r for r in relations.balance(both).collect()}
+    assert got[0]["sackin"] == sum(depth[i] for i in range(len(v) + 1)) and got[1]["sackin"] == 8
+    assert {r["tree_id"]: [tuple(x) for x in r["rows"]] for r in both.where("own = 'x'").collect()} == {0: rows, 1: kernels.ancestry([0, 0, 1])}
     assert kernels.pairs(list(range(0, 40_000, 2))) == [(0, 1), *[(0, i) for i in range(2, 20_001)]]
