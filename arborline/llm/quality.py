@@ -1,11 +1,10 @@
 """Quality rules on repetition inside a text.
 
-The suffix array of a text's words gives, for each word, the deepest longest-common-prefix interval of the
-suffix that starts there; its length is the larger of the two common prefixes beside the suffix, so the intervals need
-no list, and their spans together are those of the maximal repeated substrings. A text fails if maximal repeats of
-LONG_WORDS words or more cover too much of it (stuttered words, say, which windows of five don't see) or one is too long. The base
-rules are read from the same arrays: a word lies in a five-word window that occurs again exactly if a maximal
-repeat of five words or more covers it.
+The stack scan of the LCP array over the suffix array of a text's words gives the tree of common-prefix intervals; those
+whose suffixes differ in the word before them are the maximal repeated substrings. Spans are united; a text fails if
+maximal repeats of LONG_WORDS words or more cover too much of it (stuttered words, say, which windows of five don't see)
+or one is too long. The base rules are read from the same arrays: a word lies in a five-word window that occurs again
+exactly if a maximal repeat of five words or more covers it.
 
 Defined results: a null or empty text has no words and fails the base rule; a null id is kept; repeated rows
 are judged alike, each by itself; whole texts are read, however long; an empty table gives no rows. Only doc_id
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .suffixes import cover, deepest, enhanced, ranks
+from .suffixes import cover, deepest, enhanced, maximal, ranks
 from .textbytes import SPACE, count_in, mix, slices, spans_hash, words
 
 MIN_WORDS, WINDOW, MOST_PERCENT = 10, 5, 20
@@ -59,15 +58,20 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
     keys = spans_hash(data, starts, ends) + mix(doc.astype(np.uint64))
     left = np.repeat(at[1:], n_words) - np.arange(len(doc))
-    repeat = deepest(*enhanced(ranks(keys), left))
+    sa, lcp = enhanced(ranks(keys), left)
+    repeat = deepest(sa, lcp)
+    # the word before each suffix; the start of a text is unlike all else
+    before = np.concatenate([[0], keys[:-1].astype(np.int64)])[: len(keys)]
+    before[at[:-1][n_words > 0]] = -1 - np.flatnonzero(n_words > 0)
+    start, length = maximal(sa, lcp, before, LONG_WORDS)
 
     def covered(least: int) -> np.ndarray:
         p = np.flatnonzero(repeat >= least)
         return count_in(cover(p, repeat[p], len(doc)), at)
 
     longest = np.zeros(len(n_words), np.int64)
-    np.maximum.at(longest, doc, repeat)
-    return {"n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": lines, "n_repeat_words": covered(WINDOW), "n_long_words": covered(LONG_WORDS), "longest": longest}
+    np.maximum.at(longest, doc[start], length)
+    return {"n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": lines, "n_repeat_words": covered(WINDOW), "n_long_words": count_in(cover(start, length, len(doc)), at), "longest": longest}
 
 
 _FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_long_words", "longest"]

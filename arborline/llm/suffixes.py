@@ -99,6 +99,54 @@ def intervals(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def interval_tree(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Stack scan: which interval each place of the LCP array is the bottom of (-1 below ``least``), and the length, first and last of the intervals."""
+    own = np.full(len(lcp), -1, np.int64)
+    length: list[int] = []
+    first: list[int] = []
+    last: list[int] = []
+    hot = np.flatnonzero(lcp >= least)
+    if len(hot):
+        for run in np.split(hot, np.flatnonzero(np.diff(hot) > 1) + 1):
+            stack: list[int] = []
+            ids = []
+            for r, value in zip(run.tolist(), lcp[run].tolist(), strict=True):
+                begin = r - 1
+                while stack and length[stack[-1]] > value:
+                    begin = first[stack[-1]]
+                    last[stack.pop()] = r - 1
+                if not stack or length[stack[-1]] < value:
+                    stack.append(len(length))
+                    length.append(value)
+                    first.append(begin)
+                    last.append(r)
+                ids.append(stack[-1])
+            for i in stack:
+                last[i] = int(run[-1])
+            own[run] = ids
+    return own, *(np.array(x, np.int64) for x in (length, first, last))
+
+
+def maximal(sa: np.ndarray, lcp: np.ndarray, before: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of spans whose union is that of all maximal repeats of ``least`` symbols or more.
+
+    A maximal repeat is an interval whose suffixes differ in the symbol ``before`` them. A suffix counts with the
+    deepest interval that holds it: those around it are shorter spans at the same place, and where the deepest has one
+    symbol before it, the repeat begins earlier.
+    """
+    own, length, first, last = interval_tree(lcp, least)
+    if not len(length):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    left = before[sa]
+    change = np.concatenate([[0], np.cumsum(left[1:] != left[:-1])])
+    diverse = change[last] > change[first]
+    after = np.append(own[1:], -1)
+    lengths = np.append(length, 0)  # -1 is no interval
+    deep = np.where(lengths[own] >= lengths[after], own, after)
+    at = np.flatnonzero((deep >= 0) & np.append(diverse, False)[deep])
+    return sa[at], length[deep[at]]
+
+
 def deepest(sa: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     """For each position, the length of the deepest LCP interval that holds its suffix: its longest prefix that occurs again."""
     out = np.zeros(len(sa), np.int64)
