@@ -198,7 +198,7 @@ _BLOCK_KEY = ["band", "key", "one", "two"]
 
 
 def _open(blocks: DataFrame, percent: int) -> DataFrame:
-    """(_cid and the key of the pair of blocks): members that have a possible partner there, by signatures."""
+    """The members of pairs of blocks that have a possible partner there, by signatures."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         block = _Block(key, table, percent)
@@ -207,10 +207,9 @@ def _open(blocks: DataFrame, percent: int) -> DataFrame:
             others = block.near(i)
             hit[others] = True
             hit[i] |= len(others) > 0
-        found = block.cid[hit]
-        return pa.table({**{f"_{c}": pa.array([k.as_py()] * len(found), k.type) for c, k in zip(_BLOCK_KEY, key, strict=True)}, "_cid": pa.array(found, pa.int64())})
+        return table.filter(pa.array(hit))
 
-    return blocks.groupBy(*_BLOCK_KEY).applyInArrow(run, "_band int, _key long, _one int, _two int, _cid long")
+    return blocks.groupBy(*_BLOCK_KEY).applyInArrow(run, blocks.schema)
 
 
 def _apart(blocks: DataFrame, percent: int) -> DataFrame:
@@ -296,15 +295,11 @@ def _grouped(docs: DataFrame, k: int, percent: int, keep: Callable[[DataFrame],
     several = materialize(several.select(F.col("band").alias("_band"), F.col("key").alias("_key"), n_blocks.alias("n_blocks")), "several")
     members = parted.join(several, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key"))).select("band", "key", "cid", "comp", "n", "n_blocks")
     signed = classes.select(F.col("cid").alias("_cid"), "sig")
-    blocks = _blocks(members.join(signed, F.col("cid") == F.col("_cid")))
-    open_ = materialize(_open(blocks, percent), "open")
-    still = F.col("cid") == F.col("_cid")
-    for c in _BLOCK_KEY:
-        still &= F.col(c) == F.col(f"_{c}")
-    whole = blocks.join(open_, still).drop("_cid", *[f"_{c}" for c in _BLOCK_KEY]).join(sets.withColumnRenamed("cid", "_set"), F.col("cid") == F.col("_set")).drop("_set")
-    more = materialize(_apart(whole, percent), "more")
-    if more.limit(1).count():
-        found = materialize(components(links.union(more)), "roots")
+    open_ = materialize(_open(_blocks(members.join(signed, F.col("cid") == F.col("_cid"))), percent), "open")
+    if open_.limit(1).count():
+        more = materialize(_apart(open_.join(sets.withColumnRenamed("cid", "_set"), F.col("cid") == F.col("_set")).drop("_set"), percent), "more")
+        if more.limit(1).count():
+            found = materialize(components(links.union(more)), "roots")
 
     owned = classes.select("a", "b", "rep", "cid").join(found, F.col("cid") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cid"))
     owned = materialize(owned.select("a", "b", "rep", "comp"), "owned")
