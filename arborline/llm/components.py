@@ -1,7 +1,7 @@
 """Connected components of a table of links by alternating stars.
 
 Large star: every node links its larger neighbours to the smallest node it sees; small star: its smaller ones.
-Each round is two joins on materialised tables, so that hot nodes can be split, and writes what it made; the
+Each round is two joins, whose sides adaptive execution may split at a hot node, and writes what it made; the
 rounds end when the links no longer change, which takes a few for links that are stars already.
 """
 
@@ -15,12 +15,12 @@ from .store import forget, materialize, scratch
 
 def _large(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "large")
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
     return both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:
-    least = materialize(e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w"), "small")
+    least = e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
     moved = e.join(least, F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("w", "m")).distinct()
 

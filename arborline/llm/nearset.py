@@ -266,17 +266,17 @@ def _grouped(docs: DataFrame, k: int, percent: int, keep: Callable[[DataFrame],
 
     held = classes.select("cid", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
     held = held.select("cid", "n", "band", F.xxhash64(F.substring("sig", F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("key"))
-    sizes = materialize(held.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumnsRenamed({"band": "_band", "key": "_key"}), "sizes")
+    sizes = held.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumnsRenamed({"band": "_band", "key": "_key"})
     # the members of buckets that hold two or more
     shared = materialize(held.join(sizes, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key"))).select("band", "key", "size", "cid", "n"), "shared")
     small = shared.where(F.col("size") <= SMALL).groupBy("band", "key").agg(F.collect_list(F.struct("cid", "n")).alias("m"))
     pair = F.explode(F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b["cid"] > a["cid"]), lambda b: F.struct(a["cid"].alias("x"), a["n"].alias("xn"), b["cid"].alias("y"), b["n"].alias("yn"))))))
     close = small.select(pair.alias("p")).select("p.*")
     large = shared.where(F.col("size") > SMALL)
-    centre = materialize(large.groupBy("cid").agg(F.sum("size").alias("centre")).withColumnRenamed("cid", "_cid"), "centre")
+    centre = large.groupBy("cid").agg(F.sum("size").alias("centre")).withColumnRenamed("cid", "_cid")
     ranked = large.join(centre, F.col("cid") == F.col("_cid"))
     pivots = ranked.groupBy("band", "key").agg(F.max(F.struct("centre", (-F.col("cid")).alias("cid"), "n")).alias("p"))
-    pivots = materialize(pivots.select(F.col("band").alias("_band"), F.col("key").alias("_key"), (-F.col("p.cid")).alias("pivot"), F.col("p.n").alias("pn")), "pivots")
+    pivots = pivots.select(F.col("band").alias("_band"), F.col("key").alias("_key"), (-F.col("p.cid")).alias("pivot"), F.col("p.n").alias("pn"))
     star = large.join(pivots, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key"))).where("cid <> pivot")
     star = star.select(F.least("cid", "pivot").alias("x"), F.when(F.col("cid") < F.col("pivot"), F.col("n")).otherwise(F.col("pn")).alias("xn"), F.greatest("cid", "pivot").alias("y"), F.when(F.col("cid") < F.col("pivot"), F.col("pn")).otherwise(F.col("n")).alias("yn"))
     fits = F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * percent
@@ -292,7 +292,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, keep: Callable[[DataFrame],
     parted = materialize(parted, "parted")
     several = parted.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("hashes")).where("c0 <> c1")
     n_blocks = F.ceil(F.greatest(F.col("size") / F.lit(BLOCK), F.col("hashes") / F.lit(BLOCK_HASHES))).cast("int")
-    several = materialize(several.select(F.col("band").alias("_band"), F.col("key").alias("_key"), n_blocks.alias("n_blocks")), "several")
+    several = several.select(F.col("band").alias("_band"), F.col("key").alias("_key"), n_blocks.alias("n_blocks"))
     members = parted.join(several, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key"))).select("band", "key", "cid", "comp", "n", "n_blocks")
     signed = classes.select(F.col("cid").alias("_cid"), "sig")
     open_ = materialize(_open(_blocks(members.join(signed, F.col("cid") == F.col("_cid"))), percent), "open")
@@ -303,7 +303,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, keep: Callable[[DataFrame],
 
     owned = classes.select("a", "b", "rep", "cid").join(found, F.col("cid") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cid"))
     owned = materialize(owned.select("a", "b", "rep", "comp"), "owned")
-    names = materialize(owned.groupBy("comp").agg(F.min("rep").alias("first")).withColumnRenamed("comp", "_comp"), "names")
+    names = owned.groupBy("comp").agg(F.min("rep").alias("first")).withColumnRenamed("comp", "_comp")
     named = keep(materialize(owned.join(names, F.col("comp") == F.col("_comp")).select(F.col("a").alias("_a"), F.col("b").alias("_b"), "first"), "named"))
     full = rows.where("n > 0").select("doc_id", "th", "n", "a", "b").join(named, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
     first = (F.col("first.th") == F.col("th")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id"))
