@@ -295,11 +295,12 @@ def _grouped(docs: DataFrame, k: int, percent: int, keep: Callable[[DataFrame],
     several = several.select(F.col("band").alias("_band"), F.col("key").alias("_key"), n_blocks.alias("n_blocks"))
     members = parted.join(several, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key"))).select("band", "key", "cid", "comp", "n", "n_blocks")
     signed = classes.select(F.col("cid").alias("_cid"), "sig")
-    open_ = materialize(_open(_blocks(members.join(signed, F.col("cid") == F.col("_cid"))), percent), "open")
-    if open_.limit(1).count():
-        more = materialize(_apart(open_.join(sets.withColumnRenamed("cid", "_set"), F.col("cid") == F.col("_set")).drop("_set"), percent), "more")
-        if more.limit(1).count():
-            found = materialize(components(links.union(more)), "roots")
+    # one job: what the signatures leave open is joined with its sets as it comes
+    still = _open(_blocks(members.join(signed, F.col("cid") == F.col("_cid"))), percent)
+    more = _apart(still.join(sets.withColumnRenamed("cid", "_set"), F.col("cid") == F.col("_set")).drop("_set"), percent)
+    more = materialize(more, "more")
+    if more.limit(1).count():
+        found = materialize(components(links.union(more)), "roots")
 
     owned = classes.select("a", "b", "rep", "cid").join(found, F.col("cid") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cid"))
     owned = materialize(owned.select("a", "b", "rep", "comp"), "owned")
