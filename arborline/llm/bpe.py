@@ -1,12 +1,16 @@
 """Byte-level BPE encoding and decoding by higher-order functions.
 
-A text is cut into words by the tokenizer's pattern. A word is an array of byte pieces (in hex), on which ranked
-merges are folded: each step joins the adjacent pieces whose concatenation has the lowest rank (the leftmost of equal
-ones), until no concatenation is in the rank map, which is a literal: an array of small maps, addressed by a hash.
+A text is cut into words by the tokenizer's pattern. A word is an array of byte pieces, on which ranked merges are
+folded: each step joins the adjacent pieces of lowest rank (the leftmost of equal ones), until no pair is in the rank
+map, a literal: rows of the left ids laid over each other in one array, and where each begins. A piece is one long of
+the rank of the pair it begins, its place and its id, so the least element of the array is the next merge. The map holds
+one pair an entry, its last merge: what happens inside an entry's bytes until they are joined doesn't depend on what is
+around them; a table with an entry that no merges make is an error.
 Decoding concatenates the binary pieces of the ids, from a literal too. No Python runs on executors.
 
-Words are counted over all texts, and the DICTIONARY most frequent ones of up to CHUNK bytes are folded once; their ids
-are a literal map. Any other word is folded where it stands, so the dictionary decides the cost alone, never the ids.
+Words are counted over a SAMPLE of the texts, and the DICTIONARY most frequent ones of up to CHUNK bytes are folded
+once; their ids are the value of a scalar subquery. Any other word is folded where it stands, so the dictionary decides
+the cost alone, never the ids.
 A word of more than CHUNK bytes is folded in chunks that overlap by half: a row of pieces is the word's own if each two
 neighbours are, so chunks are joined at a piece that both have. If two chunks share none, the word is folded whole.
 
@@ -22,20 +26,20 @@ import functools
 import json
 import unicodedata
 
-import xxhash
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_kernel import run_kernel
 
 #: Words that are folded once, the most frequent ones; each is of CHUNK bytes at most.
-DICTIONARY = 1 << 17
-#: Bytes of a chunk of a long word; half of it overlaps. No vocabulary entry may be longer than half.
+DICTIONARY = 1 << 18
+#: One text in so many (by a hash) is counted for the dictionary.
+SAMPLE = 4
+#: Bytes of a chunk of a long word; half of it overlaps.
 CHUNK = 72
-#: Small maps of the literals.
-RANK_SLOTS, WORD_SLOTS = 1 << 16, 1 << 17
-#: No pair, as a rank.
-NONE = (1 << 31) - 1
+#: Small maps of the dictionary (a power of two).
+WORD_SLOTS = 1 << 17
 
 
 def _default() -> tuple[str, str]:
@@ -75,27 +79,111 @@ def java_pattern(pattern: str) -> str:
     return out
 
 
+def _last_merge(entry: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The two pieces whose merge makes ``entry``."""
+    pieces = [entry[i : i + 1] for i in range(len(entry))]
+    while len(pieces) > 2:
+        found = [(ranks[x + y], i) for i, (x, y) in enumerate(zip(pieces, pieces[1:], strict=False)) if x + y in ranks]
+        if not found:
+            raise ValueError(f"no merges make the vocabulary entry {entry!r}")
+        i = min(found)[1]
+        pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+    return pieces
+
+
+def _displaced(rows: dict[int, dict[int, int]]) -> tuple[dict[int, int], list[tuple[int, int] | None]]:
+    """Sparse rows laid over each other without a clash: each row's start, and the row and value at start + column."""
+    starts, free = {}, np.ones(1 << 12, bool)
+    table: dict[int, tuple[int, int]] = {}
+    for k, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        columns = np.array(sorted(row))
+        # starts that put the first column on a free place
+        places = np.flatnonzero(free)
+        starts[k] = None
+        for at in range(0, len(places), 256):
+            tried = places[at : at + 256] - columns[0]
+            tried = tried[tried >= 0]
+            spots = tried[:, None] + columns
+            ok = (free[np.minimum(spots, len(free) - 1)] | (spots >= len(free))).all(axis=1)
+            if ok.any():
+                starts[k] = int(tried[ok.argmax()])
+                break
+        if starts[k] is None:
+            starts[k] = max(0, len(free) - int(columns[0]))
+        spots = starts[k] + columns
+        if spots[-1] >= len(free):
+            free = np.concatenate([free, np.ones(int(spots[-1]) + 1 - len(free), bool)])
+        free[spots] = False
+        table |= {starts[k] + c: (k, v) for c, v in row.items()}
+    return starts, [table.get(i) for i in range(max(table, default=-1) + 1)]
+
+
 class Tokenizer:
-    """The literals of a rank table, and the pattern for the JVM."""
+    """The literals of a rank table (as JSON), and the pattern for the JVM."""
 
     def __init__(self, table: bytes, pattern: str):
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in table.splitlines() if line)}
-        if max(map(len, ranks)) > CHUNK // 2:
-            raise ValueError(f"a vocabulary entry has more than {CHUNK // 2} bytes")
         self.pattern = java_pattern(pattern)
-        self.ranks = _slotted({t.hex().upper(): r for t, r in ranks.items()}, RANK_SLOTS)
+        # a long is, from its high bits, a rank (or none, the highest), a place and an id
+        self.bits = (max(ranks.values()) + 1).bit_length()
+        self.shift = 62 - self.bits
+        self.none, self.end = (2 << self.bits) - 1, (1 << self.bits) - 1
+        pairs: dict[int, dict[int, int]] = {}
+        for t, r in ranks.items():
+            if len(t) > 1:
+                left, right = (ranks[x] for x in _last_merge(t, ranks))
+                pairs.setdefault(left, {})[right] = r
+        starts, table = _displaced(pairs)
+        self.starts = _json([starts.get(i, 0) for i in range(max(ranks.values()) + 1)])
+        # an id that begins the pair, and the pair's rank; -1 is of no pair
+        self.ranks = _json([-1 if e is None else e[0] << 64 - self.shift | e[1] for e in table])
+        self.bytes = _json([ranks[bytes([x])] for x in range(256)])
+        self.first = _json([ranks.get(bytes([x, y]), self.none) for x in range(256) for y in range(256)])
         pieces = [""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             pieces[r] = t.hex().upper()
         self.pieces = pieces
 
-
-def _slotted(table: dict, n: int) -> str:
-    """A dictionary as JSON: an array of ``n`` small maps (a power of two), each key in the map of its hash's low bits."""
-    slots: list[dict] = [{} for _ in range(n)]
-    for k, v in table.items():
-        slots[xxhash.xxh64_intdigest(k.encode(), 42) & (n - 1)][k] = v
-    return json.dumps(slots, separators=(",", ":"))
+    def _rank(self, left: str, right: str) -> str:
+        """SQL: the rank of two ids together, in the high bits."""
+        return _bind(f"get(ranks, get(starts, {left}) + {right})", "e", "0L", f"IF(shiftright(e, {64 - self.shift}) = {left}, shiftleft(e, {self.shift}), {self.none << self.shift}L)")
+
+    def fold(self, binary: str, piece: str) -> str:
+        """SQL: ``piece`` (of e, a place and an id) for each piece of a byte string that isn't empty."""
+        low, ids = f"{(1 << self.shift) - 1}L", f"{self.end}L"
+        left, right, x = "get(a, j - 2)", "get(a, j + 1)", f"shiftright(m, {self.shift})"
+        # an end on both sides, so each piece has neighbours; removing and inserting is cheaper than slices put together
+        joined = f"""array_insert(array_insert(array_remove(array_remove(array_remove(a, {left}), m), {right.replace("+ 1", "")}),
+            j - 1, ({left} & {low}) | {self._rank(f"({left} & {ids})", x)}), j, (m & {low} & ~{ids}) | {x} | {self._rank(x, f"({right} & {ids})")})"""
+        step = _bind("array_min(a)", "m", "a", f"IF(m < {self.none << self.shift}L, {_bind('cast(array_position(a, m) AS int)', 'j', 'a', joined)}, a)")
+        ends = f"array({(1 << 63) - 1}L)", f"array({(1 << 63) - 1 - (1 << self.bits)}L)"
+        start = f"""transform(b, (x, i) -> shiftleft(cast(coalesce(get(first, x * 256 + get(b, i + 1)), {self.none}) AS bigint), {self.shift})
+            | shiftleft(cast(i AS bigint), {self.bits}) | get(bytes, x))"""
+        folded = f"aggregate(slice(b, 2, size(b)), flatten(array({ends[0]}, {start}, {ends[1]})), (a, y) -> {step}, a -> transform(slice(a, 2, size(a) - 2), e -> {piece}))"
+        return _let(f"transform(split(decode({binary}, 'ISO-8859-1'), ''), c -> ascii(c))", "b", folded)
+
+    def fold_word(self, w: str) -> str:
+        """SQL: the ids of a word, in chunks if it is long."""
+        half, own_id = CHUNK // 2, f"cast(e & {self.end}L AS int)"
+        whole = self.fold(f"cast({w} AS binary)", own_id)
+        # pieces with their places in the word
+        chunk = self.fold(f"substring(cast({w} AS binary), s + 1, {CHUNK})", f"(e & {(1 << self.shift) - 1}L) + shiftleft(cast(s AS bigint), {self.bits})")
+        chunks = f"transform(sequence(0, cast(ceil((octet_length({w}) - {CHUNK}) / {half}) AS int) * {half}, {half}), s -> {chunk})"
+        cuts = "transform(slice(t, 2, size(t)), (y, k) -> array_min(array_intersect(get(t, k), y)))"
+        own = f"transform(flatten(transform(t, (y, k) -> filter(y, e -> e >= coalesce(get(cuts, k - 1), 0L) AND (k = size(cuts) OR e < get(cuts, k))))), e -> {own_id})"
+        glued = _let(chunks, "t", _let(cuts, "cuts", f"IF(exists(cuts, c -> c IS NULL), {whole}, {own})"))
+        return f"IF(octet_length({w}) <= {CHUNK}, {whole}, {glued})"
+
+    def bound(self, body: str) -> str:
+        """SQL: ``body`` with the literals bound to their names."""
+        out = body
+        for name, table, kind in (("ranks", self.ranks, "array<bigint>"), ("starts", self.starts, "array<bigint>"), ("first", self.first, "array<int>"), ("bytes", self.bytes, "array<bigint>")):
+            out = _let(f"from_json({_quoted(table)}, '{kind}')", name, out)
+        return out
+
+
+def _json(table: list) -> str:
+    return json.dumps(table, separators=(",", ":"))
 
 
 @functools.lru_cache(2)
@@ -110,47 +198,14 @@ def load(path: str | None = None, pattern: str | None = None) -> tuple[bytes, st
         return f.read(), pattern or found[1]
 
 
-def _find(table: str, key: str, n: int) -> str:
-    return f"try_element_at(get({table}, cast(xxhash64({key}) & {n - 1}L AS int)), {key})"
-
-
 def _let(value: str, name: str, body: str) -> str:
     """``body`` with a value bound to a name, computed once."""
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _rank(piece: str) -> str:
-    return f"coalesce({_find('ranks', piece, RANK_SLOTS)}, {NONE})"
-
-
-def _fold(h: str) -> str:
-    """SQL: the pieces of a byte string in hex. r[i] is the rank of the pieces i and i + 1 together."""
-    joined = f"""named_struct(
-        'p', concat(slice(a.p, 1, j - 1), array(x), slice(a.p, j + 2, size(a.p))),
-        'r', concat(slice(a.r, 1, greatest(j - 2, 0)),
-                    IF(j > 1, array({_rank("concat(get(a.p, j - 2), x)")}), cast(array() AS array<int>)),
-                    IF(j < size(a.r), array({_rank("concat(x, get(a.p, j + 1))")}), cast(array() AS array<int>)),
-                    slice(a.r, j + 2, size(a.p))))"""
-    step = _let("array_min(a.r)", "m", f"IF(m < {NONE}, {_let('cast(array_position(a.r, m) AS int)', 'j', _let('concat(get(a.p, j - 1), get(a.p, j))', 'x', joined))}, a)")
-    pairs = f"transform(slice(p0, 2, size(p0)), (x, i) -> {_rank('concat(get(p0, i), x)')})"
-    return _let(f"regexp_extract_all({h}, '..', 0)", "p0", f"aggregate(p0, named_struct('p', p0, 'r', {pairs}), (a, y) -> {step}, a -> a.p)")
-
-
-def _fold_word(w: str) -> str:
-    """SQL: the pieces of a word, in chunks if it is long."""
-    half = CHUNK // 2
-    chunks = f"""transform(sequence(0, cast(ceil((octet_length({w}) - {CHUNK}) / {half}) AS int) * {half}, {half}), s -> {_fold(f"hex(substring(cast({w} AS binary), s + 1, {CHUNK}))")})"""
-    # a piece with its place: bytes before it, times CHUNK, and its length
-    placed = f"""transform(folded, (c, k) -> aggregate(c, named_struct('at', k * {half}, 'out', cast(array() AS array<struct<key:bigint,x:string>>)),
-        (a, x) -> named_struct('at', a.at + cast(length(x) / 2 AS int), 'out', array_append(a.out, named_struct('key', a.at * {CHUNK}L + cast(length(x) / 2 AS int), 'x', x))), a -> a.out))"""
-    cuts = "transform(slice(t, 2, size(t)), (y, k) -> array_min(array_intersect(get(t, k).key, y.key)))"
-    own = "flatten(transform(t, (y, k) -> filter(y, e -> e.key >= coalesce(get(cuts, k - 1), 0) AND (k = size(cuts) OR e.key < get(cuts, k))).x))"
-    glued = _let(chunks, "folded", _let(placed, "t", _let(cuts, "cuts", f"IF(exists(cuts, c -> c IS NULL), {_fold(f'hex({w})')}, {own})")))
-    return f"IF(octet_length({w}) <= {CHUNK}, {_fold(f'hex({w})')}, {glued})"
-
-
-def _ids(w: str) -> str:
-    return f"transform({_fold_word(w)}, x -> {_find('ranks', 'x', RANK_SLOTS)})"
+def _bind(value: str, name: str, like: str, body: str) -> str:
+    """``_let`` for a body of the type of ``like``; it copies no arrays."""
+    return f"aggregate(array({value}), {like}, (z, {name}) -> {body})"
 
 
 def _quoted(text: str) -> str:
@@ -162,29 +217,25 @@ def _with_words(docs: DataFrame, t: Tokenizer) -> DataFrame:
     return docs.select("doc_id", words.alias("words"))
 
 
-def _ranks(t: Tokenizer) -> str:
-    return f"from_json({_quoted(t.ranks)}, 'array<map<string,int>>')"
-
-
-def dictionary(docs: DataFrame, t: Tokenizer) -> str:
-    """The most frequent words of all texts with their ids, as JSON; at most DICTIONARY of at most CHUNK bytes."""
-    words = _with_words(docs, t).select(F.explode("words").alias("w"))
+def dictionary(docs: DataFrame, t: Tokenizer) -> Column:
+    """The most frequent words with their ids, as a scalar subquery: an array of small maps, addressed by a word's hash."""
+    words = _with_words(docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0), t).select(F.explode("words").alias("w"))
     counts = words.groupBy("w").count().where(F.octet_length("w") <= CHUNK)
     top = counts.orderBy(F.desc("count"), "w").limit(DICTIONARY).select("w")
     # a limit leaves one partition
     top = top.repartition(docs.sparkSession.sparkContext.defaultParallelism * 2)
-    folded = top.select("w", F.expr(_let(_ranks(t), "ranks", _ids("w"))).alias("ids"))
-    # the JSON is put together by Spark, so the driver's Python holds one string
-    held = folded.groupBy(F.xxhash64("w").bitwiseAND(F.lit(WORD_SLOTS - 1)).alias("slot")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("w", "ids")))).alias("j"))
-    every = docs.sparkSession.range(WORD_SLOTS).join(held, F.col("id") == F.col("slot"), "left").select("id", F.coalesce("j", F.lit("{}")).alias("j"))
-    return every.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "j"))), lambda e: e["j"]), ","), F.lit("]"))).first()[0]
+    folded = top.select("w", F.expr(t.bound(t.fold_word("w"))).alias("ids"))
+    held = folded.groupBy(F.xxhash64("w").bitwiseAND(F.lit(WORD_SLOTS - 1)).alias("slot")).agg(F.collect_list(F.struct("w", "ids")).alias("held"))
+    every = docs.sparkSession.range(WORD_SLOTS).join(held, F.col("id") == F.col("slot"), "left").select("id", F.coalesce("held", F.expr("cast(array() AS array<struct<w:string,ids:array<int>>>)")).alias("held"))
+    return every.agg(F.expr("transform(array_sort(collect_list(struct(id, held))), e -> map_from_entries(e.held))").alias("known")).scalar()
 
 
 def _encoded(docs: DataFrame, t: Tokenizer) -> DataFrame:
     """doc_id and ids."""
-    known = f"from_json({_quoted(dictionary(docs, t))}, 'array<map<string,array<int>>>')"
-    every = f"flatten(transform(words, w -> coalesce({_find('known', 'w', WORD_SLOTS)}, {_ids('w')})))"
-    return _with_words(docs, t).select("doc_id", F.expr(_let(_ranks(t), "ranks", _let(known, "known", every))).alias("ids"))
+    known = f"try_element_at(get(known, cast(xxhash64(w) & {WORD_SLOTS - 1}L AS int)), w)"
+    every = t.bound(f"flatten(transform(words, w -> coalesce({known}, {t.fold_word('w')})))")
+    # the dictionary is named once, so both selections become one, and no row carries it
+    return _with_words(docs, t).select("doc_id", "words", dictionary(docs, t).alias("held")).select("doc_id", F.expr(_let("held", "known", every)).alias("ids"))
 
 
 def _strings(table: list[str]) -> str:

@@ -523,3 +523,23 @@ def test_bpe_long_words(spark):
         ids, _ = kernel.words(raw, np.array([0, len(raw)]))
         assert time.time() - began < 10
         assert kernel.decode(ids).tobytes() == word.encode()
+
+
+def test_bpe_fold_without_dictionary(spark, monkeypatch):
+    """Words that no dictionary holds are folded where they stand; the plan names no word; a table must be made by its merges."""
+    import base64
+
+    own = tokenizer()
+    r = random.Random(21)
+    letters = "aaabeinorstuéñß漢🙂 "
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(1, 90))) for _ in range(150)] + ["a" * k for k in range(1, 40)] + [None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, "zqxjkvzq")] * 50, "doc_id long, text string")
+    monkeypatch.setattr(bpe, "SAMPLE", 1, raising=False)
+    for size in (0, 20):
+        monkeypatch.setattr(bpe, "DICTIONARY", size)
+        out = bpe.encode(df)
+        assert {x["doc_id"]: x["ids"] for x in out.where("doc_id >= 0").collect()} == {i: own.encode_ordinary(t or "") for i, t in enumerate(texts)}
+    assert "zqxjkvzq" not in out._jdf.queryExecution().optimizedPlan().toString()
+    table = b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate([*(bytes([x]) for x in range(256)), b"abc"]))
+    with pytest.raises(ValueError):
+        bpe.Tokenizer(table, bpe.load()[1])
