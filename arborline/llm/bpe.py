@@ -217,11 +217,11 @@ def _with_words(docs: DataFrame, t: Tokenizer) -> DataFrame:
     return docs.select("doc_id", words.alias("words"))
 
 
-def dictionary(docs: DataFrame, t: Tokenizer) -> Column:
+def dictionary(docs: DataFrame, t: Tokenizer, size: int) -> Column:
     """The most frequent words with their ids, as a scalar subquery: an array of small maps, addressed by a word's hash."""
     words = _with_words(docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0), t).select(F.explode("words").alias("w"))
     counts = words.groupBy("w").count().where(F.octet_length("w") <= CHUNK)
-    top = counts.orderBy(F.desc("count"), "w").limit(DICTIONARY).select("w")
+    top = counts.orderBy(F.desc("count"), "w").limit(size).select("w")
     # a limit leaves one partition
     top = top.repartition(docs.sparkSession.sparkContext.defaultParallelism * 2)
     folded = top.select("w", F.expr(t.bound(t.fold_word("w"))).alias("ids"))
@@ -230,12 +230,12 @@ def dictionary(docs: DataFrame, t: Tokenizer) -> Column:
     return every.agg(F.expr("transform(array_sort(collect_list(struct(id, held))), e -> map_from_entries(e.held))").alias("known")).scalar()
 
 
-def _encoded(docs: DataFrame, t: Tokenizer) -> DataFrame:
+def _encoded(docs: DataFrame, t: Tokenizer, size: int | None = None) -> DataFrame:
     """doc_id and ids."""
     known = f"try_element_at(get(known, cast(xxhash64(w) & {WORD_SLOTS - 1}L AS int)), w)"
     every = t.bound(f"flatten(transform(words, w -> coalesce({known}, {t.fold_word('w')})))")
     # the dictionary is named once, so both selections become one, and no row carries it
-    return _with_words(docs, t).select("doc_id", "words", dictionary(docs, t).alias("held")).select("doc_id", F.expr(_let("held", "known", every)).alias("ids"))
+    return _with_words(docs, t).select("doc_id", "words", dictionary(docs, t, DICTIONARY if size is None else size).alias("held")).select("doc_id", F.expr(_let("held", "known", every)).alias("ids"))
 
 
 def _strings(table: list[str]) -> str:
@@ -261,13 +261,13 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     return _encoded(docs, t).select("doc_id", "ids", packed("ids", t.pieces).alias("decoded"))
 
 
-def encode_digest(docs: DataFrame, path: str | None = None, pattern: str | None = None, engine: str = "fold") -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 of the ids (little-endian unsigned 32-bit) and of the decoded bytes; engines as above."""
+def encode_digest(docs: DataFrame, path: str | None = None, pattern: str | None = None, engine: str = "fold", size: int | None = None) -> DataFrame:
+    """doc_id, n_tokens, and SHA-256 of the ids (little-endian unsigned 32-bit) and of the decoded bytes; engines as above, ``size`` is the dictionary's."""
     table, pattern = load(path, pattern)
     if engine == "arrow":
         return run_kernel(docs, table, pattern, full=False)
     t = _tokenizer(table, pattern)
     little = [i.to_bytes(4, "little").hex() for i in range(len(t.pieces))]
-    return _encoded(docs, t).select(
+    return _encoded(docs, t, size).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(packed("ids", little), 256).alias("ids_sha256"), F.sha2(packed("ids", t.pieces), 256).alias("decoded_sha256")
     )

@@ -111,3 +111,10 @@ def test_run_leaves_its_result_alone(spark, tmp_path):
     one = corpus_pipeline.run(spark, str(tmp_path))
     two = corpus_pipeline.run(spark, str(tmp_path))
     assert one.count() == two.count() > 0 and store._written == before
+
+
+def test_last_stage_folds(spark):
+    """The tokens come from the folds of higher-order functions, without Python on executors."""
+    docs = spark.createDataFrame([(1, "the quick brown fox", "en", "a", 19)], "doc_id long, text string, lang string, source string, n_chars long")
+    plan = dict(corpus_pipeline.STAGES)["bpe"](spark, docs, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and "MapInArrow" not in plan
