@@ -11,7 +11,7 @@ from arborline import cli
 from arborline.functions import catalog
 from arborline.functions import newick as nw
 from arborline.functions import trees as tr
-from arborline.operators import collection, compare, facade, kernels, likelihood, optimize, relations
+from arborline.operators import blocks, collection, compare, facade, kernels, likelihood, optimize, relations
 from arborline.plans import stages
 from arborline.sources import files
 from arborline.streaming import events
@@ -423,6 +423,25 @@ def test_distance_models(spark):
         likelihood.distances(t, "other")
 
 
+def test_distances_over_blocks(spark, monkeypatch):
+    """Taxa of several blocks, with texts of unequal lengths, without a base or null, and a taxon twice; and tasks that aren't coalesced."""
+    monkeypatch.setattr(blocks, "ROWS", 3)
+    r = random.Random(4)
+    rows = [(r.choice("kl"), f"t{i:02}", "".join(r.choice("ACGT-n") for _ in range(r.choice((9, 12))))) for i in range(24)]
+    rows += [("k", "t00", "acgtacgt"), ("k", "none", None), ("k", "gaps", "---"), ("l", None, "acgt"), (None, "lost", "acgt"), (None, "last", "acgt")]
+    t = spark.createDataFrame(rows, "k string, taxon string, seq string")
+    want = []
+    for k, a, s in rows:
+        for k2, b, u in rows:
+            if None not in (k, a, b) and k == k2 and a < b:
+                known = [(x, y) for x, y in zip((s or "").lower(), (u or "").lower()) if x in "acgt" and y in "acgt"]
+                want.append((k, a, b, sum(x != y for x, y in known) / len(known) if known else None))
+    found = likelihood.distances(t, "raw", key="k", pairwise_deletion=True)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    # pairs are compared in the blocks' kernel, not in a join of taxa
+    assert "x < y" not in (plan := found._jdf.queryExecution().toString()) and "FlatMapGroupsInArrow" in plan
+
+
 def test_facade(spark):
     tree = facade.TreeVec([0, 1, 2, 5, 4, 2], taxa=list("abcdefg"))
     assert tree.n_leaf == 6 and tree.is_rooted and tree.get_ancestry()[-1][2] == 12 and len(tree.get_edges()) == 12
