@@ -206,7 +206,8 @@ def jc69(trees: DataFrame, columns: DataFrame, key: str = "alignment_id", freque
     Trees of one size in an Arrow batch are pruned at once, all their patterns together; ``log_likelihood`` is the same
     for one row as an expression.
     """
-    each = trees.select("tree_id", "rows", "bls", key).join(columns, key).select("tree_id", "rows", "bls", "states", "weight")
+    # patterns are many a row of their source, which Spark's estimate takes for few enough to be broadcast
+    each = trees.select("tree_id", "rows", "bls", key).join(columns.hint("merge"), key).select("tree_id", "rows", "bls", "states", "weight")
     root = np.asarray(frequencies, float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -138,10 +138,7 @@ def q_precision(spark, sf_dir):
 
 def q_precision_identity(spark, sf_dir):
     """Precision times covariance of every tree, which is the identity."""
-    t = customer_trees(spark, sf_dir)
-    c = relations.vcv(t, True).withColumnsRenamed({"tree_id": "t", "row": "mid", "col": "col2", "value": "c"})
-    product = kernels.precisions(t, True).join(c, (C("tree_id") == C("t")) & (C("col") == C("mid")))
-    return _rounded(product.groupBy("tree_id", "row", C("col2").alias("col")).agg(F.sum(C("value") * C("c")).alias("value")), "value")
+    return _rounded(kernels.precision_products(customer_trees(spark, sf_dir), True), "value")
 
 
 def q_leaf_round_trip(spark, sf_dir):
@@ -155,7 +152,7 @@ def q_reroot_distance(spark, sf_dir):
     """Distance of each tree to itself rerooted, which is 0: splits don't know the root."""
     t = customer_trees(spark, sf_dir).select("tree_id", "v")
     moved = kernels.rerooted(t.withColumn("node", _node(2 * F.size("v")).cast("int"))).select(C("tree_id").alias("t"), C("v").alias("w"))
-    return compare.robinson_foulds(t.join(moved, C("tree_id") == C("t"))).select("tree_id", "rf")
+    return compare.robinson_foulds(t.join(moved.hint("merge"), C("tree_id") == C("t"))).select("tree_id", "rf")
 
 
 QUERIES = {

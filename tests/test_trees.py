@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arborline import cli
+from arborline import cli, queries
 from arborline.functions import catalog
 from arborline.functions import newick as nw
 from arborline.functions import trees as tr
@@ -175,6 +175,22 @@ def test_matrices(spark):
         relations.pairwise_distances(one, "other")
 
 
+def test_products_without_a_join(spark):
+    """Precision times covariance in the tree's row; what is many rows a tree is not broadcast."""
+    vectors = random_vectors(20, range(1, 9), 3)
+    r = random.Random(5)
+    t = table(spark, vectors, [[(r.uniform(0.1, 2), r.uniform(0.1, 2)) for _ in v] for v in vectors])
+    products, lengths = kernels.precision_products(t, True).cache(), relations.vcv(t, True).cache()
+    for i, v in enumerate(vectors):
+        assert np.allclose(matrix(products, i), np.eye(len(v) + 1))
+    b = np.array([[(x["b1"], x["b2"]) for x in t.where("tree_id = 0").first()["bls"]]])
+    c1, c2, p = (np.array([c]) for c in zip(*kernels.ancestry(vectors[0]), strict=True))
+    assert np.allclose(kernels.covariance(c1, c2, p, b[..., 0], b[..., 1])[0], matrix(lengths))
+    plan = lambda q: queries.QUERIES[q](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan("precision_identity")
+    assert "Broadcast" not in plan("jc69_loglik") + plan("reroot_distance")
+
+
 def test_comparison(spark):
     t = spark.createDataFrame([(0, [0, 1, 2, 3], [0, 0, 1, 2]), (1, [0, 1, 2, 3], [0, 1, 2, 3]), (2, [0, 0], [0, 1])], "tree_id int, v array<int>, w array<int>")
     assert [r["rf"] for r in compare.robinson_foulds(t).orderBy("tree_id").collect()] == [4.0, 0.0, 0.0]
