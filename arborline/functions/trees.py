@@ -248,6 +248,24 @@ def sackin(depths: Column) -> Column:
     return F.aggregate(leaf_depths(depths), F.lit(0.0), lambda a, d: a + d).cast("long")
 
 
+@_once
+def leaves_below(rows: Column) -> Column:
+    """The number of leaves below every node, itself at a leaf: a fold up the ancestry."""
+    k = F.size(rows)
+    below = lambda acc, c: F.when(c <= k, 1).otherwise(F.get(acc, c - k - 1))
+    inner = F.aggregate(rows, _empty("array<int>"), lambda acc, r: F.array_append(acc, below(acc, r["c1"]) + below(acc, r["c2"])))
+    return F.concat(F.array_repeat(F.lit(1), k + 1), inner)
+
+
+@_once
+def sackin_with_leaf(depths: Column, below: Column) -> Column:
+    """The Sackin index with one leaf more above each node, from all nodes' depths and the leaves below them.
+
+    The leaf takes the node's branch: what is below it goes down by one, and the leaf is as deep as the node is then.
+    """
+    return _let(sackin(depths), lambda now: F.zip_with(depths, below, lambda d, n: now + n + d.cast("long") + 1))
+
+
 def leaf_depth_variance(depths: Column) -> Column:
     """The population variance of the leaves' depths."""
     leaves = leaf_depths(depths)

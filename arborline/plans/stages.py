@@ -55,6 +55,12 @@ def splits(trees: DataFrame) -> DataFrame:
     return ancestry(trees).withColumn("splits", tr.splits(F.col("rows")))
 
 
+def sackin_with_leaf(trees: DataFrame) -> DataFrame:
+    """``sackins``: the Sackin index of each tree with one leaf more on the branch above each of its nodes, by their labels."""
+    t = depths(trees).withColumn("below", tr.leaves_below(F.col("rows")))
+    return t.withColumn("sackins", tr.sackin_with_leaf(F.col("depths"), F.col("below")))
+
+
 def vector_of_pairs(trees: DataFrame, column: str = "pairs", to: str = "v") -> DataFrame:
     return trees.withColumn(to, tr.from_pairs(F.col(column)))
 

@@ -119,12 +119,9 @@ def q_bme(spark, sf_dir):
 
 def q_nni(spark, sf_dir):
     """One step of hill climbing: of all other values of the last place of v, the one with the smallest Sackin index."""
-    t = customer_trees(spark, sf_dir).where(F.size("v") > 1).select("tree_id", "v")
-    last = F.size("v") - 1
-    tried = t.withColumn("x", F.explode(F.filter(F.sequence(F.lit(0), 2 * last), lambda j: j != F.element_at("v", -1))))
-    tried = tried.withColumn("v", F.array_append(F.slice("v", F.lit(1), last), C("x")))
-    scored = stages.depths(tried).select("tree_id", "x", tr.sackin(C("depths")).alias("sackin"))
-    return scored.groupBy("tree_id").agg(F.min(F.struct("sackin", "x")).alias("m")).select("tree_id", "m.sackin", "m.x")
+    t = customer_trees(spark, sf_dir).where(F.size("v") > 1).select("tree_id", F.element_at("v", -1).alias("last"), F.slice("v", F.lit(1), F.size("v") - 1).alias("v"))
+    tried = stages.sackin_with_leaf(t).withColumn("tried", F.filter(F.transform("sackins", lambda s, x: F.struct(s.alias("sackin"), x.alias("x"))), lambda e: e["x"] != C("last")))
+    return tried.select("tree_id", F.array_min("tried").alias("m")).select("tree_id", "m.sackin", "m.x")
 
 
 def q_rerooted(spark, sf_dir):

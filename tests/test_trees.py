@@ -149,6 +149,17 @@ def test_statistics(spark):
         relations.node_depth(m, F.lit(5)).collect()
 
 
+def test_sackin_with_a_leaf_more(spark):
+    """Against the index of each tree with the leaf put on; and the step needs no row a candidate."""
+    vectors = random_vectors(20, range(0, 9), 6)
+    found = stages.sackin_with_leaf(table(spark, vectors)).orderBy("tree_id").collect()
+    tried = [[*v, x] for v in vectors for x in range(2 * len(v) + 1)]
+    want = [r["sackin"] for r in relations.balance(table(spark, tried)).orderBy("tree_id").collect()]
+    assert [s for r in found for s in r["sackins"]] == want
+    plan = queries.q_nni(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+
+
 def test_matrices(spark):
     one = table(spark, [[0, 1, 2]])
     assert matrix(relations.cophenetic(one)).tolist() == [[0, 3, 4, 4], [3, 0, 3, 3], [4, 3, 0, 2], [4, 3, 2, 0]]
