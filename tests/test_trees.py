@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,6 +218,25 @@ def test_comparison(spark):
     assert 3 in [r["tree_id"] for r in compare.trees_with_split(trees, wanted).collect()]
 
 
+def test_all_pairs_over_blocks(spark, monkeypatch):
+    """Trees of several sizes and blocks, common and rare splits, parts of matrices: each pair once, as by its own comparison."""
+    monkeypatch.setattr(blocks, "ROWS", 7)
+    vectors = random_vectors(40, [0, 1, 3, 6, 12], 8)
+    found = compare.rf_all_pairs(table(spark, vectors))
+    trees = table(spark, vectors)
+    other = trees.select(F.col("tree_id").alias("b"), F.col("v").alias("w"))
+    each = compare.robinson_foulds(trees.join(other, (F.col("tree_id") < F.col("b")) & (F.size("v") == F.size("w"))))
+    assert sorted(map(tuple, found.collect())) == sorted((r["tree_id"], r["b"], r["rf"]) for r in each.collect())
+    # pairs are compared in the blocks' kernel, not in a join of trees
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    r = random.Random(9)
+    lists = [[list({str(int(300 * r.random() ** 3)) for _ in range(8)}) for _ in range(n)] for n in (60, 50)]
+    want = [[len(set(x) & set(y)) for y in lists[1]] for x in lists[0]]
+    for cells in (compare.CELLS, 64):
+        monkeypatch.setattr(compare, "CELLS", cells)
+        assert compare._shared(*(pa.array(x, pa.list_(pa.string())) for x in lists)).tolist() == want
+
+
 def test_validation_and_strings(spark):
     t = table(spark, [[0, 0, 2, 1, 8], [0, 0, 9, 1], [1, 0, 0, 0], [0, 3, 5, 7], []])
     assert [r[0] for r in t.orderBy("tree_id").select(tr.is_valid(F.col("v"))).collect()] == [True, False, False, False, True]
